@@ -51,10 +51,12 @@ def feeder_noise(res: DataFrame) -> DataFrame:
     """``(feeder, noise, kwhs)``: robust noise of the residuals and the series by position."""
     per = res.groupBy("feeder").agg(
         F.array_sort(F.collect_list("delta")).alias("__d"),          # one entry per period
-        F.map_from_entries(F.collect_list(F.struct("i", "kwh"))).alias("kwhs"),
+        F.map_from_entries(F.collect_list(F.struct("i", "kwh"))).alias("__k"),
+        F.max("i").alias("__last"),
     )
     return per.withColumn("__m", F.expr(A.median_sorted("__d"))).select(
-        "feeder", F.expr(f"if(size(__d) < 3, 0D, {_mad('__d', '__m')})").alias("noise"), "kwhs",
+        "feeder", F.expr(f"if(size(__d) < 3, 0D, {_mad('__d', '__m')})").alias("noise"),
+        F.expr("transform(sequence(0, __last), k -> try_element_at(__k, k))").alias("kwhs"),
     )
 
 
@@ -125,11 +127,15 @@ def transfer_candidates(
     tested = (
         found.join(maps.select(F.col("feeder").alias("feeder_a"), F.col("kwhs").alias("ka")), "feeder_a")
         .join(maps.select(F.col("feeder").alias("feeder_b"), F.col("kwhs").alias("kb")), "feeder_b")
-        .withColumn("__r", F.expr(
-            "filter(transform(array_sort(map_keys(ka)), k -> struct(k, try_element_at(kb, k) / nullif(ka[k], 0D) as r)), "
-            "e -> e.r is not null)"))
-        .withColumn("__b", F.expr("array_sort(transform(filter(__r, e -> e.k < i), e -> e.r))"))
-        .withColumn("__a", F.expr("array_sort(transform(filter(__r, e -> e.k >= i), e -> e.r))"))
+        .withColumn("__r", F.expr("transform(ka, (v, k) -> get(kb, k) / nullif(v, 0D))"))
+        .withColumn("__b", F.expr("array_sort(filter(slice(__r, 1, i), r -> r is not null))"))
+        .withColumn("__a", F.expr("array_sort(filter(slice(__r, i + 1, size(__r)), r -> r is not null))"))
+        .drop("__r", "ka", "kb")
+    )
+    # Staged, so that the filter below reads the sorted ratios instead of rebuilding
+    # them inside its own expression.
+    tested = (
+        stage(tested, "ratios")
         .withColumn("__mb", F.expr(A.median_sorted("__b")))
         .withColumn("__ma", F.expr(A.median_sorted("__a")))
         .withColumn("__sb", F.expr(_mad("__b", "__mb")))

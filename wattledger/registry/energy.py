@@ -151,13 +151,13 @@ def rolled(spark, d) -> DataFrame:
 
 
 @query("organisation_rollup", """
-SELECT level, unit, substation, round(input_kwh, 2) AS input_kwh, round(billed_kwh, 2) AS billed_kwh, round(ntl_kwh, 2) AS ntl_kwh, feeders, balance_type, feeders_not_measured,
+SELECT level, unit, substation, round(input_kwh, 2) AS input_kwh, round(billed_kwh, 2) AS billed_kwh, round(ntl_kwh, 1) AS ntl_kwh, feeders, balance_type, feeders_not_measured,
   round(ntl_kwh / input_kwh * 100, 2) AS ntl_pct, round(loss_total_kwh / input_kwh * 100, 2) AS loss_pct FROM rolled
 """)
 def _(spark, d):
     r = rolled(spark, d).select("level", "unit", "substation", "input_kwh", "billed_kwh", "ntl_kwh", "feeders", "balance_type",
                                 "feeders_not_measured", "ntl_pct", "loss_pct")
-    return rounded(r, input_kwh=2, billed_kwh=2, ntl_kwh=2)
+    return rounded(r, input_kwh=2, billed_kwh=2, ntl_kwh=1)
 
 
 # --- coverage ---------------------------------------------------------------
