@@ -1,6 +1,6 @@
 """Registration of queries with their SQL counterparts.
 
-``CTES`` holds named SQL fragments; ``compose`` prefixes a body with just the
+``CTES`` holds named SQL fragments (``rec_`` marks a recursive one); ``compose`` prefixes a body with just the
 fragments it mentions, in the order they were declared.
 """
 
@@ -39,7 +39,8 @@ def compose(body: str) -> str:
     if not parts:
         return body
     glue = ",\n" + body[4:] if body[:5].upper() == "WITH " else "\n" + body
-    return "WITH " + ",\n".join(parts) + glue
+    head = "WITH RECURSIVE " if any(n.startswith("rec_") for n in needed) else "WITH "
+    return head + ",\n".join(parts) + glue
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
