@@ -62,10 +62,10 @@ def global_rank(
     )
     if not partition:
         offsets = F.broadcast(offsets)   # one row per range partition
-    numbered = ranged.withColumn("__pos", F.row_number().over(local))
+    numbered = ranged.withColumn("__local", F.row_number().over(local))
     joined = _join_keys(numbered, offsets, [*partition, "__pid"])
-    return joined.withColumn(out, (F.col("__offset") + F.col("__pos")).cast("bigint")).drop(
-        "__pid", "__pos", "__offset"
+    return joined.withColumn(out, (F.col("__offset") + F.col("__local")).cast("bigint")).drop(
+        "__pid", "__local", "__offset"
     )
 
 
