@@ -137,17 +137,17 @@ def change_subtype(values: DataFrame, new_subtype: DataFrame, base: DataFrame, s
     ``defaults``: layer, subtype, field, default.
     """
     moved = values.drop("subtype").join(new_subtype.select("element", "subtype"), "element")
-    hidden = subtypes.where("hidden").select("layer", "subtype", "field", F.lit(True).alias("__h"))
+    hidden = subtypes.where("hidden").select("layer", "subtype", "field", F.lit(True).alias("__hid"))
     shown = moved.join(hidden, ["layer", "subtype", "field"], "left").join(defaults, ["layer", "subtype", "field"], "left")
     blank = F.coalesce(F.trim("value") == "", F.lit(True))
     filled = shown.withColumn("__old", F.col("value")).withColumn(
-        "value", F.when(blank & F.col("__h").isNull(), F.col("default")).otherwise(F.col("value")))
+        "value", F.when(blank & F.col("__hid").isNull(), F.col("default")).otherwise(F.col("value")))
     none = subtypes.withColumn("hidden", F.lit(False))
     c = _admits(effective_domain(filled, base, none, rules), codes, ranges)
     was_blank = F.coalesce(F.trim("__old") == "", F.lit(True))
     status = (
-        F.when(F.col("__h") & ~was_blank, "DESCARTADO").when(was_blank & F.col("value").isNotNull() & F.col("__h").isNull(), "POR_DEFECTO")
-        .when(F.col("__h") | was_blank | F.col("valid"), "CONSERVADO").when(F.col("default").isNotNull(), "AJUSTADO").otherwise("INVALIDADO"))
+        F.when(F.col("__hid") & ~was_blank, "DESCARTADO").when(was_blank & F.col("value").isNotNull() & F.col("__hid").isNull(), "POR_DEFECTO")
+        .when(F.col("__hid") | was_blank | F.col("valid"), "CONSERVADO").when(F.col("default").isNotNull(), "AJUSTADO").otherwise("INVALIDADO"))
     return c.withColumn("status", status).select(
         "element", "layer", "field", F.col("__old").alias("before"),
         F.when(F.col("status").isin("CONSERVADO", "POR_DEFECTO"), F.col("value")).when(F.col("status") == "AJUSTADO", F.col("default")).alias("after"),

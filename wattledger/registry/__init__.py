@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["customers", "energy", "evidence", "grid", "field"]
+MODULES = ["customers", "energy", "evidence", "grid", "field", "io"]
 
 
 def load():

@@ -426,9 +426,9 @@ _REC = ["p_new_kw", "delta_p_kw", "delta_p_pct", "q_new_kvar", "delta_q_kvar", "
 
 
 @query("power_reconciliation", "SELECT account, division, tariff_class, p_prev_kw, q_prev_kvar, cause_period_days, cause_coincidence, cause_cos_phi, cause_multiplier, "
-       + ", ".join(f"round({c}, 6) AS {c}" for c in _REC) + " FROM reconciled")
+       + ", ".join(f"round({c}, 8) AS {c}" for c in _REC) + " FROM reconciled")
 def _(spark, d):
-    return rounded(_reconciled(spark, d), **{c: 6 for c in _REC})
+    return rounded(_reconciled(spark, d), **{c: 8 for c in _REC})
 
 
 @query("reconciliation_by_class", """

@@ -95,7 +95,7 @@ def read_sources(readers: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataFr
 def map_fields(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """Source fields to canonical names; a missing source field becomes NULL."""
     return df.select(*[
-        (F.col(src) if src in df.columns else F.lit(None).cast("string")).alias(dst) for dst, src in mapping.items()])
+        (F.col(src) if src in df.columns else F.lit(None).cast("string")).alias(dst) for src, dst in mapping.items()])
 
 
 def batches(df: DataFrame, batch_size: int = 50_000) -> Iterator[list]:
