@@ -36,17 +36,24 @@ def _is_empty(df: DataFrame) -> bool:
 def jump_levels(tree: DataFrame, max_levels: int = 40) -> list[DataFrame]:
     """Staged ``(feeder, node, jump)`` per level; level k holds nodes with a 2^k-th ancestor.
 
-    A jump to the source ends there, so the source is never a hot join key.
+    Where the tree has depths, they tell which nodes go on, and one aggregate tells
+    the number of levels. Without them a jump to the source ends there. Either way
+    the source is never a hot join key.
     """
-    roots = tree.where(F.col("parent").isNull()).select("feeder", F.col("node").alias("__root"))
-    level = stage(tree.where(F.col("parent").isNotNull()).select("feeder", "node", F.col("parent").alias("jump")), "jump")
-    levels = []
-    while not _is_empty(level) and len(levels) < max_levels:
+    known = "depth" in tree.columns
+    extra = ["depth"] if known else []
+    level = stage(tree.where(F.col("parent").isNotNull()).select("feeder", "node", F.col("parent").alias("jump"), *extra), "jump")
+    deepest = (level.agg(F.max("depth")).first()[0] or 0) if known else None
+    roots = tree.where(F.col("parent").isNull()).select("feeder", F.col("node").alias("jump"))
+    levels: list[DataFrame] = []
+    while len(levels) < max_levels and (deepest >= 2 ** len(levels) if known else not _is_empty(level)):
         levels.append(level)
-        inner = level.join(roots, (level.feeder == roots.feeder) & (F.col("jump") == F.col("__root")), "left_anti")
+        if known and deepest < 2 ** len(levels):
+            break
+        inner = level.where(F.col("depth") >= 2 ** len(levels)) if known else level.join(roots, ["feeder", "jump"], "left_anti")
         up = level.select("feeder", F.col("node").alias("jump"), F.col("jump").alias("__next"))
-        level = stage(inner.join(up, ["feeder", "jump"]).select("feeder", "node", F.col("__next").alias("jump")), "jump")
-    return levels
+        level = stage(inner.join(up, ["feeder", "jump"]).select("feeder", "node", F.col("__next").alias("jump"), *extra), "jump")
+    return [lv.select("feeder", "node", "jump") for lv in levels]
 
 
 def path_sums(values: DataFrame, levels: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
@@ -98,7 +105,7 @@ def _arborescence(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _bfs(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Breadth-first tree, one join per level; only the last two frontiers are excluded.
+    """Breadth-first tree, one join per level; only the last two levels are excluded.
 
     A neighbour of level L lies on level L-1, L or L+1, so the rest of the tree
     need not be looked at. A node reached from several parents takes the smallest.
@@ -111,17 +118,28 @@ def _bfs(edges: DataFrame, sources: DataFrame) -> DataFrame:
         sources.select("feeder", F.col("source").alias("node")).join(present, KEY, "left_semi").select(
             *KEY, F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("segment_id"),
             F.lit(0.0).alias("length_km"), F.lit(0).alias("depth")), "bfs")
+    cols = [*KEY, "parent", "segment_id", "length_km"]
+
+    def spread(front: DataFrame, before: DataFrame | None) -> DataFrame:
+        step = front.select("feeder", F.col("node").alias("at")).join(adjacency, ["feeder", "at"])
+        fresh = step.join(front.select(*KEY), KEY, "left_anti")
+        if before is not None:
+            fresh = fresh.join(before.select(*KEY), KEY, "left_anti")
+        return fresh.groupBy(*KEY).agg(F.min(F.struct("at", "segment_id", "length_km")).alias("m")).select(
+            *KEY, F.col("m.at").alias("parent"), F.col("m.segment_id"), F.col("m.length_km"))
+
     reached, older, depth = [frontier], None, 0
-    while not _is_empty(frontier):
-        depth += 1
-        step = frontier.select("feeder", F.col("node").alias("at")).join(adjacency, ["feeder", "at"])
-        fresh = step.join(frontier.select(*KEY), KEY, "left_anti")
-        if older is not None:
-            fresh = fresh.join(older.select(*KEY), KEY, "left_anti")
-        found = fresh.groupBy(*KEY).agg(F.min(F.struct("at", "segment_id", "length_km")).alias("m")).select(
-            *KEY, F.col("m.at").alias("parent"), F.col("m.segment_id"), F.col("m.length_km"), F.lit(depth).alias("depth"))
-        older, frontier = frontier, stage(found, "bfs")
-        reached.append(frontier)
+    while True:
+        # Two levels per staged table: half the jobs of one per level.
+        one = spread(frontier, older)
+        two = spread(one, frontier)
+        both = stage(one.select(*cols, F.lit(depth + 1).alias("depth")).unionByName(
+            two.select(*cols, F.lit(depth + 2).alias("depth"))), "bfs")
+        reached.append(both)
+        depth += 2
+        older, frontier = both.where(F.col("depth") == depth - 1), both.where(F.col("depth") == depth)
+        if _is_empty(frontier):
+            break
     out = reached[0]
     for part in reached[1:]:
         out = out.unionByName(part)

@@ -159,7 +159,8 @@ def own_history_signals(df: DataFrame, p: Signals = Signals()) -> DataFrame:
 
 def signal_matrix(df: DataFrame, p: Signals = Signals()) -> DataFrame:
     """All seven signals. Needs series, finite, mean_kwh, base_kwh, peer_group and site."""
-    return below_site(below_peers(own_history_signals(df, p), p), p)
+    # Group statistics first: they then read only the group and mean columns of ``df``.
+    return own_history_signals(below_peers(below_site(df, p), p), p)
 
 
 def evidence(df: DataFrame) -> DataFrame:
