@@ -154,3 +154,8 @@ def multilevel_risk(
         ),
     ).withColumn("data_problem", low & (F.col("score") > F.col("__p80"))).drop("__p80")
     return global_rank(blended, [F.col("risk_score").desc(), F.col("account")], out="risk_rank")
+
+
+def with_unit(ranking: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """Business unit of each customer's feeder, blank when the feeder is not in the catalogue."""
+    return ranking.join(hierarchy.select("feeder", "unit"), "feeder", "left").withColumn("unit", F.coalesce("unit", F.lit("")))

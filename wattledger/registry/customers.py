@@ -809,3 +809,14 @@ def _(spark, d):
         (30 + 5 * (F.substring(F.min("zone"), 2, 9).cast("int") % 15)).cast("double").alias("zone_confidence"))
     return rounded(scoring.multilevel_risk(r, site_risk, zones), risk_score=6).select(
         "account", "risk_score", "data_problem", "risk_rank")
+
+
+@query("ranking_with_unit", """
+SELECT account, rank, coalesce(r_name, '') AS unit FROM ranking JOIN (SELECT c_custkey AS account, c_nationkey FROM customer) USING (account)
+LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey <> 4 LEFT JOIN region ON r_regionkey = n_regionkey
+""")
+def _(spark, d):
+    from wattledger.registry.inputs import hierarchy
+
+    r = ranking(spark, d).select("account", "rank", "feeder")
+    return scoring.with_unit(r, hierarchy(spark, d).where(F.col("feeder") != "F004")).select("account", "rank", "unit")

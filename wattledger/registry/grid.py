@@ -13,6 +13,7 @@ from wattledger.registry.core import cte, query
 from wattledger.registry.customers import rounded
 from wattledger.registry.energy import orders_by_account
 from wattledger.registry.inputs import code, table
+from wattledger.sources import network_tables
 from wattledger.staging import stage
 
 FEEDERS = 20
@@ -621,3 +622,37 @@ def _(spark, d):
     # Without metering at the zone the input is estimated from the billed energy.
     r, s = signals.zone_residual(F.col("billed_kwh") * 1.08, F.col("billed_kwh"), F.col("billed_kwh") * 0.04)
     return g.select("zone", "billed_kwh", F.round(r, 4).alias("residual_kwh"), F.round(s, 6).alias("n1"))
+
+
+# --- raw tables ------------------------------------------------------------------
+
+@query("network_tables", """
+SELECT 'S' || p_partkey AS segment_id, CASE WHEN p_partkey % 6 = 0 THEN 0.0::DOUBLE ELSE p_size / 10.0::DOUBLE END AS length_km, CASE WHEN p_partkey % 5 = 0 THEN 3 ELSE CAST(1 + p_partkey % 3 AS INTEGER) END AS n_phases, 13800.0::DOUBLE AS voltage_v, false AS is_lv FROM part
+""")
+def _(spark, d):
+    k = F.col("p_partkey")
+    raw = table(spark, d, "part").select(
+        F.concat(F.lit("S"), k.cast("string")).alias("segment_id"), F.when(k % 6 != 0, F.col("p_size") / 10.0).alias("length_km"),
+        F.when(k % 5 == 0, F.lit(0)).otherwise(1 + k % 3).alias("n_phases"))
+    return network_tables.segments(raw).select("segment_id", "length_km", "n_phases", "voltage_v", "is_lv")
+
+
+@query("site_tables", """
+SELECT 'T' || p_partkey AS site, CASE p_partkey % 4 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN 15 WHEN 2 THEN p_size END AS kva,
+  CASE p_partkey % 4 WHEN 0 THEN [10.0::DOUBLE, 20] WHEN 1 THEN [15.0::DOUBLE] WHEN 2 THEN [p_size::DOUBLE] ELSE [] END AS kvas, 'UNIDAD_SIMPLE' AS config FROM part
+""")
+def _(spark, d):
+    k = F.col("p_partkey") % 4
+    raw = table(spark, d, "part").select(
+        F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("site"), F.when(k.isin(0, 2), F.col("p_size").cast("double")).alias("kva"),
+        F.when(k == 0, "[10, 20]").when(k == 1, "15KVA").alias("kvas"))
+    return network_tables.sites(raw).select("site", "kva", "kvas", "config")
+
+
+@query("nested_network", "SELECT feeder, node, count(*) AS n, sum(energy_kwh) AS energy FROM (SELECT feeder, node, lamp_w AS energy_kwh FROM glamps) GROUP BY 1, 2")
+def _(spark, d):
+    """Lamps nested per node and flattened back."""
+    l = lamps(spark, d).select("feeder", "node", "lamp_w", "technology")
+    nested = network_tables.nest(l)
+    flat = nested.select("feeder", "node", F.inline("elements"))
+    return flat.groupBy("feeder", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("lamp_w").alias("energy"))
