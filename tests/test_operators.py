@@ -295,7 +295,7 @@ def test_scope_fails_closed(spark):
 
 
 def test_scenario_reports_what_it_cannot_apply(spark):
-    v = spark.createDataFrame([("cliente", "1", "kwh", "10")], "layer string, element string, field string, value string")
+    v = spark.createDataFrame([("F", "cliente", "1", "kwh", "10"), ("G", "cliente", "2", "kwh", "5")], "feeder string, layer string, element string, field string, value string")
     c = spark.createDataFrame([("s", 1, "cliente", "1", "MODIFICAR", "kwh", "20"), ("s", 2, "cliente", "1", "MODIFICAR", "kwh", "30"),
                                ("s", 3, "cliente", "9", "MODIFICAR", "kwh", "1"), ("s", 4, "cliente", "1", "CREAR", "kwh", "1")],
                               "scenario string, seq int, layer string, element string, operation string, field string, after string")

@@ -28,17 +28,18 @@ def not_applied(changes: DataFrame, elements: DataFrame, layers: list[str]) -> D
 def overlay(values: DataFrame, changes: DataFrame, layers: list[str]) -> DataFrame:
     """Long attribute values with the scenario's last change per element and field applied.
 
-    ``values``: layer, element, field, value. A change may add a field the element
-    did not have. The input is not modified.
+    ``values``: feeder, layer, element, field, value. A scenario covers the feeders its
+    applicable changes touch, found by equi-joins; the other feeders are not copied.
+    A change may add a field the element did not have. The input is not modified.
     """
     bad = not_applied(changes, values, layers).select("scenario", "seq")
     good = changes.join(bad, ["scenario", "seq"], "left_anti")
     last = good.groupBy("scenario", "layer", "element", "field").agg(F.max_by(F.struct("after"), "seq").alias("c"))
-    scenarios = changes.select("scenario").distinct()
-    # The number of scenarios is a user's choice; the result holds each one's whole table.
-    whole = scenarios.join(values)
-    return whole.join(last, ["scenario", "layer", "element", "field"], "full_outer").select(
-        "scenario", "layer", "element", "field",
+    home = values.select("layer", "element", "feeder").distinct()
+    placed = last.join(home, ["layer", "element"])
+    whole = placed.select("scenario", "feeder").distinct().join(values, "feeder")
+    return whole.join(placed, ["scenario", "feeder", "layer", "element", "field"], "full_outer").select(
+        "scenario", "feeder", "layer", "element", "field",
         F.when(F.col("c").isNotNull(), F.col("c.after")).otherwise(F.col("value")).alias("value"),
         F.col("c").isNotNull().alias("changed"))
 

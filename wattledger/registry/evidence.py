@@ -24,11 +24,11 @@ def billing(spark, d) -> DataFrame:
 
 def gis(spark, d) -> DataFrame:
     """Accounts on the network: most customers, a few unknown ones, some blanks."""
-    c = table(spark, d, "customer").select("c_custkey")
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
     k = F.col("c_custkey")
-    return c.where(k % 20 != 3).select(k.cast("string").alias("account")).unionByName(
-        c.where(k % 100 == 1).select(F.concat(F.lit("9999"), k.cast("string")).alias("account"))).unionByName(
-        c.where(k % 200 == 7).select(F.lit("nan").alias("account")))
+    return c.where(F.col("c_acctbal") >= -450).select(k.cast("string").alias("account")).unionByName(
+        c.where(F.col("c_acctbal") > 9900).select(F.concat(F.lit("9999"), k.cast("string")).alias("account"))).unionByName(
+        c.where(F.col("c_acctbal") < -950).select(F.lit("nan").alias("account")))
 
 
 cte("billing", """
@@ -36,8 +36,8 @@ SELECT CAST(o_custkey AS VARCHAR) AS account, sum(floor(o_totalprice / 100)) AS
 FROM orders JOIN register ON o_custkey = register.account GROUP BY 1
 """)
 cte("gis", """
-SELECT CAST(c_custkey AS VARCHAR) AS account FROM customer WHERE c_custkey % 20 <> 3
-UNION ALL SELECT '9999' || c_custkey FROM customer WHERE c_custkey % 100 = 1
+SELECT CAST(c_custkey AS VARCHAR) AS account FROM customer WHERE c_acctbal >= -450
+UNION ALL SELECT '9999' || c_custkey FROM customer WHERE c_acctbal > 9900
 """)
 
 

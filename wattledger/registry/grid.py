@@ -412,10 +412,11 @@ def _(spark, d):
 # --- load flow -----------------------------------------------------------------
 
 def conductor_table(spark, d) -> DataFrame:
-    """Four conductors known to the catalogue, from the parts table."""
-    return table(spark, d, "part").where(F.col("p_partkey") < 4).select(
-        F.concat(F.lit("C"), F.col("p_partkey").cast("string")).alias("code"), (0.2 + 0.1 * F.col("p_partkey")).alias("r_ohm_km"),
-        F.lit(0.35).alias("x_ohm_km"), (60.0 + 40.0 * F.col("p_partkey")).alias("ampacity_a"))
+    """Conductors known to the catalogue: the kinds that occur in the parts table."""
+    kind = F.col("p_partkey") % 4
+    return table(spark, d, "part").select(
+        F.concat(F.lit("C"), kind.cast("string")).alias("code"), (0.2 + 0.1 * kind).alias("r_ohm_km"),
+        F.lit(0.35).alias("x_ohm_km"), (60.0 + 40.0 * kind).alias("ampacity_a")).distinct()
 
 
 def _flow_inputs(spark, d):
@@ -649,10 +650,11 @@ def _(spark, d):
     return network_tables.sites(raw).select("site", "kva", "kvas", "config")
 
 
-@query("nested_network", "SELECT feeder, node, count(*) AS n, sum(energy_kwh) AS energy FROM (SELECT feeder, node, lamp_w AS energy_kwh FROM glamps) GROUP BY 1, 2")
+@query("nested_network", """
+SELECT feeder, node, 1 AS part, lamp_w FROM glamps UNION ALL SELECT feeder, node, 2, lamp_w / 2 FROM glamps
+""")
 def _(spark, d):
-    """Lamps nested per node and flattened back."""
-    l = lamps(spark, d).select("feeder", "node", "lamp_w", "technology")
-    nested = network_tables.nest(l)
-    flat = nested.select("feeder", "node", F.inline("elements"))
-    return flat.groupBy("feeder", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("lamp_w").alias("energy"))
+    """Two lamps nested in each row, flattened to one row per lamp."""
+    l = lamps(spark, d).select("feeder", F.array(
+        F.struct("node", F.lit(1).alias("part"), "lamp_w"), F.struct("node", F.lit(2).alias("part"), (F.col("lamp_w") / 2).alias("lamp_w"))).alias("lights"))
+    return network_tables.flatten(l, "lights")

@@ -93,11 +93,11 @@ def _(spark, d):
     return out
 
 
-@query("folder_export", "SELECT count(*) AS n FROM nation")
+@query("folder_export", "SELECT count(*) AS n FROM customer")
 def _(spark, d):
     folder = scratch(spark, "export")
-    sinks.export_tables({"nation": table(spark, d, "nation"), "none": table(spark, d, "nation").limit(0)}, folder)
-    return spark.read.option("header", True).csv(f"{folder}/nation").agg(F.count(F.lit(1)).alias("n"))
+    sinks.export_tables({"customer": table(spark, d, "customer"), "none": table(spark, d, "nation").limit(0)}, folder)
+    return spark.read.option("header", True).csv(f"{folder}/customer").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("run_log")
@@ -117,7 +117,7 @@ def _(spark, d):
 
 @query("stream_journal", """
 SELECT package, count(*) AS changes, min(seq) AS first_seq, max(seq) AS last_seq FROM (
-  SELECT 'P' || (user_id % 10) AS package, event_id AS seq FROM events WHERE event_id % 997 <> 5 AND event_id % 4 <> 0) GROUP BY 1
+  SELECT 'P' || (user_id % 10) AS package, event_id AS seq FROM events WHERE event_id % 4 <> 0) GROUP BY 1
 """)
 def _(spark, d):
     """The journal loaded as a stream, twice over the same file, and read back once per change."""

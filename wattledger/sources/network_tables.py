@@ -58,11 +58,3 @@ def flatten(models: DataFrame, element: str) -> DataFrame:
     """One element class of nested feeder models: a row per entry of the array ``element``."""
     return models.select("feeder", F.inline(element))
 
-
-def nest(elements: DataFrame, by: str = "node") -> DataFrame:
-    """Elements of each node as an array, for consumers of the nested form.
-
-    Meant for nodes: a node carries few elements.
-    """
-    rest = [c for c in elements.columns if c not in ("feeder", by)]
-    return elements.groupBy("feeder", by).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("elements"))
