@@ -446,7 +446,7 @@ UNION ALL SELECT package, 'SYNC17', count(*) FROM fresh WHERE operation = 'RECON
 UNION ALL SELECT package, 'SYNC18', count(*) FROM fresh WHERE operation = 'RECONECTAR' AND before IS NOT DISTINCT FROM after GROUP BY 1
 UNION ALL SELECT package, 'SYNC02', 1 FROM (SELECT DISTINCT package FROM changes) WHERE package = 'P3'
 UNION ALL SELECT package, 'SYNC03', 1 FROM (SELECT DISTINCT package FROM changes) WHERE package IN ('P1', 'P3', 'P5', 'P7', 'P9')
-UNION ALL SELECT 'P' || (s_suppkey % 10 + 8), 'SYNC10', 1 FROM supplier WHERE s_suppkey % 10 + 8 > 9 GROUP BY s_suppkey % 10
+UNION ALL SELECT DISTINCT 'P' || (s_suppkey % 18), 'SYNC10', 1 FROM supplier WHERE s_suppkey % 18 > 9
 """)
 _SEV = """CASE WHEN "check" IN ('SYNC02', 'SYNC11', 'SYNC12', 'SYNC15', 'SYNC17', 'SYNC20') THEN 'BLOQUEANTE' WHEN "check" = 'SYNC19' THEN 'INFORMATIVO' ELSE 'ADVERTENCIA' END"""
 
