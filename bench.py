@@ -31,8 +31,6 @@ def main() -> None:
     spark = build_session(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g",
         spark__ui__enabled="false", spark__sql__files__maxPartitionBytes="32m",
-        # Small local tables would otherwise be coalesced into one task.
-        spark__sql__adaptive__coalescePartitions__minPartitionSize="16k",
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = load()[0]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattledger.functions.classify import classify_distinct, segment_columns
 from wattledger.operators.peers import assign_peer_group
-from wattledger.operators.series import account_series, series_statistics
+from wattledger.operators.series import account_series, month_axis, series_statistics
 from wattledger.registry.core import cte
 from wattledger.staging import stage
 
@@ -78,9 +78,16 @@ FROM customer
 
 
 def monthly_orders(spark: SparkSession, d: str) -> DataFrame:
-    """Long readings from ``orders``: kWh per account and month, months without orders absent."""
+    """Long readings of the axis from ``orders``: kWh per account and month, months without orders absent.
+
+    The range is put on the raw date, so that it reaches the Parquet scan.
+    """
+    first = month_axis(LAST_MONTH, MONTHS)[0]
+    end = month_axis(date(LAST_MONTH.year + LAST_MONTH.month // 12, LAST_MONTH.month % 12 + 1, 1), 1)[0]
+    day = F.col("o_orderdate")
     return (
         table(spark, d, "orders")
+        .where((day >= F.lit(first).cast("timestamp_ntz")) & (day < F.lit(end).cast("timestamp_ntz")))
         .groupBy(
             F.col("o_custkey").alias("account"),
             F.trunc("o_orderdate", "month").alias("period"),
