@@ -160,7 +160,8 @@ def mix_rows(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``row, doc_id, source, size, source_size, target, pieces`` of ``docs(row, doc_id, source, text)``: what the mix
     takes of each row, as an array of ``(pass, shard, slot, from, to)`` over its words (null if nothing)."""
     rows, plan = pack(docs)
-    slots = draw_slots(docs.sparkSession, plan, seed)
+    # Staged, so that the planner knows its size: it grows with the corpus and must not be broadcast.
+    slots = stage(draw_slots(docs.sparkSession, plan, seed), "slots")
     spread = rows.where("size > 0").select("row", "number", "first", "size", F.explode(F.sequence(
         F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("size") - 1) / BLOCK))).alias("block"))
     taken = spread.join(slots, ["number", "block"]).select("row", F.struct(
