@@ -28,6 +28,8 @@ MOST_CENTROIDS = 256
 DISTINCT_CENTROIDS = 0.8
 DEGREE, ALPHA, NEIGHBOURS = 24, 1.2, 64
 BEAM = 12
+#: Edges of a node in a search, of those in its united list and those that lead to it.
+MOST_EDGES = 3 * DEGREE
 #: The expansion goes on through vectors this far below the threshold.
 SLACK = 0.06
 AUDITED = 64
@@ -202,7 +204,13 @@ def _searcher(threshold: float):
         owner = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
         spot = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
         here = ids[spot] == flat
-        owner, spot = owner[here], spot[here]
+        # Both directions of an edge, the nearest of a node first: no vector is without a way in.
+        pair = np.unique(np.concatenate([owner[here] * len(ids) + spot[here], spot[here] * len(ids) + owner[here]]))
+        owner, spot = pair // len(ids), pair % len(ids)
+        order = np.lexsort((-np.einsum("nd,nd->n", x[owner], x[spot]), owner))
+        owner, spot = owner[order], spot[order]
+        near = np.arange(len(owner)) - np.searchsorted(owner, owner) < MOST_EDGES
+        owner, spot = owner[near], spot[near]
         place = np.arange(len(owner)) - np.searchsorted(owner, owner)
         adjacency = np.full((len(ids), int(place.max(initial=0)) + 1), -1, np.int64)
         adjacency[owner, place] = spot
@@ -282,7 +290,8 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     known = known.join(names, "root").select("label", "embedding", "component_id", (F.col("copies") - 1 + F.col("links")).alias("links"))
     known = stage(known, "known")
     joined = base.join(known, ["label", "embedding"], "left").select(
-        "vec_id", "label", "embedding", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        "vec_id", "label", "embedding", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+        F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"))
     recall = audit_recall(good, joined, threshold)
     return joined.crossJoin(F.broadcast(recall)).select(
         "vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), "audit_recall")

@@ -200,13 +200,16 @@ def _voter(batches):
             best = _best(scores)
             if best:
                 votes[host, "/".join(best)] = votes.get((host, "/".join(best)), 0) + scores[best][0]
-        yield pd.DataFrame({"host": [k[0] for k in votes], "path": [k[1] for k in votes], "votes": list(votes.values())})
+        if votes:
+            host, path = (pd.Series([k[i] for k in votes], dtype=object) for i in range(2))
+            yield pd.DataFrame({"host": host, "path": path, "votes": list(votes.values())})
 
 
 def _extractor(batches):
     for pdf in batches:
         texts = [extract(page, winner if isinstance(winner, str) else None) for page, winner in zip(pdf["html"], pdf["path"])]
-        yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "host": pdf["host"], "path": pdf["path"], "text": texts, "n_chars": [len(t) for t in texts]})
+        kept = {c: pd.Series([v if isinstance(v, str) else None for v in pdf[c]], dtype=object) for c in ("url", "host", "path")}
+        yield pd.DataFrame({"page_id": pd.array([None if pd.isna(v) else int(v) for v in pdf["page_id"]], "Int64"), **kept, "text": pd.Series(texts, dtype=object), "n_chars": [len(t) for t in texts]})
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

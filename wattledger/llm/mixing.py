@@ -223,7 +223,7 @@ def _slicer(columns: list[str]):
                 for turn in sorted(turns):
                     keep.append(k)
                     texts.append(cut(text, turns[turn], size))
-            out = pdf[columns].iloc[keep].copy()
+            out = pdf[columns].iloc[keep].astype({c: object for c in columns if pdf[c].dtype.name in ("str", "string")})
             out["text"] = texts
             if "n_chars" in columns:
                 out["n_chars"] = [len(t) for t in texts]
