@@ -350,3 +350,38 @@ def test_commercial_plan_finds_injected_theft(spark):
     top = {r["account"] for r in out["ranking"].where("rank <= 90").collect()}
     assert len(top & thieves) / len(thieves) >= 0.8
     assert out["reconciliation"].count() == 600 and out["signals"].count() == 600
+
+
+def test_detached_loop_does_not_stop_the_fleet(spark):
+    from wattledger.operators import network
+
+    rows = [("A", "1", "r", "c", 1.0), ("A", "2", "a", "b", 1.0), ("A", "3", "b", "a", 1.0), ("B", "4", "r", "x", 1.0), ("B", "5", "x", "y", 1.0),
+            ("C", "6", "r", "q", 1.0), ("C", "7", "z", "z", 1.0)]
+    edges = spark.createDataFrame(rows, "feeder string, segment_id string, from_node string, to_node string, length_km double")
+    sources = spark.createDataFrame([(f, "r") for f in "ABC"], "feeder string, source string")
+    tree = network.orient(edges, sources)
+    got = {(r.feeder, r.node): r.depth for r in tree.collect()}
+    assert got == {("A", "r"): 0, ("A", "c"): 1, ("B", "r"): 0, ("B", "x"): 1, ("B", "y"): 2, ("C", "r"): 0, ("C", "q"): 1}
+    assert {(r.feeder, r.node) for r in network.islands(edges, tree).collect()} == {("A", "a"), ("A", "b"), ("C", "z")}
+
+
+def test_accounts_without_readings_stay(spark):
+    from datetime import date
+
+    from wattledger.operators import series
+
+    register = spark.createDataFrame([(1,), (2,)], "account long")
+    readings = spark.createDataFrame([(1, date(2001, 7, 1), 5.0)], "account long, period date, kwh double")
+    rows = series.with_all_accounts(register, series.account_series(readings, date(2001, 7, 1), 3), 3)
+    got = {r.account: r for r in series.representative_average(series.series_statistics(rows)).collect()}
+    assert got[1].avg_kwh == 5.0 and (got[2].avg_kwh, got[2].n_valid, got[2].cv, got[2].reliable) == (0.0, 0, None, False)
+
+
+def test_review_flags_rejected_propagation_of_an_accepted_element(spark):
+    from wattledger.operators import journal
+
+    changes = spark.createDataFrame([("P", 1, "e1", None), ("P", 2, "e2", 1), ("P", 3, "e3", None), ("P", 4, "e4", 3)], "package string, seq long, element string, propagated_from long")
+    decisions = spark.createDataFrame([("P", 1, "ACEPTADO"), ("P", 2, "RECHAZADO"), ("P", 3, "RECHAZADO"), ("P", 4, "ACEPTADO")], "package string, seq long, decision string")
+    findings = spark.createDataFrame([], "package string, severity string")
+    got = {r.seq: (r.state, r.inconsistent) for r in journal.review(changes, decisions, findings).collect()}
+    assert got == {1: ("ACEPTADO", False), 2: ("RECHAZADO", True), 3: ("RECHAZADO", False), 4: ("ACEPTADO", False)}

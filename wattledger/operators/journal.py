@@ -155,18 +155,20 @@ def change_subtype(values: DataFrame, new_subtype: DataFrame, base: DataFrame, s
 
 
 def review(changes: DataFrame, decisions: DataFrame, findings: DataFrame) -> DataFrame:
-    """Apply decisions; blocked packages stay pending, and a change follows its rejected origin.
+    """Apply decisions and flag inconsistent propagation; blocked packages stay pending.
 
+    A propagated change that was rejected while the element it comes from was accepted in its package is
+    ``inconsistent``: the network would come apart there. Decisions are the reviewer's and are never rewritten.
     ``decisions``: package, seq, decision, reviewer.
     """
     blocked = findings.where(F.col("severity") == "BLOQUEANTE").select("package").distinct().withColumn("__b", F.lit(True))
     d = changes.join(decisions, ["package", "seq"], "left").join(blocked, "package", "left").withColumn(
         "state", F.when(F.col("__b"), "PENDIENTE").otherwise(F.coalesce("decision", F.lit("PENDIENTE")))).drop("__b", "decision")
-    rejected = d.where(F.col("state") == "RECHAZADO").select("package", F.col("seq").alias("propagated_from"), F.lit(True).alias("__r"))
-    return d.join(rejected, ["package", "propagated_from"], "left").withColumns({
-        "inconsistent": F.coalesce("__r", F.lit(False)) & (F.col("state") == "ACEPTADO"),
-        "state": F.when(F.col("__r") & (F.col("state") == "ACEPTADO"), "RECHAZADO").otherwise(F.col("state")),
-    }).drop("__r")
+    origins = d.select("package", F.col("seq").alias("propagated_from"), F.col("element").alias("__o"))
+    accepted = d.where(F.col("state") == "ACEPTADO").select("package", F.col("element").alias("__o")).distinct()
+    open_ = origins.join(accepted, ["package", "__o"], "left_semi").select("package", "propagated_from", F.lit(True).alias("__a")).distinct()
+    return d.join(open_, ["package", "propagated_from"], "left").withColumn(
+        "inconsistent", F.coalesce("__a", F.lit(False)) & (F.col("state") == "RECHAZADO")).drop("__a")
 
 
 # Analysis stages that each operation makes stale.

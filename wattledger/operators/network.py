@@ -33,8 +33,8 @@ def _is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
 
-def jump_levels(tree: DataFrame, max_levels: int = 40) -> list[DataFrame]:
-    """Staged ``(feeder, node, jump)`` per level; level k holds nodes with a 2^k-th ancestor.
+def _doubling(tree: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Jump levels, and the rows that still have an ancestor after more doublings than a tree of their size can be deep.
 
     Where the tree has depths, they tell which nodes go on, and one aggregate tells
     the number of levels. Without them a jump to the source ends there. Either way
@@ -43,17 +43,30 @@ def jump_levels(tree: DataFrame, max_levels: int = 40) -> list[DataFrame]:
     known = "depth" in tree.columns
     extra = ["depth"] if known else []
     level = stage(tree.where(F.col("parent").isNotNull()).select("feeder", "node", F.col("parent").alias("jump"), *extra), "jump")
-    deepest = (level.agg(F.max("depth")).first()[0] or 0) if known else None
+    if known:
+        rounds = (level.agg(F.max("depth")).first()[0] or 0).bit_length()
+    else:
+        rounds = (tree.groupBy("feeder").count().agg(F.max("count")).first()[0] or 0).bit_length() + 1
     roots = tree.where(F.col("parent").isNull()).select("feeder", F.col("node").alias("jump"))
     levels: list[DataFrame] = []
-    while len(levels) < max_levels and (deepest >= 2 ** len(levels) if known else not _is_empty(level)):
+    while len(levels) < rounds and (known or not _is_empty(level)):
         levels.append(level)
-        if known and deepest < 2 ** len(levels):
+        if known and len(levels) == rounds:
             break
         inner = level.where(F.col("depth") >= 2 ** len(levels)) if known else level.join(roots, ["feeder", "jump"], "left_anti")
         up = level.select("feeder", F.col("node").alias("jump"), F.col("jump").alias("__next"))
         level = stage(inner.join(up, ["feeder", "jump"]).select("feeder", "node", F.col("__next").alias("jump"), *extra), "jump")
-    return [lv.select("feeder", "node", "jump") for lv in levels]
+    looped = None if known or len(levels) < rounds or _is_empty(level) else level
+    return [lv.select("feeder", "node", "jump") for lv in levels], looped
+
+
+def jump_levels(tree: DataFrame) -> list[DataFrame]:
+    """Staged ``(feeder, node, jump)`` per level; level k holds nodes with a 2^k-th ancestor."""
+    levels, looped = _doubling(tree)
+    if looped is not None:
+        bad = [r.feeder for r in looped.select("feeder").distinct().limit(5).collect()]
+        raise ValueError(f"not trees: nodes of feeders {bad} are their own ancestors")
+    return levels
 
 
 def path_sums(values: DataFrame, levels: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
@@ -161,7 +174,12 @@ def orient(edges: DataFrame, sources: DataFrame) -> DataFrame:
         "feeder", F.col("to_node").alias("node"), F.col("from_node").alias("parent"), "segment_id", "length_km"
     ).unionByName(roots, allowMissingColumns=True).fillna({"length_km": 0.0})
     direct = stage(direct, "direct")
-    levels = jump_levels(direct)
+    levels, looped = _doubling(direct)
+    if looped is not None:
+        # A loop detached from the source has as many edges as a tree would: such feeders are searched instead.
+        shaped = stage(shaped.join(looped.select("feeder").distinct(), "feeder", "left_anti"), "shaped")
+        direct = stage(direct.join(shaped, "feeder", "left_semi"), "direct")
+        levels = jump_levels(direct)
     own = direct.select(*KEY, F.when(F.col("parent").isNotNull(), 1.0).otherwise(0.0).alias("depth"))
     depth = path_sums(own, levels, ["depth"]).withColumn("depth", F.col("depth").cast("int"))
     tree = direct.join(depth, KEY)

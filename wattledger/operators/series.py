@@ -141,6 +141,12 @@ def account_series(long: DataFrame, last: date, months: int) -> DataFrame:
     )
 
 
+def with_all_accounts(register: DataFrame, series: DataFrame, months: int) -> DataFrame:
+    """Register rows with their ``series``; an account that was never read has an array of missing months."""
+    unread = F.array_repeat(F.lit(None).cast("double"), months)
+    return register.join(series, "account", "left").withColumn("series", F.coalesce("series", unread))
+
+
 def series_statistics(df: DataFrame, p: Segmentation = Segmentation()) -> DataFrame:
     """Finite values, mean of all months and own base level (P75) per account."""
     return (

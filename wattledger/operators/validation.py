@@ -39,9 +39,12 @@ def top_k_metrics(positions: DataFrame, ks: Sequence[float] = (1, 5, 10, 20)) ->
     n_pos = positions.agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("p"))     # one row
     tops = n_pos.select("n", "p", F.explode(F.array(*[F.lit(float(k)) for k in ks])).alias("k_pct")).withColumn(
         "top", F.greatest(F.lit(1), F.bround(F.col("n") * F.col("k_pct") / 100.0)).cast("bigint"))
-    # One row per k; only hits are compared with them.
-    counted = tops.join(positions.where("hit").select("pos"), F.col("pos") <= F.col("top"), "left").groupBy("k_pct", "top", "n", "p").agg(
-        F.count("pos").alias("found"))
+    # The tops are one small row, so each k is a conditional count of one pass over the positions.
+    marks = tops.groupBy("n", "p").agg(F.map_from_entries(F.collect_list(F.struct("k_pct", "top"))).alias("tops"))
+    found = positions.where("hit").crossJoin(F.broadcast(marks.select("tops"))).agg(*[
+        F.count_if(F.col("pos") <= F.col("tops")[F.lit(float(k))]).alias(f"k{i}") for i, k in enumerate(ks)])
+    by_k = found.select(F.explode(F.array(*[F.struct(F.lit(float(k)).alias("k_pct"), F.col(f"k{i}").alias("found")) for i, k in enumerate(ks)])).alias("e")).select("e.*")
+    counted = tops.join(by_k, "k_pct")
     base = F.col("p") / F.col("n")
     return counted.where(F.col("p") > 0).select(
         "k_pct", "top", "found", (F.col("found") / F.col("top")).alias("precision"),

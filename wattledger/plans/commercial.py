@@ -23,7 +23,7 @@ def analyse(
     division. ``readings``: account, period, kwh. The customer table is staged once
     and everything after it reads that stage.
     """
-    rows = register.join(series.account_series(readings, last_month, months), "account")
+    rows = series.with_all_accounts(register, series.account_series(readings, last_month, months), months)
     rows = segment_columns(classify_distinct(series.series_statistics(rows, segmentation)), segmentation)
     rows = series.representative_average(
         rows.withColumn("suspended", ~F.coalesce("active", F.lit(True))), averaging,

@@ -476,8 +476,10 @@ cte("reviewed0", """
 SELECT *, CASE WHEN package IN ('P2', 'P4') THEN 'PENDIENTE' WHEN seq % 5 = 0 THEN 'PENDIENTE' WHEN seq % 3 = 0 THEN 'RECHAZADO' ELSE 'ACEPTADO' END AS s0 FROM fresh
 """)
 cte("reviewed", """
-SELECT c.*, p.seq IS NOT NULL AND c.s0 = 'ACEPTADO' AS inconsistent, CASE WHEN p.seq IS NOT NULL AND c.s0 = 'ACEPTADO' THEN 'RECHAZADO' ELSE c.s0 END AS state
-FROM reviewed0 c LEFT JOIN (SELECT package, seq FROM reviewed0 WHERE s0 = 'RECHAZADO') p ON p.package = c.package AND p.seq = c.propagated_from
+SELECT c.*, c.s0 AS state, c.s0 = 'RECHAZADO' AND EXISTS (
+  SELECT 1 FROM reviewed0 o JOIN reviewed0 a ON a.package = o.package AND a.element = o.element AND a.s0 = 'ACEPTADO'
+  WHERE o.package = c.package AND o.seq = c.propagated_from) AS inconsistent
+FROM reviewed0 c
 """)
 
 

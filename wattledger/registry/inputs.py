@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattledger.functions.classify import classify_distinct, segment_columns
 from wattledger.operators.peers import assign_peer_group
-from wattledger.operators.series import account_series, month_axis, series_statistics
+from wattledger.operators.series import account_series, month_axis, series_statistics, with_all_accounts
 from wattledger.registry.core import cte
 from wattledger.staging import stage
 
@@ -109,13 +109,9 @@ def customer_series(spark: SparkSession, d: str) -> DataFrame:
     Readings are whole kWh. A month without orders is a zero reading for every third account and a
     missing one for the others.
     """
-    series = account_series(monthly_orders(spark, d), LAST_MONTH, MONTHS)
-    filled = series.select(
-        "account",
-        F.when(F.col("account") % 3 == 0, F.transform("series", lambda x: F.coalesce(x, F.lit(0.0))))
-        .otherwise(F.col("series")).alias("series"),
-    )
-    return series_statistics(register(spark, d).join(filled, "account"))
+    series = with_all_accounts(register(spark, d), account_series(monthly_orders(spark, d), LAST_MONTH, MONTHS), MONTHS)
+    return series_statistics(series.withColumn(
+        "series", F.when(F.col("account") % 3 == 0, F.transform("series", lambda x: F.coalesce(x, F.lit(0.0)))).otherwise(F.col("series"))))
 
 
 cte("axis", """
@@ -123,7 +119,7 @@ SELECT CAST(i AS INTEGER) AS i, CAST(DATE '1998-08-01' + to_months(CAST(i AS INT
 FROM range(36) t(i)
 """)
 cte("seen_accounts", """
-SELECT DISTINCT account FROM monthly JOIN axis USING (period)
+SELECT account FROM register
 """)
 cte("readings", """
 SELECT s.account, a.i, a.period,

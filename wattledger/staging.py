@@ -9,6 +9,7 @@ computed on the way into a stage, so every later reader sees the same ones.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ _STAGES: list[str] = []
 
 
 def stage_root(spark: SparkSession) -> str:
-    """Folder the session names for checkpoints; a temporary one if it names none."""
+    """Folder the session names for checkpoints; a temporary one if it names none and runs on this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="wattledger-stages-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
