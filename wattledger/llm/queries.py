@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import os
+from pathlib import Path
 
 from wattledger.llm import chat_format, decontamination, embeddings_dedup, html_extract, jaccard_join, licences, mixing, sharding, substring_dedup, toxicity
 
@@ -11,6 +12,10 @@ ARROW_ROWS = "512"
 
 
 def table(spark, sf_dir: str, name: str):
+    """A table of the driver's. Python workers find this package even if the session was started in another folder."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
