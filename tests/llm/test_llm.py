@@ -126,6 +126,10 @@ def test_chat_round_trip_and_parts(spark):
     r = chat_format.format_chats(df).first()
     assert r.formatted == "<s>[INST] user [/INST]see <image_1><\\image_1><audio_3>?</s>"
     assert [(a.part, a.ref, a.tokens) for a in r.attachments] == [(1, "img://1", 513), (3, "aud://2", 77)] and r.expanded_tokens == 590
+    split = [("text", "a <", None, None), ("text", "/s", None, None), ("text", ">[INST", None, None), ("text", None, None, None), ("text", "] b\\", None, None), ("text", "<", None, None)]
+    cut = spark.createDataFrame([(1, 0, "user", None, split), (1, 1, "assistant", None, split)], df.schema)
+    got = chat_format.parse_chats(chat_format.format_chats(cut)).first()
+    assert [t.text for t in got.turns] == ["a </s>[INST] b\\<"] * 2
     assert chat_format.digest_chats(turns.limit(0)).count() == 0
 
 

@@ -18,8 +18,12 @@ PARTS = "array<struct<type:string,text:string,ref:string,amount:int>>"
 TOKENS = {"image": (1, 256), "audio": (2, 25), "document": (2, 600)}
 
 
-def escape(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, "\\\\", "\\\\\\\\"), _CONTROL, "$1\\\\")
+#: The same in a part that another one follows: a bracket at its end may also open a control string together with that.
+_OPEN_CONTROL = _CONTROL[:-1] + "|[^<\\[\\\\]*\\z)"
+
+
+def escape(text: Column, control: str = _CONTROL) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, "\\\\", "\\\\\\\\"), control, "$1\\\\")
 
 
 def unescape(text: Column) -> Column:
@@ -33,7 +37,9 @@ def _visit_parts(parts: Column) -> Column:
         for kind, (head, each) in TOKENS.items():
             tokens = F.when(part["type"] == kind, (F.lit(head) + F.lit(each) * F.greatest(F.coalesce(part["amount"], F.lit(1)), F.lit(0))).cast("long")).otherwise(tokens)
         known = part["type"].isin(*TOKENS)
-        shown = F.when(known, F.concat(F.lit("<"), part["type"], F.lit("_"), i.cast("string"), F.lit(">"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+        text = F.coalesce(part["text"], F.lit(""))
+        shown = F.when(known, F.concat(F.lit("<"), part["type"], F.lit("_"), i.cast("string"), F.lit(">"))).otherwise(
+            F.when(i + 1 < F.size(parts), escape(text, _OPEN_CONTROL)).otherwise(escape(text)))
         return F.struct(shown.alias("shown"), F.when(known, F.struct(part["type"].alias("type"), i.alias("part"), part["ref"].alias("ref"), tokens.alias("tokens"))).alias("attachment"))
     return F.transform(F.coalesce(parts, F.array().cast(PARTS)), visit)
 
