@@ -82,7 +82,7 @@ def test_bayesian_bound_keeps_pairs_at_the_threshold():
     assert all((draws[:, :n].sum(axis=1) >= m).all() for n, m in zip(range(40, 201, 40), least)) and least[0] > 15
 
 
-def test_decontamination_finds_planted_items_only(spark, docs, empty):
+def test_decontamination_finds_planted_items_only(spark, docs, empty, monkeypatch):
     items = {1: prose(21, 40), 2: prose(22, 16), 3: prose(23, 150), 4: ["one", "two"]}
     bench = spark.createDataFrame([(k, " ".join(v) + ".") for k, v in items.items()] + [(5, None), (6, ""), (1, " ".join(items[1]) + ".")], "item_id long, text string")
     planted = [(100 + k, "„" + " ".join(prose(30 + k, 77) + [w.upper() for w in items[k]] + prose(40 + k, 50)), "en", "s", 0) for k in (1, 2, 3)]
@@ -92,13 +92,17 @@ def test_decontamination_finds_planted_items_only(spark, docs, empty):
     assert got == {(101, 1), (102, 2), (103, 3)}
     left = decontamination.decontaminate(every, bench)
     assert left.count() == every.count() - 3 and left.columns == every.columns
+    with monkeypatch.context() as m:  # a benchmark of several passes
+        m.setattr(decontamination, "INDEX_SEGMENTS", 1)
+        m.setattr(decontamination, "AT_ONCE", 1)
+        assert {(r.doc_id, r.item_id) for r in decontamination.find_contamination(every, bench).where("contaminated").collect()} == got
     assert decontamination.find_contamination(empty, bench).count() == 0
     assert decontamination.find_contamination(every, bench.limit(0)).count() == 0
 
 
 def test_index_finds_every_segment_at_the_threshold():
     items = [(k, " ".join(prose(60 + k % 7, 20 + k))) for k in range(40)]
-    index = decontamination.build_indexes(items)[0]
+    index = next(decontamination.build_indexes(items))
     text = " ".join(prose(63, 45) + prose(64, 200))
     w = hash_words([text], letters=True)
     got = {(start, s) for _, start, s, _ in index.search(w.hashes, w.offsets)}

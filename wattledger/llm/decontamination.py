@@ -10,7 +10,8 @@ verified: the item's question and its answer must both reappear around the passa
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattledger.llm.words import chunks, hash_words, runs, shingles
+from wattledger.staging import stage
 
 K1, B = 1.2, 0.75
 PASSAGE, STRIDE = 64, 32
@@ -32,6 +34,8 @@ GRAM = 3
 LEAST_WORDS = 5
 #: Segments of one index; a larger benchmark gets several, and every passage is run against each.
 INDEX_SEGMENTS = 1024
+#: Indexes broadcast for one pass over the documents; a larger benchmark takes several passes.
+AT_ONCE = 4
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -119,19 +123,21 @@ class Index:
                     yield int(text[w[i]]), int(start[w[i]]), int(b * BLOCK + s), float(score[s])
 
 
-def build_indexes(items: list[tuple[int, str]]) -> list[Index]:
-    """Indexes of at most ``INDEX_SEGMENTS`` segments; items without ``LEAST_WORDS`` words are left out."""
-    sized = [(i, t, len(hash_words([t], letters=True).hashes)) for i, t in items if t]
-    sized = sorted((x for x in sized if x[2] >= LEAST_WORDS), key=lambda x: (x[0], x[1]))
-    out, part, segments = [], [], 0
-    for item, text, n in sized:
+def build_indexes(items: Iterable[tuple[int, str]]) -> Iterator[Index]:
+    """Indexes of at most ``INDEX_SEGMENTS`` segments (or one item); items without ``LEAST_WORDS`` words are left out."""
+    part, segments = [], 0
+    for item, text in items:
+        n = len(hash_words([text], letters=True).hashes) if text else 0
+        if n < LEAST_WORDS:
+            continue
         need = -(-n // SEGMENT)
         if part and segments + need > INDEX_SEGMENTS:
-            out.append(Index(part))
+            yield Index(part)
             part, segments = [], 0
         part.append((item, text))
         segments += need
-    return out + [Index(part)] if part else out
+    if part:
+        yield Index(part)
 
 
 def _overlap(part: np.ndarray, around: np.ndarray) -> float:
@@ -182,14 +188,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     nothing; null, empty and very short items are not searched; an empty table gives no rows. Ties: the first passage.
     Repeated rows each give their rows. An item is named by ``item_id`` (null allowed); repeated items count once.
 
-    The benchmark is what is collected and broadcast: a test set does not grow with the corpus, and each index is
-    bounded by ``INDEX_SEGMENTS``. The documents are read once, without a shuffle.
+    The benchmark is read to the driver item by item. What is broadcast is bounded by ``AT_ONCE`` indexes of
+    ``INDEX_SEGMENTS`` segments; beyond it, each further batch of indexes is another pass over the documents, written
+    before the next. There is no shuffle. Texts of one item that fall into different batches give a row each.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
-    shared = spark.sparkContext.broadcast(build_indexes([(-1 if r[0] is None else r[0], r[1]) for r in items.toLocalIterator()]))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    return base.mapInPandas(_searcher(shared), "doc_id long, text_hash long, item_id long, start_word long, score double, question_overlap double, answer_overlap double, contaminated boolean")
+
+    def search(indexes):
+        shared = spark.sparkContext.broadcast(list(indexes))
+        return shared, base.mapInPandas(_searcher(shared), "doc_id long, text_hash long, item_id long, start_word long, score double, question_overlap double, answer_overlap double, contaminated boolean")
+
+    batches = batched(build_indexes(tuple(r) for r in items.orderBy("item_id", "text").toLocalIterator()), AT_ONCE)
+    _, found = search(next(batches, ()))
+    for indexes in batches:
+        shared, more = search(indexes)
+        found = found.union(stage(more, "contaminated"))
+        shared.unpersist()
+    return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
