@@ -1,7 +1,7 @@
 """Unsupervised outlier score by isolation trees.
 
-The trees see bounded samples (``trees x sample`` rows chosen by a hash of the
-account), so only those rows reach the driver. Every customer is then scored by
+Every tree draws its own ``sample`` rows from all of them by a hash of tree and
+account, so only ``trees x sample`` rows reach the driver. Every customer is then scored by
 an Arrow-batched function over the trees, which weigh a few hundred kilobytes.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,22 +65,30 @@ def _grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> dict[str, np.n
 def fit_trees(
     df: DataFrame, features: Sequence[str], *, key: str = "account", trees: int = 150, sample: int = 256,
     seed: int = 20260807,
-) -> list[dict[str, np.ndarray]] | None:
-    """Trees from a bounded sample; None when there are fewer than 20 rows."""
-    picked = (
-        df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("__h"),
-                  *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-        .orderBy("__h", *features)
-        .limit(trees * sample)       # the sample is the feature: bounded by construction
-        .toPandas()
-    )
-    if len(picked) < 20:
+) -> tuple[list[dict[str, np.ndarray]], int] | None:
+    """(trees, rows of a tree); None when there are fewer than 20 rows.
+
+    A row is looked at once and dealt to the few trees whose draw it meets; what exceeds ``sample`` is cut per tree.
+    """
+    total = df.count()
+    if total < 20:
         return None
-    x = picked[list(features)].to_numpy(dtype=float)
-    rng = np.random.default_rng(seed)
-    size = min(sample, len(x))
+    size = min(sample, total)
+    share = (size + 6 * math.sqrt(size)) / total     # so that hardly any tree gets fewer than size
+    draw = lambda tree: F.pmod(F.xxhash64(F.col(key), tree, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    dealt = (
+        df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+        .withColumn("__tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < share)))
+        .withColumn("__h", draw(F.col("__tree")))
+    )
+    place = F.row_number().over(W.partitionBy("__tree").orderBy("__h", *features))
+    picked = dealt.withColumn("__n", place).where(F.col("__n") <= size).drop(key).toPandas()   # trees x sample at most
     depth = max(1, math.ceil(math.log2(size)))
-    return [_grow(x[rng.choice(len(x), size, replace=False)], depth, rng) for _ in range(trees)]
+    grown = [
+        _grow(rows.sort_values("__n")[list(features)].to_numpy(dtype=float), depth, np.random.default_rng([seed, int(tree)]))
+        for tree, rows in picked.groupby("__tree")
+    ]
+    return grown, size
 
 
 def outlier_scores(
@@ -87,11 +96,12 @@ def outlier_scores(
     seed: int = 20260807,
 ) -> DataFrame:
     """``(key, unsupervised)`` in [0, 1], 1 the most isolated; NULL when not fitted."""
-    forest = fit_trees(df, features, key=key, trees=trees, sample=sample, seed=seed)
-    if forest is None:
+    fitted = fit_trees(df, features, key=key, trees=trees, sample=sample, seed=seed)
+    if fitted is None:
         return df.select(key, F.lit(None).cast("double").alias("unsupervised"))
+    forest, size = fitted
     shared = df.sparkSession.sparkContext.broadcast(forest)
-    norm = float(_mean_path(sample))
+    norm = float(_mean_path(size))
 
     @F.pandas_udf(T.DoubleType())
     def isolation(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

@@ -11,7 +11,7 @@ from wattledger.operators import demand, peers, scoring, series, signals
 from wattledger.params import PLAUSIBLE_KWH, TARIFF_CLASSES, Averaging, Demand
 from wattledger.registry.core import cte, query
 from wattledger.registry.inputs import (
-    CLASS_CASE, DEMAND_CASE, LAST_MONTH, MONTHS, VOLTAGE_CASE, customer_series, monthly_orders, peer_customers,
+    CLASS_CASE, DEMAND_CASE, MONTHS, VOLTAGE_CASE, customer_series, last_month, peer_customers,
     register, segmented, table,
 )
 from wattledger.staging import stage
@@ -225,9 +225,9 @@ def _(spark, d):
 
 @query("wide_readings_to_long", """
 WITH w AS (SELECT c_custkey AS account, c_acctbal AS a FROM customer),
-l AS (SELECT account, DATE '2001-05-01' AS period, a AS kwh FROM w
-  UNION ALL SELECT account, DATE '2001-06-01', CASE WHEN account % 4 = 0 THEN NULL ELSE CAST(account AS DOUBLE) END FROM w
-  UNION ALL SELECT account, DATE '2001-07-01', 0.0 FROM w)
+l AS (SELECT account, CAST(final_month - INTERVAL 2 MONTH AS DATE) AS period, a AS kwh FROM w CROSS JOIN axis_end
+  UNION ALL SELECT account, CAST(final_month - INTERVAL 1 MONTH AS DATE), CASE WHEN account % 4 = 0 THEN NULL ELSE CAST(account AS DOUBLE) END FROM w CROSS JOIN axis_end
+  UNION ALL SELECT account, final_month, 0.0 FROM w CROSS JOIN axis_end)
 SELECT account, period, CASE WHEN kwh < 0 THEN NULL ELSE kwh END AS kwh, coalesce(kwh = 0, false) AS is_zero,
   coalesce(kwh < 0, false) AS is_negative FROM l
 """)
@@ -239,7 +239,7 @@ def _(spark, d):
         F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey").cast("string")).otherwise(F.lit("")).alias("KWH_9"),
         F.replace(F.col("c_acctbal").cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(",")).alias("KWH_2"),
     )
-    return series.flag_readings(series.unpivot_readings(wide, "account", LAST_MONTH))
+    return series.flag_readings(series.unpivot_readings(wide, "account", last_month(spark, d)))
 
 
 @query("first_row_per_account", """

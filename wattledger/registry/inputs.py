@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +13,10 @@ from wattledger.operators.series import account_series, month_axis, series_stati
 from wattledger.registry.core import cte
 from wattledger.staging import stage
 
-LAST_MONTH = date(2001, 7, 1)
+#: Months of the axis.
 MONTHS = 36
+#: Where the axis ends if there are no orders at all.
+NO_ORDERS = date(2000, 1, 1)
 
 # Tariff text of each market segment.
 TARIFFS = {
@@ -77,13 +79,26 @@ FROM customer
 """)
 
 
-def monthly_orders(spark: SparkSession, d: str) -> DataFrame:
+def last_month(spark: SparkSession, d: str) -> date:
+    """The last month that the dates of ``orders`` fill to its last day; a month in progress is left out."""
+    day = table(spark, d, "orders").agg(F.max("o_orderdate").cast("date")).first()[0]
+    if day is None:
+        return NO_ORDERS
+    return (((day + timedelta(days=1)).replace(day=1)) - timedelta(days=1)).replace(day=1)
+
+
+cte("axis_end", """
+SELECT CAST(date_trunc('month', CAST(max(o_orderdate) AS DATE) + 1) - INTERVAL 1 MONTH AS DATE) AS final_month FROM orders
+""")
+
+
+def monthly_orders(spark: SparkSession, d: str, last: date) -> DataFrame:
     """Long readings of the axis from ``orders``: kWh per account and month, months without orders absent.
 
     The range is put on the raw date, so that it reaches the Parquet scan.
     """
-    first = month_axis(LAST_MONTH, MONTHS)[0]
-    end = month_axis(date(LAST_MONTH.year + LAST_MONTH.month // 12, LAST_MONTH.month % 12 + 1, 1), 1)[0]
+    first = month_axis(last, MONTHS)[0]
+    end = (last + timedelta(days=31)).replace(day=1)
     day = F.col("o_orderdate")
     return (
         table(spark, d, "orders")
@@ -103,20 +118,21 @@ FROM orders GROUP BY 1, 2
 """)
 
 
-def customer_series(spark: SparkSession, d: str) -> DataFrame:
-    """Register rows with their 36-month array and its statistics.
+def customer_series(spark: SparkSession, d: str, last: date | None = None) -> DataFrame:
+    """Register rows with their 36-month array, up to ``last`` or the last whole month, and its statistics.
 
     Readings are whole kWh. A month without orders is a zero reading for every third account and a
     missing one for the others.
     """
-    series = with_all_accounts(register(spark, d), account_series(monthly_orders(spark, d), LAST_MONTH, MONTHS), MONTHS)
+    last = last or last_month(spark, d)
+    series = with_all_accounts(register(spark, d), account_series(monthly_orders(spark, d, last), last, MONTHS), MONTHS)
     return series_statistics(series.withColumn(
         "series", F.when(F.col("account") % 3 == 0, F.transform("series", lambda x: F.coalesce(x, F.lit(0.0)))).otherwise(F.col("series"))))
 
 
 cte("axis", """
-SELECT CAST(i AS INTEGER) AS i, CAST(DATE '1998-08-01' + to_months(CAST(i AS INTEGER)) AS DATE) AS period
-FROM range(36) t(i)
+SELECT CAST(i AS INTEGER) AS i, CAST(final_month - to_months(CAST(35 - i AS INTEGER)) AS DATE) AS period
+FROM range(36) t(i) CROSS JOIN axis_end
 """)
 cte("seen_accounts", """
 SELECT account FROM register
@@ -231,7 +247,7 @@ def head_energy(spark: SparkSession, d: str) -> DataFrame:
         per_account.join(c, per_account.o_custkey == c.c_custkey)
         .groupBy(code("F", F.col("c_nationkey")).alias("feeder"), "period")
         .agg(F.floor(F.round(F.sum("v"), 2) / 100).cast("double").alias("kwh"))
-        .where(F.col("period") <= F.lit(LAST_MONTH))
+        .where(F.col("period") <= F.lit(last_month(spark, d)))
     )
 
 
@@ -239,7 +255,7 @@ cte("head_energy", """
 SELECT 'F' || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS feeder,
   CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CAST(floor(round(sum(o_totalprice), 2) / 100) AS DOUBLE) AS kwh
 FROM orders JOIN customer ON o_custkey = c_custkey
-GROUP BY 1, 2 HAVING CAST(date_trunc('month', o_orderdate) AS DATE) <= DATE '2001-07-01'
+GROUP BY 1, 2 HAVING CAST(date_trunc('month', o_orderdate) AS DATE) <= (SELECT final_month FROM axis_end)
 """)
 
 
