@@ -3,7 +3,8 @@
 A sweep is: node currents from the present voltages, subtree sums (branch
 currents), path sums of the drops (new voltages). Both sums are pointer-doubling
 joins, so a sweep costs 2 x log2(depth) joins whatever the number of feeders, and
-each sweep ends in a staged table. Complex numbers are (re, im) column pairs.
+each sweep ends in a staged table. Every feeder converges by itself: its rows are
+frozen at the sweep that settled it, and only the others are swept again. Complex numbers are (re, im) column pairs.
 """
 
 from __future__ import annotations
@@ -47,20 +48,47 @@ def base_voltages(tree_z: DataFrame, edges: DataFrame, sources: DataFrame) -> Da
     return s.join(v, "feeder", "left").select("feeder", (F.coalesce("v", F.lit(13800.0)) / math.sqrt(3.0)).alias("v0"))
 
 
+class _Settled:
+    """Rows of the feeders that are through, with ``converged`` and ``iterations``."""
+
+    def __init__(self, tolerance: float, max_sweeps: int):
+        self.tolerance, self.max_sweeps = tolerance, max_sweeps
+        self.done: DataFrame | None = None
+
+    def take(self, fresh: DataFrame, sweep: int) -> DataFrame | None:
+        """Freeze what sweep ``sweep`` (from 1) settled; the rows that go on, or None. The driver sees two counts.
+
+        A feeder whose voltages are no longer numbers, or that is out of sweeps, is through without having converged.
+        """
+        worst = F.max(F.col("dv") / F.col("v0"))
+        verdict = fresh.groupBy("feeder").agg(worst.alias("__worst")).select(
+            "feeder", (F.coalesce("__worst", F.lit(0.0)) < self.tolerance).alias("converged"),
+            (F.isnan("__worst") | F.lit(sweep >= self.max_sweeps)).alias("__ends")).withColumn(
+            "__through", F.col("converged") | F.coalesce("__ends", F.lit(False))).drop("__ends")
+        verdict = stage(verdict, "verdict")
+        through, open_ = verdict.agg(F.count_if("__through"), F.count_if(~F.col("__through"))).first()
+        if through or not open_:
+            rows = fresh.join(verdict.where("__through").drop("__through"), "feeder").withColumn("iterations", F.lit(sweep))
+            self.done = rows if self.done is None else self.done.unionByName(rows)
+        if not open_:
+            return None
+        return fresh.join(verdict.where("not __through").select("feeder"), "feeder", "left_semi") if through else fresh
+
+
 def balanced_flow(tree_z: DataFrame, loads: DataFrame, base: DataFrame, levels: Sequence[DataFrame], *,
                   tolerance: float = 1e-6, max_sweeps: int = 100) -> DataFrame:
-    """Converged ``(feeder, node, v_re, v_im, i_re, i_im, v0, r, x, converged)``.
+    """``(feeder, node, v_re, v_im, i_re, i_im, v0, r, x, converged, iterations)``.
 
-    ``loads``: feeder, node, kw (three-phase), pf. Sweeps stop when every feeder's
-    largest voltage change is below tolerance; a single aggregate decides.
+    ``loads``: feeder, node, kw (three-phase), pf. A feeder is swept until its own
+    largest voltage change is below tolerance, whatever the others do.
     """
     p = F.coalesce("kw", F.lit(0.0)) * 1000.0 / 3.0
     nodes = tree_z.join(loads, KEY, "left").join(base, "feeder").select(
         *KEY, "segment_id", "r", "x", "v0", p.alias("p"), (p * _tan(F.col("pf"))).alias("q"))
     nodes = stage(nodes, "flow")
     state = nodes.select("*", F.col("v0").alias("v_re"), F.lit(0.0).alias("v_im"))
-    converged = False
-    for _ in range(max_sweeps):
+    settled = _Settled(tolerance, max_sweeps)
+    for sweep in range(1, max_sweeps + 1):
         mag = F.col("v_re") * F.col("v_re") + F.col("v_im") * F.col("v_im")
         # conj(S / V) = (P - jQ) / conj(V)
         i_re = (F.col("p") * F.col("v_re") + F.col("q") * F.col("v_im")) / mag
@@ -78,12 +106,11 @@ def balanced_flow(tree_z: DataFrame, loads: DataFrame, base: DataFrame, levels:
             .withColumns({"v_re": F.col("v0") - F.col("d_re"), "v_im": -F.col("d_im")})
             .withColumn("dv", F.sqrt((F.col("v_re") - F.col("__re")) ** 2 + (F.col("v_im") - F.col("__im")) ** 2))
             .drop("__re", "__im", "d_re", "d_im"), "flow")
-        state = fresh.drop("dv", "i_re", "i_im")
-        worst = fresh.agg(F.max(F.col("dv") / F.col("v0"))).first()[0]
-        if worst is None or worst < tolerance:
-            converged = True
+        left = settled.take(fresh, sweep)
+        if left is None:
             break
-    return fresh.withColumn("converged", F.lit(converged))
+        state = left.drop("dv", "i_re", "i_im")
+    return settled.done
 
 
 def flow_summary(flow: DataFrame) -> DataFrame:
@@ -92,7 +119,8 @@ def flow_summary(flow: DataFrame) -> DataFrame:
     v = F.sqrt(F.col("v_re") * F.col("v_re") + F.col("v_im") * F.col("v_im"))
     return flow.groupBy("feeder").agg(
         (F.sum(3.0 * i2 * F.col("r")) / 1000.0).alias("loss_kw_peak"), F.min(v / F.col("v0")).alias("v_min_pu"),
-        F.max(F.when(F.col("segment_id").isNotNull(), F.sqrt(i2))).alias("i_max_a"), F.bool_and("converged").alias("converged"))
+        F.max(F.when(F.col("segment_id").isNotNull(), F.sqrt(i2))).alias("i_max_a"), F.bool_and("converged").alias("converged"),
+        F.max("iterations").alias("iterations"))
 
 
 def branch_currents(flow: DataFrame) -> DataFrame:
@@ -121,8 +149,8 @@ def unbalanced_flow(tree_z: DataFrame, loads: DataFrame, base: DataFrame, levels
     state = nodes.select("*", *[(F.col("v0") * math.cos(a)).alias(f"vr_{c}") for c, a in zip(ph, _ANGLE)],
                          *[(F.col("v0") * math.sin(a)).alias(f"vi_{c}") for c, a in zip(ph, _ANGLE)])
     cols = [f"{k}_{c}" for c in ph for k in ("ir", "ii")]
-    converged = False
-    for _ in range(max_sweeps):
+    settled = _Settled(tolerance, max_sweeps)
+    for sweep in range(1, max_sweeps + 1):
         cur = []
         for c in ph:
             p, q, vr, vi = F.col(f"p_{c}"), F.col(f"p_{c}") * t, F.col(f"vr_{c}"), F.col(f"vi_{c}")
@@ -149,12 +177,11 @@ def unbalanced_flow(tree_z: DataFrame, loads: DataFrame, base: DataFrame, levels
             .withColumns({f"vr_{c}": F.col("v0") * math.cos(a) - F.col(f"dr_{c}") for c, a in zip(ph, _ANGLE)})
             .withColumns({f"vi_{c}": F.col("v0") * math.sin(a) - F.col(f"di_{c}") for c, a in zip(ph, _ANGLE)})
             .withColumn("dv", dv).drop(*dcols, *[f"__{k}{c}" for c in ph for k in "ri"]), "flow3")
-        state = fresh.drop("dv", *cols)
-        worst = fresh.agg(F.max(F.col("dv") / F.col("v0"))).first()[0]
-        if worst is None or worst < tolerance:
-            converged = True
+        left = settled.take(fresh, sweep)
+        if left is None:
             break
-    return fresh.withColumn("converged", F.lit(converged))
+        state = left.drop("dv", *cols)
+    return settled.done
 
 
 def unbalanced_summary(flow: DataFrame, *, r_neutral_km: float = 0.86, min_share: float = 0.10) -> DataFrame:
@@ -176,5 +203,5 @@ def unbalanced_summary(flow: DataFrame, *, r_neutral_km: float = 0.86, min_share
     return rows.join(top, "feeder").groupBy("feeder").agg(
         (F.sum("__phase") / 1000.0).alias("loss_phases_kw"), (F.sum("__neutral") / 1000.0).alias("loss_neutral_kw"),
         F.min("__v").alias("v_min_pu"), F.coalesce(F.max(F.when(loaded, F.col("__imb"))), F.lit(0.0)).alias("imbalance_pct_max"),
-        F.bool_and("converged").alias("converged"),
+        F.bool_and("converged").alias("converged"), F.max("iterations").alias("iterations"),
     ).withColumn("loss_kw_peak", F.col("loss_phases_kw") + F.col("loss_neutral_kw"))
