@@ -1,7 +1,8 @@
 """Global ranks and exact percentiles that never gather a whole group in one task.
 
 Both work the same way. Rows are range-partitioned by the ordering, each row is
-stamped with the partition it fell into, and the stamped rows are staged. The
+stamped with the partition it fell into (ranks: with its place there, too), and the
+stamped rows are staged. The
 per-partition totals are tiny (one row per group and partition), so an offset per
 partition turns a local position into a global one. A hot group simply spans more
 range partitions; a hot *value* is collapsed beforehand (percentiles) or split by
@@ -45,28 +46,27 @@ def global_rank(
     ``order`` must end in a unique column so that ties are broken and a hot value
     can be split over several range partitions.
     """
+    # Sorted ranges are numbered on the way into the stage: the high bits are the range, the low ones the place in it.
+    keys = [*_keyed(df, partition), *order]
     ranged = stage(
-        df.repartitionByRange(*_keyed(df, partition), *order).withColumn("__pid", F.spark_partition_id()),
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+        .withColumn("__pid", F.shiftright("__at", 33).cast("int")),
         "rank",
     )
-    local = Window.partitionBy(*partition, "__pid").orderBy(*order)
     # One row per group and range partition; the running window is over that.
-    totals = ranged.groupBy(*partition, "__pid").agg(F.count(F.lit(1)).alias("__n"))
+    totals = ranged.groupBy(*partition, "__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
     if partition:
         before = Window.partitionBy(*partition).orderBy("__pid")
     else:
         before = Window.partitionBy(F.lit(0)).orderBy("__pid")
     offsets = totals.select(
         *partition, "__pid",
-        (F.sum("__n").over(before) - F.col("__n")).alias("__offset"),
-    )
-    if not partition:
-        offsets = F.broadcast(offsets)   # one row per range partition
-    numbered = ranged.withColumn("__local", F.row_number().over(local))
-    joined = _join_keys(numbered, offsets, [*partition, "__pid"])
-    return joined.withColumn(out, (F.col("__offset") + F.col("__local")).cast("bigint")).drop(
-        "__pid", "__local", "__offset"
+        (F.sum("__n").over(before) - F.col("__n") - F.col("__first") + 1).alias("__offset"),
     )
+    # One row per range partition, or a stage whose size decides: the ranked rows are not shuffled again for a small one.
+    offsets = stage(offsets, "offsets") if partition else F.broadcast(offsets)
+    joined = _join_keys(ranged, offsets, [*partition, "__pid"])
+    return joined.withColumn(out, (F.col("__offset") + F.col("__at")).cast("bigint")).drop("__pid", "__at", "__offset")
 
 
 def exact_percentiles(
@@ -162,7 +162,3 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "lef
     """
     return df.join(stage(stats, "stats"), list(keys), how)
 
-
-def hash_spread(cols: Sequence[Column], buckets: int) -> Column:
-    """Deterministic salt in ``[0, buckets)`` from the row's own values."""
-    return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
