@@ -253,7 +253,9 @@ def _(spark, d):
 
 def lamps(spark, d) -> DataFrame:
     p = table(spark, d, "part")
-    raw = p.join(grid_nodes(spark, d), F.col("p_partkey") == F.col("k")).select(
+    nodes = grid_nodes(spark, d)
+    count = F.broadcast(nodes.agg(F.max("k").alias("nodes")))  # one row; keys run from 1, so every part has a node
+    raw = p.crossJoin(count).withColumn("k", (F.col("p_partkey") - 1) % F.col("nodes") + 1).join(nodes, "k").select(
         "feeder", "node", (50.0 + F.col("p_size")).alias("lamp_w"),
         F.when(F.col("p_type") == "SMALL", "LED").when(F.col("p_type") == "LARGE", "Sodio").when(F.col("p_type") == "PROMO", "Inducción").otherwise(F.col("p_type")).alias("technology"),
         (8 + F.col("p_size") % 8).cast("double").alias("hours"), F.lit(30.0).alias("days"), (F.col("p_size") % 3 == 0).alias("metered"),
@@ -265,7 +267,7 @@ cte("glamps", """
 SELECT *, (lamp_w + CASE technology WHEN 'LED' THEN 4 WHEN 'Sodio' THEN 25 WHEN 'Inducción' THEN 8 ELSE 20 END) * least(greatest(hours, 10), 13) * 30 / 1000 AS energy_kwh,
   NOT hours BETWEEN 10 AND 13 AS hours_clamped FROM (
   SELECT feeder, node, 50.0::DOUBLE + p_size AS lamp_w, CASE p_type WHEN 'SMALL' THEN 'LED' WHEN 'LARGE' THEN 'Sodio' WHEN 'PROMO' THEN 'Inducción' ELSE p_type END AS technology,
-    (8 + p_size % 8)::DOUBLE AS hours, p_size % 3 = 0 AS metered, p_size % 10 = 1 AS traffic FROM part JOIN gnodes ON p_partkey = k)
+    (8 + p_size % 8)::DOUBLE AS hours, p_size % 3 = 0 AS metered, p_size % 10 = 1 AS traffic FROM part JOIN gnodes ON (p_partkey - 1) % (SELECT max(c_custkey) FROM customer) + 1 = k)
 """)
 
 
@@ -487,7 +489,7 @@ def loss_components(spark, d) -> DataFrame:
     meters = losses.meter_loss_kwh(node_customers(spark, d), "feeder", 720.0).withColumnRenamed("meter_kwh", "meters_kwh")
     fp = 0.25 * 0.42 + 0.75 * 0.42 ** 2
     c = flow.select("feeder", (F.col("loss_kw_peak") * 720.0 * fp).alias("conductors_kwh"))
-    return stage(c.join(tx, "feeder").join(meters, "feeder"), "components")
+    return stage(c.join(tx, "feeder", "full").join(meters, "feeder", "full").fillna(0.0), "components")
 
 
 @query("grid_balance")
@@ -495,7 +497,7 @@ def _(spark, d):
     comp = loss_components(spark, d)
     billed = node_customers(spark, d).where(~F.col("under_totaliser")).groupBy("feeder").agg(F.sum("energy_kwh").alias("billed_kwh"))
     light = lamps(spark, d).where(~F.col("metered")).groupBy("feeder").agg(F.sum("energy_kwh").alias("lighting_kwh"))
-    b = comp.join(billed, "feeder").join(light, "feeder", "left").fillna(0.0).withColumns({
+    b = comp.join(billed, "feeder", "full").join(light, "feeder", "full").fillna(0.0).withColumns({
         "technical_kwh": F.col("conductors_kwh") + F.col("transformers_kwh") + F.col("meters_kwh"), "input_kwh": F.col("billed_kwh") * 1.2})
     return balance.with_controls(balance.feeder_balance(b)).select("feeder", "billed_kwh", "technical_kwh", "ntl_kwh", "ntl_pct", "balance_type")
 
