@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wattledger.functions import classify, electric, parse
 from wattledger.operators import (
     entities, fieldwork, inspections, losses, network, outliers, powerflow, rangejoin, ranking, scenarios, series, signals,
-    transfers, validation,
+    survey, transfers, validation,
 )
 from wattledger.params import Averaging
 from wattledger.sources import readers, sinks
@@ -207,6 +207,32 @@ def test_load_flow_matches_closed_form(spark):
     assert v["loss_neutral_kw"] > 0 and v["imbalance_pct_max"] == pytest.approx(200, abs=1e-6)
 
 
+def test_load_flow_converges_by_feeder(spark):
+    """A feeder that cannot carry its load leaves the others converged, and frozen at their own sweep."""
+    e = _edges(spark, [("F", "r", "a"), ("G", "r", "a"), ("H", "r", "a"), ("H", "a", "b")])
+    src = spark.createDataFrame([("F", "r"), ("G", "r"), ("H", "r")], "feeder string, source string")
+    t = network.orient(e, src)
+    cond = spark.createDataFrame([("C0", 0.5, 0.4)], "code string, r_ohm_km double, x_ohm_km double")
+    z, lv = powerflow.impedances(t, e, cond, t_op=20.0), network.jump_levels(t)
+    base = powerflow.base_voltages(z, e, src)
+    load = spark.createDataFrame([("F", "a", 60.0, 1.0), ("G", "a", 1e9, 0.9), ("H", "b", 5000.0, 0.9)], "feeder string, node string, kw double, pf double")
+    three = load.select("feeder", "node", *[(F.col("kw") / 3).alias(f"kw_{c}") for c in "abc"])
+    for rows in (powerflow.flow_summary(powerflow.balanced_flow(z, load, base, lv, max_sweeps=7)).collect(),
+                 powerflow.unbalanced_summary(powerflow.unbalanced_flow(z, three, base, lv, max_sweeps=7)).collect()):
+        got = {r["feeder"]: r for r in rows}
+        assert sorted(got) == ["F", "G", "H"]
+        assert got["F"]["converged"] and got["H"]["converged"] and not got["G"]["converged"]
+        assert got["F"]["iterations"] <= got["H"]["iterations"] < 7
+
+
+def test_sectors_of_neighbouring_cells_have_their_own_code(spark):
+    """Centroids on either side of a cell border round to one place; the codes must differ."""
+    pts = spark.createDataFrame([("1", 299.0, 10.0), ("2", 301.0, 10.0), ("3", 302.0, 10.0)], "account string, x double, y double").selectExpr(
+        "*", "1.0D AS recoverable_kwh", "0.5D AS score", "'F' AS feeder")
+    s = survey.sectors(survey.sector_members(pts)).collect()
+    assert len(s) == 2 and len({r["sector"] for r in s}) == 2
+
+
 def test_montecarlo_is_independent_of_partitioning(spark):
     c = spark.createDataFrame([(f"F{i}", 100.0, 80.0, 30.0, 5.0) for i in range(6)],
                               "feeder string, conductors_kwh double, transformers_kwh double, noload_kwh double, meters_kwh double")

@@ -186,15 +186,18 @@ def sector_members(customers: DataFrame, cell: float = 300.0) -> DataFrame:
         "cell_x": F.floor(F.col("x") / cell), "cell_y": F.floor(F.col("y") / cell)})
 
 
-def sectors(members: DataFrame) -> DataFrame:
-    """Geographic sectors: centroid, radius, energy and scores per cell; members stay a table."""
+def sectors(members: DataFrame, cell: float = 300.0) -> DataFrame:
+    """Geographic sectors: centroid, radius, energy and scores per cell; members stay a table.
+
+    The code is that of the cell's centre: it does not move with the members, and no two cells of 200 m or more share one.
+    """
     key = ["cell_x", "cell_y"]
     g = members.groupBy(*key).agg(
         F.count(F.lit(1)).alias("customers"), F.sum("recoverable_kwh").alias("kwh"), F.avg("score").alias("mean_score"),
         F.max("score").alias("max_score"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.min("feeder").alias("feeder"))
     d = F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)
     radius = members.join(g.select(*key, "cx", "cy"), key).groupBy(*key).agg(F.max(d).alias("radius_m"))
-    return g.join(radius, key).withColumn("sector", geo_code(F.col("cx"), F.col("cy")))
+    return g.join(radius, key).withColumn("sector", geo_code((F.col("cell_x") + 0.5) * cell, (F.col("cell_y") + 0.5) * cell))
 
 
 def sector_targets(s: DataFrame) -> DataFrame:

@@ -166,7 +166,7 @@ def _(spark, d):
 cte("sector_cust", "SELECT *, floor(x / 300) AS gx, floor(y / 300) AS gy FROM ranking WHERE rank <= (SELECT count(*) * 0.3 FROM ranking)")
 cte("sector_c", "SELECT gx, gy, count(*) AS customers, sum(recoverable_kwh) AS kwh, avg(score) AS mean_score, avg(x) AS cx, avg(y) AS cy, min(feeder) AS feeder FROM sector_cust GROUP BY 1, 2")
 cte("sector_stat", """
-SELECT c.*, printf('SEC-E%.1f-N%.1f', round_even(cx / 100, 0) * 100 / 1000, round_even(cy / 100, 0) * 100 / 1000) AS sector, r.radius_m FROM sector_c c JOIN (
+SELECT c.*, printf('SEC-E%.1f-N%.1f', round_even((gx + 0.5) * 300 / 100, 0) * 100 / 1000, round_even((gy + 0.5) * 300 / 100, 0) * 100 / 1000) AS sector, r.radius_m FROM sector_c c JOIN (
   SELECT u.gx, u.gy, max(sqrt(pow(x - cx, 2) + pow(y - cy, 2))) AS radius_m FROM sector_cust u JOIN sector_c v USING (gx, gy) GROUP BY 1, 2) r USING (gx, gy)
 """)
 cte("t_sector", f"""
