@@ -250,6 +250,11 @@ def test_chain_takes_collinear_parts():
     assert [(0, 0, 20), (25, 27, 20)] in substring_dedup.chain(sorted(parts))
 
 
+def test_chain_passes_over_a_long_part_that_is_too_far():
+    near = [(260 + 21 * i, 260 + 20 * i, 20) for i in range(7)]  # a word put in after every 20
+    assert near in substring_dedup.chain(sorted([(0, 0, 200)] + near))
+
+
 def test_pages(spark):
     page = "<body><nav><a href=x>menu</a></nav><div class='cookie-notice'>cookies</div><article><h1>T &amp; t</h1><p>Hello <b>wor</b>ld<p>x &lt;y&gt;<div class=comments>c</div></article><footer>f</footer>"
     rows = [(1, "http://www.h.com/1", page), (2, "https://h.com/2", page), (3, None, None), (4, "", ""), (5, "http://h.com/5", "<p>only"), (None, "x", "<div>a<br>b"), (1, "http://h.com/1", page)]
