@@ -100,6 +100,16 @@ def test_decontamination_finds_planted_items_only(spark, docs, empty, monkeypatc
     assert decontamination.find_contamination(every, bench.limit(0)).count() == 0
 
 
+def test_decontamination_verifies_items_with_short_parts(spark, empty):
+    items = {k: " ".join(prose(60 + k, k)) + "." for k in (5, 6, 7, 8)} | {
+        20: "What is the capital of France? Paris.", 21: "Compute 12 + 30 + 5 - 4 + 8 = 51", 22: "Say: one two three four - - - - -"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    copies = [(k, " ".join(prose(70 + k, 40)) + " " + v + " " + " ".join(prose(90 + k, 40)), "en", "s", 0) for k, v in items.items()]
+    others = [(100 + k, " ".join(prose(70 + k, 40) + v.split()[:-2] + prose(90 + k, 40)), "en", "s", 0) for k, v in items.items() if k != 22]
+    found = decontamination.find_contamination(spark.createDataFrame(copies + others, SCHEMA), bench).where("contaminated")
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k) for k in items}
+
+
 def test_index_finds_every_segment_at_the_threshold():
     items = [(k, " ".join(prose(60 + k % 7, 20 + k))) for k in range(40)]
     index = next(decontamination.build_indexes(items))

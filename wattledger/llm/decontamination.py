@@ -4,7 +4,8 @@ Items are cut into segments, eight to a block. The index holds, per term, its la
 block and in each segment, every score divided by what the segment's own words reach. A passage is dropped while the
 sum of its terms' largest scores stays below the threshold (the pivot test), then block by block (the block maxima),
 and only the segments of blocks that are left are scored. So all segments at or above the threshold are found. Each is
-verified: the item's question and its answer must both reappear around the passage.
+verified: the item's question and its answer must both reappear around the passage, in runs of three words or, if a part
+is shorter, whole.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattledger.llm.words import chunks, hash_words, runs, shingles
+from wattledger.llm.words import chunks, hash_words, runs
 from wattledger.staging import stage
 
 K1, B = 1.2, 0.75
@@ -27,7 +28,7 @@ SEGMENT = 48
 BLOCK = 8
 #: Share of a segment's own score that a passage must reach.
 SCORE = 0.5
-#: Share of the question's and of the answer's word trigrams that must reappear.
+#: Share of the question's and of the answer's word trigrams that must reappear; a shorter part must reappear whole.
 OVERLAP = 0.6
 GRAM = 3
 #: Items of fewer words are no evidence and are not searched.
@@ -38,20 +39,23 @@ INDEX_SEGMENTS = 1024
 AT_ONCE = 4
 
 
-def split_item(text: str) -> tuple[str, str]:
-    """(question, answer): the last sentence is the answer; a single sentence is cut after two thirds of its words."""
+def split_item(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Words of (question, answer): the last sentence is the answer; a single sentence is cut after two thirds of its
+    words. What is counted are words of letters and digits, so that no part of an item of two words is empty."""
     parts = [p for p in re.split(r"(?<=[.!?])\s+", text.strip()) if p]
     if len(parts) > 1:
-        question, answer = " ".join(parts[:-1]), parts[-1]
-        if min(len(question.split()), len(answer.split())) >= GRAM:
+        question, answer = (hash_words([p], letters=True).hashes for p in (" ".join(parts[:-1]), parts[-1]))
+        if min(len(question), len(answer)) >= GRAM:
             return question, answer
-    words = text.split()
+    words = hash_words([text], letters=True).hashes
     cut = len(words) - max(1, len(words) // 3)
-    return " ".join(words[:cut]), " ".join(words[cut:])
+    return words[:cut], words[cut:]
 
 
-def _grams(text: str) -> np.ndarray:
-    return np.unique(shingles(hash_words([text], letters=True), GRAM)[0])
+def _grams(part: np.ndarray) -> tuple[int, np.ndarray]:
+    """(words of a run, runs) that are looked for: a part of fewer than ``GRAM`` words is one run of its own length."""
+    k = max(1, min(GRAM, len(part)))
+    return k, np.unique(runs(part, k))
 
 
 class Index:
@@ -157,8 +161,8 @@ def _searcher(shared):
                         reach = index.length[segment] + SEGMENT
                         lo = max(words.offsets[doc], start - index.start[segment] - reach)
                         hi = min(words.offsets[doc + 1], start + PASSAGE + reach)
-                        around = np.unique(runs(words.hashes[lo:hi], GRAM))
-                        question, answer = (_overlap(p, around) for p in index.parts[k])
+                        around = {n: np.unique(runs(words.hashes[lo:hi], n)) for n in {n for n, _ in index.parts[k]}}
+                        question, answer = (_overlap(p, around[n]) for n, p in index.parts[k])
                         row = (min(question, answer) >= OVERLAP, score, -start, question, answer)
                         if row > best.get((doc, item), (False, -1.0)):
                             best[doc, item] = row
