@@ -274,6 +274,19 @@ def test_pages(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_keep_titles_and_leads_beside_comments(spark):
+    title, lead, body, comments = (" ".join(prose(110 + k, n))[:n] for k, n in enumerate((30, 200, 2000, 700)))
+    titled = f"<body><article><h1>{title}</h1><div class=body>{body}</div><div class=comments>{comments[:100]}</div></article></body>"
+    led = f"<body><article><div class=lead>{lead}</div><div class=body>{body[:800]}</div><div class=comments>{comments}</div></article></body>"
+    bare = f"<body><article><div class=body>{body}</div></article></body>"
+    linked = f"<body><div class=list><a href=x>{comments}</a></div><article><div class=lead>{lead}</div><div class=body>{body}</div></article></body>"
+    pages = [("a", titled)] * 3 + [("b", led)] * 3 + [("c", bare)] * 5 + [("c", titled), ("c", led), ("c", linked)]
+    rows = [(k, f"http://{host}.com/{k}", html) for k, (host, html) in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {titled: f"{title}\n{body}", led: f"{lead}\n{body[:800]}", bare: body, linked: f"{lead}\n{body}"}
+    assert got == {k: "\n".join(line.strip() for line in want[html].split("\n")) for k, (_, html) in enumerate(pages)}
+
+
 def test_licences(spark, empty):
     mit = next(t for a, t in licences.KNOWN if t.startswith("MIT License"))
     changed = mit.replace("<year> <copyright holders>", "2024 Someone").replace("sublicense", "sub-license").upper()

@@ -1,7 +1,8 @@
 """Main text of web pages by consensus of the pages of a host.
 
-Every page scores its containers by how much of its readable text they hold and how little else. Spark counts, per host,
-the votes for generalised tag-class paths. Each page is then extracted again with its host's winning path.
+Every page scores its containers by how much of its readable text they hold and how few links. Spark counts, per host,
+the votes for generalised tag-class paths. Each page is then extracted again with its host's winning path, or with the
+container around it that holds all of the page's readable text.
 """
 
 from __future__ import annotations
@@ -149,17 +150,19 @@ def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
 
 
 def _readable(blocks) -> dict[tuple[str, ...], list[int]]:
-    """(characters that count, all characters) of the blocks directly in each container path."""
+    """(characters that count, characters with those of links) of the blocks directly in each container path. What is left
+    out anyway weighs in neither."""
     own: dict[tuple[str, ...], list[int]] = {}
     for path, text, links, out in blocks:
         sums = own.setdefault(path, [0, 0])
-        sums[0] += 0 if out else max(0, len(text) - links)
-        sums[1] += len(text)
+        if not out:
+            sums[0] += max(0, len(text) - links)
+            sums[1] += len(text)
     return own
 
 
 def score_containers(blocks) -> dict[tuple[str, ...], tuple[float, float]]:
-    """(score, share of the readable text held) of every container path of a page."""
+    """(score, share of the readable text held) of every container path of a page that holds some."""
     held: dict[tuple[str, ...], list[float]] = {}
     own = _readable(blocks)
     whole = sum(g for g, _ in own.values())
@@ -168,28 +171,34 @@ def score_containers(blocks) -> dict[tuple[str, ...], tuple[float, float]]:
             sums = held.setdefault(path[:k], [0.0, 0.0])
             sums[0] += good
             sums[1] += size
-    return {p: ((g / whole) ** 2 * (g / t) * (1 + 0.02 * len(p)), g / whole) for p, (g, t) in held.items()} if whole else {}
+    return {p: ((g / whole) ** 2 * (g / t), g / whole) for p, (g, t) in held.items() if g} if whole else {}
 
 
 def _best(scores: dict) -> tuple[str, ...] | None:
+    """Of equal containers the innermost."""
     return max(scores, key=lambda p: (scores[p][0], len(p), p)) if scores else None
 
 
 def extract(page: str, winner: str | None) -> str:
-    """Text of the blocks under the host's path, or under the page's own if it holds less than half as much there."""
+    """Text of the blocks under the host's path, or under the page's own if it holds less than half as much there.
+
+    A path that does not hold all of the page's readable text gives way to the innermost container around it that does;
+    from there, blocks outside the path are taken unless they are mostly links.
+    """
     blocks = read_blocks(page)
-    own = _readable(blocks)
-    whole = sum(g for g, _ in own.values())
-    if not whole:
+    scores = score_containers(blocks)
+    if not scores:
         return ""
-    chosen = tuple(winner.split("/")) if winner else ()
-    share = sum(g for p, (g, _) in own.items() if p[:len(chosen)] == chosen) / whole if winner else 0
-    if share < 0.5:  # no container holds more than all, so only then can the page's own hold twice as much
-        scores = score_containers(blocks)
-        best = _best(scores)
-        if not winner or share < 0.5 * scores[best][1]:
-            chosen = best
-    return "\n".join(t for path, t, _, out in blocks if not out and path[:len(chosen)] == chosen)
+    best = _best(scores)
+    chosen = tuple(winner.split("/")) if winner else best
+    if scores.get(chosen, (0, 0))[1] < 0.5 * scores[best][1]:
+        chosen = best
+    around = chosen
+    while scores[around][1] < 1:
+        around = around[:-1]
+    return "\n".join(
+        t for path, t, links, out in blocks
+        if not out and path[:len(around)] == around and (path[:len(chosen)] == chosen or 2 * links <= len(t)))
 
 
 def _voter(batches):
