@@ -265,6 +265,37 @@ def test_chain_passes_over_a_long_part_that_is_too_far():
     assert near in substring_dedup.chain(sorted([(0, 0, 200)] + near))
 
 
+def test_repeats_whose_parts_came_earlier_apart(spark):
+    """Passages of two lines; documents before had the lines one by one, and others had one line in between."""
+    texts = []
+    for k in range(25):
+        one, two = prose(1000 + k, 30), prose(1100 + k, 30)
+        for i, body in enumerate((one, two, one + two, one, one + two)):
+            texts.append((100 * k + i, prose(2000 + 10 * k + i, 40) + body + prose(3000 + 10 * k + i, 40)))
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in texts]
+    got = substring_dedup.find_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    found = {r.doc_id for r in got if r.other_id == r.doc_id - 2 and (r.from_word, r.to_word) == (40, 100)}
+    assert found == {100 * k + 4 for k in range(25)}
+
+
+def test_seeds_meet_first_and_previous_in_any_partitioning(spark):
+    rows = [(i % 7, i, i % 3) for i in range(200)] + [(50, 1, 9), (50, 1, 9)]
+    seeds = spark.createDataFrame(rows, "doc_id long, at int, seed long")
+    want = set()
+    for seed in {r[2] for r in rows}:
+        spots = sorted({r[:2] for r in rows if r[2] == seed})
+        want |= {(*b, *a) for a, b in zip(spots, spots[1:])} | {(*b, *spots[0]) for b in spots[1:]}
+    for n in ("1", "40"):
+        was = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {tuple(r) for r in substring_dedup._meet(seeds).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert got == want
+    assert substring_dedup._meet(seeds.limit(0)).count() == 0
+
+
 def test_pages(spark):
     page = "<body><nav><a href=x>menu</a></nav><div class='cookie-notice'>cookies</div><article><h1>T &amp; t</h1><p>Hello <b>wor</b>ld<p>x &lt;y&gt;<div class=comments>c</div></article><footer>f</footer>"
     rows = [(1, "http://www.h.com/1", page), (2, "https://h.com/2", page), (3, None, None), (4, "", ""), (5, "http://h.com/5", "<p>only"), (None, "x", "<div>a<br>b"), (1, "http://h.com/1", page)]
