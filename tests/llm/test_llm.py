@@ -296,6 +296,21 @@ def test_seeds_meet_first_and_previous_in_any_partitioning(spark):
     assert substring_dedup._meet(seeds.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("every, words, most", [(10, 50, 0), (10, 120, 0), (9, 50, 0), (8, 50, 0), (7, 50, 0.03), (7, 80, 0)])
+def test_seeds_find_changed_passages(every, words, most):
+    """Share of passages, one word changed of ``every``, whose seeds lead to no chain."""
+    missed = 0
+    for k in range(100):
+        a = prose(5000 + k, words)
+        b = [w if i % every != every // 2 else w + "x" for i, w in enumerate(a)]
+        h = [substring_dedup.runs(hash_words([" ".join(t)]).hashes, substring_dedup.KMER) for t in (a, b)]
+        at = [substring_dedup.winnow(v, np.array([len(v)])) for v in h]
+        first = {h[0][i]: i for i in at[0]}
+        hits = np.array([(1, i, first[h[1][i]]) for i in at[1] if h[1][i] in first], np.int64).reshape(-1, 3)
+        missed += not substring_dedup.link(2, *hits.T)
+    assert missed <= most * 100, missed
+
+
 def test_pages(spark):
     page = "<body><nav><a href=x>menu</a></nav><div class='cookie-notice'>cookies</div><article><h1>T &amp; t</h1><p>Hello <b>wor</b>ld<p>x &lt;y&gt;<div class=comments>c</div></article><footer>f</footer>"
     rows = [(1, "http://www.h.com/1", page), (2, "https://h.com/2", page), (3, None, None), (4, "", ""), (5, "http://h.com/5", "<p>only"), (None, "x", "<div>a<br>b"), (1, "http://h.com/1", page)]
