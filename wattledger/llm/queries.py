@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from wattledger.llm import chat_format, decontamination, embeddings_dedup, html_extract, jaccard_join, licences, mixing, sharding, substring_dedup, toxicity
+from wattledger.llm import (
+    bit_codes, chat_format, decontamination, embeddings_dedup, html_extract, jaccard_join, licences, mixing, sharding, spelling, substring_dedup, token_alignment, toxicity)
 
 #: Rows of an Arrow batch: texts may be long, and a batch is what a Python worker holds at once.
 ARROW_ROWS = "512"
@@ -63,9 +64,22 @@ def op10_licence_scan(spark, d):
     return licences.scan_licences(table(spark, d, "documents"))
 
 
+def op11_token_alignment(spark, d):
+    return token_alignment.alignment_report(table(spark, d, "documents"))
+
+
+def op12_spelling_variants(spark, d):
+    return spelling.spelling_forms(table(spark, d, "documents"))
+
+
+def op13_nearest_neighbours(spark, d):
+    return bit_codes.nearest_neighbours(table(spark, d, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_decontamination, op3_chat_format, op4_mixing, op5_html_extraction, op6_sharding,
-    op7_toxicity, op8_ngram_jaccard_join, op9_substring_dedup, op10_licence_scan)}
+    op7_toxicity, op8_ngram_jaccard_join, op9_substring_dedup, op10_licence_scan,
+    op11_token_alignment, op12_spelling_variants, op13_nearest_neighbours)}
 
 #: Brute force over the five-word shingles of whole texts.
 JACCARD_SQL = """
@@ -87,4 +101,5 @@ FROM documents LEFT JOIN sizes USING (doc_id)
 """
 
 #: Contamination as whole items in whole texts, which is what the tables hold.
-SQL = {"op3_chat_format": chat_format.ORACLE, "op8_ngram_jaccard_join": JACCARD_SQL, "op10_licence_scan": licences.ORACLE}
+SQL = {"op3_chat_format": chat_format.ORACLE, "op8_ngram_jaccard_join": JACCARD_SQL, "op10_licence_scan": licences.ORACLE,
+       "op12_spelling_variants": spelling.ORACLE, "op13_nearest_neighbours": bit_codes.ORACLE}
