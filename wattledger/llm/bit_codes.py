@@ -170,7 +170,7 @@ def _meet(index: DataFrame, asked: DataFrame, sizes: DataFrame, centroids, keep:
 
     def search(key, rows, queries):
         if not len(rows) or not len(queries):
-            return pd.DataFrame({"asker": [], "vec_id": [], "score": []})
+            return pd.DataFrame(columns=["asker", "vec_id", "score"], dtype=object)
         return _search(queries, rows, centroids.value[key[0]], keep)
 
     key = ["cell", "a", "b"]

@@ -15,8 +15,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,7 +31,7 @@ from wattledger.staging import stage
 FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Links that a task collects before it adds up equal pairs of ids.
-LINKS_HELD = 1 << 21
+LINKS_HELD = 1 << 20
 #: Pairs of ids whose counts are given to every task (17 bytes each); the others are joined by shuffle.
 HEAD_PAIRS = 1 << 20
 
@@ -42,22 +43,26 @@ _LONG_BLANK = re.compile(r"\s{1000}")
 
 @dataclass
 class Vocabulary:
-    """Bytes of every id, in one buffer."""
+    """Bytes of every id, in one buffer, and what makes the encoder: tasks that only need the bytes do not load it."""
 
-    encode: object
+    encoder: Callable
     lengths: np.ndarray
     starts: np.ndarray
     buffer: np.ndarray
 
+    @cached_property
+    def encode(self) -> Callable[[list[str]], list[list[int]]]:
+        return self.encoder()
+
     def joined(self, ids: np.ndarray) -> np.ndarray:
         n = self.lengths[ids]
         skip = np.cumsum(n) - n
         return self.buffer[np.repeat(self.starts[ids] - skip, n) + np.arange(int(n.sum()))]
 
 
-def _vocabulary(encode, tokens: list[bytes]) -> Vocabulary:
+def _vocabulary(encoder: Callable, tokens: list[bytes]) -> Vocabulary:
     lengths = np.array([len(t) for t in tokens], np.int64)
-    return Vocabulary(encode, lengths, np.cumsum(lengths) - lengths, np.frombuffer(b"".join(tokens), np.uint8))
+    return Vocabulary(encoder, lengths, np.cumsum(lengths) - lengths, np.frombuffer(b"".join(tokens), np.uint8))
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -70,30 +75,34 @@ def _byte_symbols() -> dict[str, int]:
 @lru_cache(maxsize=4)
 def byte_bpe(path: str) -> Vocabulary:
     """Byte-level BPE. Its merges are in the order of the ids (checked), so merging by id gives the same tokens."""
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        model = json.load(file)
     symbol = _byte_symbols()
-    ids = model["vocab"]
-    made = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    ids = model["model"]["vocab"]
+    made = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
     if any(a >= b for a, b in zip(made, made[1:])):
         raise ValueError(f"{path}: merges are not in the order of ids")
     ranks = {bytes(symbol[c] for c in token): i for token, i in ids.items()}
-    fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    tokens = [b""] * (max(max(ranks.values()), slow.get_vocab_size() - 1) + 1)
+    tokens = [b""] * (max([*ranks.values(), *(t["id"] for t in model["added_tokens"])]) + 1)
     for token, i in ranks.items():
         tokens[i] = token
 
-    def encode(text: str) -> list[int]:
-        if _LONG_BLANK.search(text):
-            return slow.encode(" " + text, add_special_tokens=False).ids
-        return fast.encode_ordinary(" " + text)
+    def encoder():
+        import tiktoken
+
+        fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [_slow_byte_bpe(path)(t) if _LONG_BLANK.search(t) else fast.encode_ordinary(" " + t) for t in texts]
+
+    return _vocabulary(encoder, tokens)
 
-    return _vocabulary(lambda texts: [encode(t) for t in texts], tokens)
+
+@lru_cache(maxsize=4)
+def _slow_byte_bpe(path: str) -> Callable[[str], list[int]]:
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = True
+    return lambda text: slow.encode(" " + text, add_special_tokens=False).ids
 
 
 @lru_cache(maxsize=4)
@@ -109,7 +118,7 @@ def piece_bpe(path: str) -> Vocabulary:
         piece = model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
 
-    return _vocabulary(lambda texts: model.encode(texts, num_threads=1), [content(i) for i in range(model.get_piece_size())])
+    return _vocabulary(lambda: lambda texts: model.encode(texts, num_threads=1), [content(i) for i in range(model.get_piece_size())])
 
 
 def common_cuts(a_ends: np.ndarray, b_ends: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,10 +141,13 @@ def common_cuts(a_ends: np.ndarray, b_ends: np.ndarray, a_at: np.ndarray, b_at:
             break
         right = np.clip(np.searchsorted(a_ends, (first + last) // 2), low, high - 1)
         left = right - 1
-        cut_a, cut_b = np.full(len(low), -1), np.full(len(low), -1)
-        todo = np.arange(len(low))
+        cut_b = np.searchsorted(b_ends, a_ends[right])
+        hit = b_ends[cut_b] == a_ends[right]
+        cut_a = np.where(hit, right, -1)
+        todo = np.flatnonzero(~hit)
+        right[todo] += 1
         while len(todo):
-            for at, step in ((right, 1), (left, -1)):
+            for at, step in ((left, -1), (right, 1)):
                 here = todo[(at[todo] < high[todo]) & (at[todo] >= low[todo])]
                 ends = a_ends[at[here]]
                 b = np.searchsorted(b_ends, ends)
@@ -226,7 +238,7 @@ def token_links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.
     return np.cumsum(a_ends_at)[ends - 1], np.cumsum(b_ends_at)[ends - 1]
 
 
-def _slices(batch, limit: int = 1 << 20):
+def _slices(batch, limit: int = 1 << 17):
     """Parts of a batch with about ``limit`` tokens, or one longer row."""
     at = batch.column("a_ids").offsets.to_numpy()
     first = 0
