@@ -215,7 +215,7 @@ def _brute_neighbours(rows, every, keep):
     usable = {i: min(v for k, v in usable if k == i) for i, _ in usable}
     out = []
     for q in sorted(i for i in usable if i % every == 0):
-        best = {i: float(bit_codes.distances(np.array([v]), np.array([usable[q]]))[0]) for i, v in usable.items() if i != q and len(v) == len(usable[q])}
+        best = {i: float(bit_codes.distances(np.array([v], float), np.array([usable[q]], float))[0]) for i, v in usable.items() if i != q and len(v) == len(usable[q])}
         ranked = sorted(best.items(), key=lambda x: (x[1], x[0]))[:keep]
         out += [(q, k + 1, i, float(d)) for k, (i, d) in enumerate(ranked)]
     return out

@@ -50,6 +50,10 @@ class Vocabulary:
     starts: np.ndarray
     buffer: np.ndarray
 
+    @property
+    def id_type(self) -> np.dtype:
+        return np.dtype("<u2" if len(self.lengths) <= 1 << 16 else "<u4")
+
     @cached_property
     def encode(self) -> Callable[[list[str]], list[list[int]]]:
         return self.encoder()
@@ -196,34 +200,48 @@ def _align_chunk(texts: list[str], a: Vocabulary, b: Vocabulary):
     return a_ids, a_at, b_ids, b_at, np.diff(a_cut, prepend=-1), np.diff(b_cut, prepend=-1), g_at
 
 
-def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+def _lists(values: np.ndarray, at: np.ndarray, dtype: np.dtype) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_in_group array<int>, b_in_group array<int>"
+def _packed(values: np.ndarray, at: np.ndarray, dtype: np.dtype) -> pa.Array:
+    """Each row's numbers as bytes: a reader holds many rows at once, and nested columns cost it several times as much."""
+    offsets, data = (at * dtype.itemsize).astype(np.int32), values.astype(dtype)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def align_tokens(docs: DataFrame, a_path: str = f"{FOLDER}/{BYTE_BPE}", b_path: str = f"{FOLDER}/{PIECE_BPE}") -> DataFrame:
-    """``doc_id``, the ids of both tokenizers in order, and for each group the number of tokens of either.
+def _unpacked(batch, name: str, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    column = batch.column(name)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+    return np.frombuffer(data.tobytes(), dtype).astype(np.int64), (at - at[0]) // dtype.itemsize
 
-    One row per row of ``docs(doc_id, text)``; no shuffle.
-    """
+
+COUNT = np.dtype("<u4")
+ALIGNED = ["a_ids", "b_ids", "a_in_group", "b_in_group"]
+
+
+def _align(docs: DataFrame, a_path: str, b_path: str, column: Callable, kind: str) -> DataFrame:
     def run(batches):
         a, b = byte_bpe(a_path), piece_bpe(b_path)
         for batch in batches:
             for first, texts in chunks(batch.column("text").to_pylist()):
                 a_ids, a_at, b_ids, b_at, a_in, b_in, g_at = _align_chunk(texts, a, b)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(texts)), _lists(a_ids, a_at), _lists(b_ids, b_at), _lists(a_in, g_at), _lists(b_in, g_at)],
-                    ["doc_id", "a_ids", "b_ids", "a_in_group", "b_in_group"])
+                    [batch.column("doc_id").slice(first, len(texts)), column(a_ids, a_at, a.id_type), column(b_ids, b_at, b.id_type),
+                     column(a_in, g_at, COUNT), column(b_in, g_at, COUNT)], ["doc_id", *ALIGNED])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ALIGNED)
+    schema = "doc_id long, " + ", ".join(f"{c} {kind}" for c in ALIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def _flat(batch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    column = batch.column(name)
-    at = column.offsets.to_numpy().astype(np.int64)
-    return column.flatten().to_numpy().astype(np.int64), at - at[0]
+def align_tokens(docs: DataFrame, a_path: str = f"{FOLDER}/{BYTE_BPE}", b_path: str = f"{FOLDER}/{PIECE_BPE}") -> DataFrame:
+    """``doc_id, a_ids, b_ids, a_in_group, b_in_group``: the ids of both tokenizers in order, and for each group the number
+    of tokens of either, as arrays.
+
+    One row per row of ``docs(doc_id, text)``; no shuffle.
+    """
+    return _align(docs, a_path, b_path, _lists, "array<int>")
 
 
 def token_links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,9 +256,10 @@ def token_links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.
     return np.cumsum(a_ends_at)[ends - 1], np.cumsum(b_ends_at)[ends - 1]
 
 
-def _slices(batch, limit: int = 1 << 17):
-    """Parts of a batch with about ``limit`` tokens, or one longer row."""
-    at = batch.column("a_ids").offsets.to_numpy()
+def _slices(batch, limit: int = 1 << 18):
+    """Parts of a batch with about ``limit`` bytes of ids, or one longer row."""
+    column = batch.column("a_ids")
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
     first = 0
     while first < batch.num_rows:
         last = max(int(np.searchsorted(at, at[first] + limit, "right")) - 1, first + 1)
@@ -250,15 +269,15 @@ def _slices(batch, limit: int = 1 << 17):
 
 def _codes(batch, a: Vocabulary, b: Vocabulary):
     """Links of a batch: id pairs as ``a * ids of B + b``, and the offsets by row."""
-    a_ids, a_at = _flat(batch, "a_ids")
-    b_ids, b_at = _flat(batch, "b_ids")
+    a_ids, a_at = _unpacked(batch, "a_ids", a.id_type)
+    b_ids, b_at = _unpacked(batch, "b_ids", b.id_type)
     a_ends, b_ends = np.cumsum(a.lengths[a_ids]), np.cumsum(b.lengths[b_ids])
     i, j = token_links(a_ends, b_ends)
     return a_ids[i] * len(b.lengths) + b_ids[j], np.searchsorted(i, a_at), (a_ids, a_at), (b_ids, b_at)
 
 
 def count_pairs(aligned: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """``pair, n``: how many links hold each pair of ids. Equal pairs are added up in the task before the shuffle."""
+    """``pair, n`` of rows with packed ids: how many links hold each pair of ids. Equal pairs are added up in the task before the shuffle."""
     def run(batches):
         a, b = byte_bpe(a_path), piece_bpe(b_path)
         held: list[np.ndarray] = []
@@ -325,7 +344,7 @@ def alignment_report(docs: DataFrame, a_path: str = f"{FOLDER}/{BYTE_BPE}", b_pa
     every task; links of other pairs are added up per document and joined with the counts by shuffle.
     """
     spark = docs.sparkSession
-    aligned = stage(align_tokens(docs, a_path, b_path).withColumn("row", F.monotonically_increasing_id()), "aligned")
+    aligned = stage(_align(docs, a_path, b_path, _packed, "binary").withColumn("row", F.monotonically_increasing_id()), "aligned")
     counts = stage(count_pairs(aligned, a_path, b_path), "pairs")
     n_b_ids = len(piece_bpe(b_path).lengths)
     # One row per id of B: the vocabulary bounds it.
@@ -341,7 +360,7 @@ def alignment_report(docs: DataFrame, a_path: str = f"{FOLDER}/{BYTE_BPE}", b_pa
         for batch in batches:
             for part in _slices(batch):
                 codes, at, (a_ids, a_at), (b_ids, b_at) = _codes(part, a, b)
-                (a_in, g_at), (b_in, _) = _flat(part, "a_in_group"), _flat(part, "b_in_group")
+                (a_in, g_at), (b_in, _) = _unpacked(part, "a_in_group", COUNT), _unpacked(part, "b_in_group", COUNT)
                 place = np.searchsorted(pairs, codes)
                 known = place < len(pairs)
                 known[known] = pairs[place[known]] == codes[known]
