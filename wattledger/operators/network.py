@@ -1,9 +1,9 @@
 """Radial networks of every feeder at once, as DataFrames keyed by (feeder, node).
 
-Trees are walked by pointer doubling: ``jump_levels`` keeps, per level k, each
-node's 2^k-th ancestor. Path sums, subtree sums and nearest-ancestor questions
-then take log2(depth) joins over n rows, instead of one join per tree level or
-an ancestor closure of n x depth rows.
+``operators.tours`` roots the trees and numbers their nodes in tour order, so that
+sums over subtrees and paths are prefix sums. Nearest-ancestor questions take
+pointer doubling: ``jump_levels`` keeps, per level k, each node's 2^k-th ancestor,
+and log2(depth) joins over n rows answer them.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattledger.operators.tours import in_blocks, jump_levels, orient_tours, path_totals
 from wattledger.staging import stage
 
 KEY = ["feeder", "node"]
@@ -29,72 +30,6 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select("feeder", F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
 
 
-def _is_empty(df: DataFrame) -> bool:
-    return df.limit(1).count() == 0
-
-
-def _doubling(tree: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
-    """Jump levels, and the rows that still have an ancestor after more doublings than a tree of their size can be deep.
-
-    Where the tree has depths, they tell which nodes go on, and one aggregate tells
-    the number of levels. Without them a jump to the source ends there. Either way
-    the source is never a hot join key.
-    """
-    known = "depth" in tree.columns
-    extra = ["depth"] if known else []
-    level = stage(tree.where(F.col("parent").isNotNull()).select("feeder", "node", F.col("parent").alias("jump"), *extra), "jump")
-    if known:
-        rounds = (level.agg(F.max("depth")).first()[0] or 0).bit_length()
-    else:
-        rounds = (tree.groupBy("feeder").count().agg(F.max("count")).first()[0] or 0).bit_length() + 1
-    roots = tree.where(F.col("parent").isNull()).select("feeder", F.col("node").alias("jump"))
-    levels: list[DataFrame] = []
-    while len(levels) < rounds and (known or not _is_empty(level)):
-        levels.append(level)
-        if known and len(levels) == rounds:
-            break
-        inner = level.where(F.col("depth") >= 2 ** len(levels)) if known else level.join(roots, ["feeder", "jump"], "left_anti")
-        up = level.select("feeder", F.col("node").alias("jump"), F.col("jump").alias("__next"))
-        level = stage(inner.join(up, ["feeder", "jump"]).select("feeder", "node", F.col("__next").alias("jump"), *extra), "jump")
-    looped = None if known or len(levels) < rounds or _is_empty(level) else level
-    return [lv.select("feeder", "node", "jump") for lv in levels], looped
-
-
-def jump_levels(tree: DataFrame) -> list[DataFrame]:
-    """Staged ``(feeder, node, jump)`` per level; level k holds nodes with a 2^k-th ancestor."""
-    levels, looped = _doubling(tree)
-    if looped is not None:
-        bad = [r.feeder for r in looped.select("feeder").distinct().limit(5).collect()]
-        raise ValueError(f"not trees: nodes of feeders {bad} are their own ancestors")
-    return levels
-
-
-def path_sums(values: DataFrame, levels: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
-    """Sum of each column over a node and all its ancestors."""
-    acc = values.select(*KEY, *columns)
-    for level in levels:
-        above = acc.select("feeder", F.col("node").alias("jump"), *[F.col(c).alias(f"__{c}") for c in columns])
-        add = level.join(above, ["feeder", "jump"]).drop("jump")
-        acc = stage(acc.join(add, KEY, "left").select(
-            *KEY, *[(F.col(c) + F.coalesce(f"__{c}", F.lit(0.0))).alias(c) for c in columns]), "path")
-    return acc
-
-
-def subtree_sums(values: DataFrame, levels: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
-    """Sum of each column over a node and all its descendants.
-
-    Each round adds the partial sums of the nodes whose 2^k-th ancestor this is;
-    the aggregation combines on the map side, so a busy ancestor is no hot key.
-    """
-    acc = values.select(*KEY, *columns)
-    for level in levels:
-        up = level.join(acc, KEY).groupBy("feeder", F.col("jump").alias("node")).agg(
-            *[F.sum(c).alias(f"__{c}") for c in columns])
-        acc = stage(acc.join(up, KEY, "left").select(
-            *KEY, *[(F.col(c) + F.coalesce(f"__{c}", F.lit(0.0))).alias(c) for c in columns]), "subtree")
-    return acc
-
-
 def nearest_ancestor(tree: DataFrame, levels: Sequence[DataFrame], flagged: DataFrame, label: str, out: str) -> DataFrame:
     """``(feeder, node, out)``: ``label`` of the first flagged node upstream, the node itself included."""
     acc = tree.select(*KEY).join(flagged.select(*KEY, F.col(label).alias(out)), KEY, "left")
@@ -107,86 +42,13 @@ def nearest_ancestor(tree: DataFrame, levels: Sequence[DataFrame], flagged: Data
     return acc
 
 
-def _arborescence(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Feeders whose edges already form a tree directed away from the source."""
-    into = edges.groupBy("feeder", F.col("to_node").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    root_in = into.join(sources.withColumnRenamed("source", "node"), KEY, "left_semi").select("feeder")
-    counts = into.groupBy("feeder").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("tails"))
-    total = nodes_of(edges).groupBy("feeder").agg(F.count(F.lit(1)).alias("nodes"))
-    shaped = counts.join(total, "feeder").where((F.col("most") == 1) & (F.col("nodes") == F.col("tails") + 1))
-    return shaped.select("feeder").join(root_in, "feeder", "left_anti").join(sources.select("feeder"), "feeder", "left_semi")
-
-
-def _bfs(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Breadth-first tree, one join per level; only the last two levels are excluded.
-
-    A neighbour of level L lies on level L-1, L or L+1, so the rest of the tree
-    need not be looked at. A node reached from several parents takes the smallest.
-    """
-    both = edges.select("feeder", F.col("from_node").alias("at"), F.col("to_node").alias("node"), "segment_id", "length_km")
-    back = edges.select("feeder", F.col("to_node").alias("at"), F.col("from_node").alias("node"), "segment_id", "length_km")
-    adjacency = stage(both.unionByName(back), "adjacency")
-    present = nodes_of(edges)
-    frontier = stage(
-        sources.select("feeder", F.col("source").alias("node")).join(present, KEY, "left_semi").select(
-            *KEY, F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("segment_id"),
-            F.lit(0.0).alias("length_km"), F.lit(0).alias("depth")), "bfs")
-    cols = [*KEY, "parent", "segment_id", "length_km"]
-
-    def spread(front: DataFrame, before: DataFrame | None) -> DataFrame:
-        step = front.select("feeder", F.col("node").alias("at")).join(adjacency, ["feeder", "at"])
-        fresh = step.join(front.select(*KEY), KEY, "left_anti")
-        if before is not None:
-            fresh = fresh.join(before.select(*KEY), KEY, "left_anti")
-        return fresh.groupBy(*KEY).agg(F.min(F.struct("at", "segment_id", "length_km")).alias("m")).select(
-            *KEY, F.col("m.at").alias("parent"), F.col("m.segment_id"), F.col("m.length_km"))
-
-    reached, older, depth = [frontier], None, 0
-    while True:
-        # Two levels per staged table: half the jobs of one per level.
-        one = spread(frontier, older)
-        two = spread(one, frontier)
-        both = stage(one.select(*cols, F.lit(depth + 1).alias("depth")).unionByName(
-            two.select(*cols, F.lit(depth + 2).alias("depth"))), "bfs")
-        reached.append(both)
-        depth += 2
-        older, frontier = both.where(F.col("depth") == depth - 1), both.where(F.col("depth") == depth)
-        if _is_empty(frontier):
-            break
-    out = reached[0]
-    for part in reached[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def orient(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Tree of every feeder: ``feeder, node, parent, segment_id, length_km, depth``.
+    """Tree of every feeder: ``feeder, node, parent, segment_id, length_km, depth, place, size``.
 
-    Feeders whose edges are already directed from the source (the usual case) need
-    no search: the parent is the from-node and pointer doubling gives the depth.
-    Only the others (reversed edges, meshes, islands) go through the breadth-first
-    rounds. ``edges`` should be a staged or stored table.
+    Edges may point either way, form meshes or lie apart from the source; see ``operators.tours``. ``place`` and ``size``
+    number the nodes in tour order. ``edges`` should be a staged or stored table.
     """
-    shaped = stage(_arborescence(edges, sources), "shaped")
-    easy = edges.join(shaped, "feeder", "left_semi")
-    roots = sources.join(shaped, "feeder", "left_semi").select("feeder", F.col("source").alias("node"))
-    direct = easy.select(
-        "feeder", F.col("to_node").alias("node"), F.col("from_node").alias("parent"), "segment_id", "length_km"
-    ).unionByName(roots, allowMissingColumns=True).fillna({"length_km": 0.0})
-    direct = stage(direct, "direct")
-    levels, looped = _doubling(direct)
-    if looped is not None:
-        # A loop detached from the source has as many edges as a tree would: such feeders are searched instead.
-        shaped = stage(shaped.join(looped.select("feeder").distinct(), "feeder", "left_anti"), "shaped")
-        direct = stage(direct.join(shaped, "feeder", "left_semi"), "direct")
-        levels = jump_levels(direct)
-    own = direct.select(*KEY, F.when(F.col("parent").isNotNull(), 1.0).otherwise(0.0).alias("depth"))
-    depth = path_sums(own, levels, ["depth"]).withColumn("depth", F.col("depth").cast("int"))
-    tree = direct.join(depth, KEY)
-    rest = edges.join(shaped, "feeder", "left_anti")
-    if not _is_empty(rest):
-        tree = tree.unionByName(_bfs(stage(rest, "rest"), sources.join(shaped, "feeder", "left_anti")))
-    return stage(tree.select("feeder", "node", "parent", "segment_id", "length_km", "depth"), "tree")
+    return stage(orient_tours(edges, sources), "tree")
 
 
 def islands(edges: DataFrame, tree: DataFrame) -> DataFrame:
@@ -206,29 +68,23 @@ def cycle_test(edges: DataFrame, tree: DataFrame) -> DataFrame:
         (F.coalesce("edges", F.lit(0)) > F.col("nodes") - 1).alias("has_cycle"))
 
 
-def path_km(tree: DataFrame, levels: Sequence[DataFrame]) -> DataFrame:
-    """Distance along the network from the source to every node."""
-    return path_sums(tree, levels, ["length_km"]).withColumnRenamed("length_km", "path_km")
+def path_km(tree: DataFrame, levels: Sequence[DataFrame] | None = None) -> DataFrame:
+    """Distance along the network from the source to every node. ``levels`` are not needed."""
+    return path_totals(in_blocks(tree), ["length_km"]).select(*KEY, F.col("length_km").alias("path_km"))
 
 
-def trace_upstream(tree: DataFrame, starts: DataFrame) -> DataFrame:
+def trace_upstream(tree: DataFrame, starts: DataFrame, levels: Sequence[DataFrame] | None = None) -> DataFrame:
     """Ancestors of the given nodes, themselves included: ``start, node, steps``.
 
     The output has one row per ancestor by definition, so it is asked for chosen
-    nodes; fleet-wide questions use the doubling functions instead.
+    nodes. A round doubles the steps gone: level k takes all ancestors found 2^k on.
     """
-    links = tree.select("feeder", "node", "parent")
-    level = stage(starts.select("feeder", F.col("node").alias("start"), "node", F.lit(0).alias("steps")).join(
+    found = stage(starts.select("feeder", F.col("node").alias("start"), "node", F.lit(0).alias("steps")).join(
         tree.select(*KEY), KEY, "left_semi").select("feeder", "start", "node", "steps"), "trace")
-    parts = [level]
-    while not _is_empty(level):
-        level = stage(level.join(links, KEY).where(F.col("parent").isNotNull()).select(
-            "feeder", "start", F.col("parent").alias("node"), (F.col("steps") + 1).alias("steps")), "trace")
-        parts.append(level)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for k, level in enumerate(levels or jump_levels(tree)):
+        further = found.join(level, KEY).select("feeder", "start", F.col("jump").alias("node"), (F.col("steps") + 2 ** k).alias("steps"))
+        found = stage(found.unionByName(further), "trace")
+    return found
 
 
 def relatives(tree: DataFrame) -> DataFrame:
@@ -313,7 +169,7 @@ STALE = {
 }
 
 
-def _digest(rows: DataFrame, content: Sequence[Column], name: str) -> DataFrame:
+def digest_rows(rows: DataFrame, content: Sequence[Column], name: str) -> DataFrame:
     """Order-free digest per feeder of any number of rows.
 
     Each row is hashed and the hashes are folded with two sums of 60-bit halves and
@@ -334,8 +190,8 @@ def feeder_hashes(edges: DataFrame, sites: DataFrame, switches: DataFrame, sourc
     attr = edges.select("feeder", F.concat_ws("|", "segment_id", F.coalesce("conductor", F.lit("")), "n_phases", "voltage_v").alias("r")).unionByName(
         sites.select("feeder", F.concat_ws("|", F.lit("site"), "site", "kva", "config", "phases").alias("r")))
     sw = switches.select("feeder", F.concat_ws("|", "node", "normal_pos", "current_pos").alias("r"))
-    out = _digest(topo, [c("r")], "topology").join(_digest(attr, [c("r")], "attribute"), "feeder", "full_outer")
-    return out.join(_digest(sw, [c("r")], "switch"), "feeder", "full_outer")
+    out = digest_rows(topo, [c("r")], "topology").join(digest_rows(attr, [c("r")], "attribute"), "feeder", "full_outer")
+    return out.join(digest_rows(sw, [c("r")], "switch"), "feeder", "full_outer")
 
 
 def element_counts(**tables: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Radial load flow of all feeders at once, in bulk-synchronous sweeps.
 
 A sweep is: node currents from the present voltages, subtree sums (branch
-currents), path sums of the drops (new voltages). Both sums are pointer-doubling
-joins, so a sweep costs 2 x log2(depth) joins whatever the number of feeders, and
-each sweep ends in a staged table. Every feeder converges by itself: its rows are
-frozen at the sweep that settled it, and only the others are swept again. Complex numbers are (re, im) column pairs.
+currents), path sums of the drops (new voltages). Nodes are numbered in tour order,
+so both are prefix sums over ranges of places (``operators.tours``): two passes a
+sweep, whatever the depth and the number of feeders. Every feeder converges by
+itself: its rows are frozen at the sweep that settled it, and only the others are
+swept again. Complex numbers are (re, im) column pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattledger.operators.losses import phase_imbalance_pct
-from wattledger.operators.network import KEY, path_sums, subtree_sums
+from wattledger.operators.network import KEY
+from wattledger.operators.tours import in_blocks, path_totals, subtree_totals
 from wattledger.staging import stage
 
 _ANGLE = [0.0, -2.0 * math.pi / 3.0, 2.0 * math.pi / 3.0]
@@ -31,10 +33,12 @@ def impedances(tree: DataFrame, edges: DataFrame, conductors: DataFrame, *, t_op
                t_ref: float = 20.0) -> DataFrame:
     """Tree with ``r`` and ``x`` (ohm) of the segment into each node; unknown conductors get 0.01."""
     cat = conductors.select(F.col("code").alias("conductor"), "r_ohm_km", "x_ohm_km")
-    seg = edges.select("feeder", "segment_id", "conductor", "n_phases", "voltage_v").join(cat, "conductor", "left")
+    # One row a segment: a name used twice in a feeder must not double its nodes.
+    one = edges.groupBy("feeder", "segment_id").agg(F.min(F.struct("conductor", "n_phases", "voltage_v")).alias("m")).select("feeder", "segment_id", "m.*")
+    seg = one.join(cat, "conductor", "left")
     warm = 1.0 + alpha * (t_op - t_ref)
     return tree.join(seg, ["feeder", "segment_id"], "left").select(
-        *KEY, "parent", "segment_id", "length_km", "n_phases", "voltage_v",
+        *KEY, "parent", "segment_id", "length_km", "n_phases", "voltage_v", "place", "size",
         F.when(F.col("parent").isNotNull(), F.coalesce(F.col("r_ohm_km") * warm, F.lit(0.01)) * F.col("length_km")).otherwise(0.0).alias("r"),
         F.when(F.col("parent").isNotNull(), F.coalesce(F.col("x_ohm_km"), F.lit(0.01)) * F.col("length_km")).otherwise(0.0).alias("x"),
     )
@@ -65,7 +69,6 @@ class _Settled:
             "feeder", (F.coalesce("__worst", F.lit(0.0)) < self.tolerance).alias("converged"),
             (F.isnan("__worst") | F.lit(sweep >= self.max_sweeps)).alias("__ends")).withColumn(
             "__through", F.col("converged") | F.coalesce("__ends", F.lit(False))).drop("__ends")
-        verdict = stage(verdict, "verdict")
         through, open_ = verdict.agg(F.count_if("__through"), F.count_if(~F.col("__through"))).first()
         if through or not open_:
             rows = fresh.join(verdict.where("__through").drop("__through"), "feeder").withColumn("iterations", F.lit(sweep))
@@ -75,18 +78,22 @@ class _Settled:
         return fresh.join(verdict.where("not __through").select("feeder"), "feeder", "left_semi") if through else fresh
 
 
-def balanced_flow(tree_z: DataFrame, loads: DataFrame, base: DataFrame, levels: Sequence[DataFrame], *,
+_PLACE = ["place", "stop", "block"]
+
+
+def balanced_flow(tree_z: DataFrame, loads: DataFrame, base: DataFrame, levels: Sequence[DataFrame] | None = None, *,
                   tolerance: float = 1e-6, max_sweeps: int = 100) -> DataFrame:
     """``(feeder, node, v_re, v_im, i_re, i_im, v0, r, x, converged, iterations)``.
 
     ``loads``: feeder, node, kw (three-phase), pf. A feeder is swept until its own
-    largest voltage change is below tolerance, whatever the others do.
+    largest voltage change is below tolerance, whatever the others do. ``levels``
+    are not needed.
     """
     p = F.coalesce("kw", F.lit(0.0)) * 1000.0 / 3.0
-    nodes = tree_z.join(loads, KEY, "left").join(base, "feeder").select(
-        *KEY, "segment_id", "r", "x", "v0", p.alias("p"), (p * _tan(F.col("pf"))).alias("q"))
-    nodes = stage(nodes, "flow")
-    state = nodes.select("*", F.col("v0").alias("v_re"), F.lit(0.0).alias("v_im"))
+    state = in_blocks(tree_z).join(loads, KEY, "left").join(base, "feeder").select(
+        *KEY, "parent", "segment_id", *_PLACE, "r", "x", "v0", p.alias("p"), (p * _tan(F.col("pf"))).alias("q"),
+        F.col("v0").alias("v_re"), F.lit(0.0).alias("v_im"))
+    state = stage(state, "flow")
     settled = _Settled(tolerance, max_sweeps)
     for sweep in range(1, max_sweeps + 1):
         mag = F.col("v_re") * F.col("v_re") + F.col("v_im") * F.col("v_im")
@@ -94,18 +101,13 @@ def balanced_flow(tree_z: DataFrame, loads: DataFrame, base: DataFrame, levels:
         i_re = (F.col("p") * F.col("v_re") + F.col("q") * F.col("v_im")) / mag
         i_im = (F.col("p") * F.col("v_im") - F.col("q") * F.col("v_re")) / mag
         live = mag > 1e-12
-        currents = state.select(*KEY, F.when(live, i_re).otherwise(0.0).alias("i_re"), F.when(live, i_im).otherwise(0.0).alias("i_im"))
-        branch = subtree_sums(currents, levels, ["i_re", "i_im"])
-        drops = stage(nodes.join(branch, KEY).select(
-            *KEY, (F.col("i_re") * F.col("r") - F.col("i_im") * F.col("x")).alias("d_re"),
-            (F.col("i_re") * F.col("x") + F.col("i_im") * F.col("r")).alias("d_im"), "i_re", "i_im"), "flow")
-        total = path_sums(drops, levels, ["d_re", "d_im"])
-        old = state.select(*KEY, F.col("v_re").alias("__re"), F.col("v_im").alias("__im"))
-        fresh = stage(
-            nodes.join(total, KEY).join(drops.select(*KEY, "i_re", "i_im"), KEY).join(old, KEY)
-            .withColumns({"v_re": F.col("v0") - F.col("d_re"), "v_im": -F.col("d_im")})
-            .withColumn("dv", F.sqrt((F.col("v_re") - F.col("__re")) ** 2 + (F.col("v_im") - F.col("__im")) ** 2))
-            .drop("__re", "__im", "d_re", "d_im"), "flow")
+        currents = state.withColumns({"i_re": F.when(live, i_re).otherwise(0.0), "i_im": F.when(live, i_im).otherwise(0.0)})
+        drops = stage(subtree_totals(currents, ["i_re", "i_im"]).withColumns({
+            "d_re": F.col("i_re") * F.col("r") - F.col("i_im") * F.col("x"),
+            "d_im": F.col("i_re") * F.col("x") + F.col("i_im") * F.col("r")}), "flow")
+        v_re, v_im = F.col("v0") - F.col("d_re"), -F.col("d_im")
+        fresh = stage(path_totals(drops, ["d_re", "d_im"]).withColumn(
+            "dv", F.sqrt((v_re - F.col("v_re")) ** 2 + (v_im - F.col("v_im")) ** 2)).withColumns({"v_re": v_re, "v_im": v_im}).drop("d_re", "d_im"), "flow")
         left = settled.take(fresh, sweep)
         if left is None:
             break
@@ -123,6 +125,31 @@ def flow_summary(flow: DataFrame) -> DataFrame:
         F.max("iterations").alias("iterations"))
 
 
+def flow_residuals(flow: DataFrame) -> DataFrame:
+    """How far a balanced flow is from its equations, per feeder, by joins of every node with its parent.
+
+    ``drop_pu``: largest |V_parent - V - I Z| over V0; ``current_pu``: what enters at the source less what the nodes draw at
+    their voltages, over the former; ``power_pu``: what the source feeds less loads and losses, over the loads.
+    """
+    c = F.col
+    up = flow.select("feeder", c("node").alias("parent"), c("v_re").alias("__re"), c("v_im").alias("__im"))
+    rows = flow.join(up, ["feeder", "parent"], "left")
+    below = c("parent").isNotNull()
+    d_re = c("__re") - c("v_re") - (c("i_re") * c("r") - c("i_im") * c("x"))
+    d_im = c("__im") - c("v_im") - (c("i_re") * c("x") + c("i_im") * c("r"))
+    mag = c("v_re") * c("v_re") + c("v_im") * c("v_im")
+    at_source = lambda x: F.sum(F.when(~below, x).otherwise(0.0))
+    out = rows.groupBy("feeder").agg(
+        F.count_if(below).alias("segments"), F.max(F.when(below, F.sqrt(d_re * d_re + d_im * d_im) / c("v0"))).alias("drop_pu"),
+        (at_source(c("i_re")) - F.sum((c("p") * c("v_re") + c("q") * c("v_im")) / mag)).alias("__di_re"),
+        (at_source(c("i_im")) - F.sum((c("p") * c("v_im") - c("q") * c("v_re")) / mag)).alias("__di_im"),
+        at_source(F.sqrt(c("i_re") ** 2 + c("i_im") ** 2)).alias("__i"), at_source(c("i_re") * c("v_re") + c("i_im") * c("v_im")).alias("__fed"), F.sum("p").alias("__p"),
+        F.sum(F.when(below, (c("i_re") ** 2 + c("i_im") ** 2) * c("r")).otherwise(0.0)).alias("__loss"))
+    return out.select(
+        "feeder", "segments", F.coalesce("drop_pu", F.lit(0.0)).alias("drop_pu"), F.coalesce(F.sqrt(c("__di_re") ** 2 + c("__di_im") ** 2) / F.nullif(c("__i"), F.lit(0.0)), F.lit(0.0)).alias("current_pu"),
+        F.coalesce(F.abs(c("__fed") - c("__p") - c("__loss")) / F.nullif(c("__p"), F.lit(0.0)), F.lit(0.0)).alias("power_pu"))
+
+
 def branch_currents(flow: DataFrame) -> DataFrame:
     return flow.where(F.col("segment_id").isNotNull()).select(
         "feeder", "segment_id", F.sqrt(F.col("i_re") ** 2 + F.col("i_im") ** 2).alias("current_a"))
@@ -138,45 +165,38 @@ def loads_by_phase(customers: DataFrame, kw: Column) -> DataFrame:
         F.sum(F.when(ph == i, kw).otherwise(0.0)).alias(f"kw_{c}") for i, c in enumerate("abc")])
 
 
-def unbalanced_flow(tree_z: DataFrame, loads: DataFrame, base: DataFrame, levels: Sequence[DataFrame], *,
+def unbalanced_flow(tree_z: DataFrame, loads: DataFrame, base: DataFrame, levels: Sequence[DataFrame] | None = None, *,
                     pf: float = 0.92, mutual: float = 0.4, tolerance: float = 1e-6, max_sweeps: int = 100) -> DataFrame:
-    """Three-phase flow with mutual reactance ``mutual * x``; columns suffixed _a, _b, _c."""
+    """Three-phase flow with mutual reactance ``mutual * x``; columns suffixed _a, _b, _c. ``levels`` are not needed."""
     t = float(math.sqrt(1 - min(max(pf, 0.1), 1.0) ** 2) / min(max(pf, 0.1), 1.0))
     ph = "abc"
-    nodes = stage(tree_z.join(loads, KEY, "left").join(base, "feeder").select(
-        *KEY, "segment_id", "length_km", "n_phases", "r", "x", "v0",
-        *[(F.coalesce(f"kw_{c}", F.lit(0.0)) * 1000.0).alias(f"p_{c}") for c in ph]), "flow3")
-    state = nodes.select("*", *[(F.col("v0") * math.cos(a)).alias(f"vr_{c}") for c, a in zip(ph, _ANGLE)],
-                         *[(F.col("v0") * math.sin(a)).alias(f"vi_{c}") for c, a in zip(ph, _ANGLE)])
+    state = stage(in_blocks(tree_z).join(loads, KEY, "left").join(base, "feeder").select(
+        *KEY, "parent", "segment_id", *_PLACE, "length_km", "n_phases", "r", "x", "v0",
+        *[(F.coalesce(f"kw_{c}", F.lit(0.0)) * 1000.0).alias(f"p_{c}") for c in ph],
+        *[(F.col("v0") * math.cos(a)).alias(f"vr_{c}") for c, a in zip(ph, _ANGLE)],
+        *[(F.col("v0") * math.sin(a)).alias(f"vi_{c}") for c, a in zip(ph, _ANGLE)]), "flow3")
     cols = [f"{k}_{c}" for c in ph for k in ("ir", "ii")]
     settled = _Settled(tolerance, max_sweeps)
     for sweep in range(1, max_sweeps + 1):
-        cur = []
+        cur = {}
         for c in ph:
             p, q, vr, vi = F.col(f"p_{c}"), F.col(f"p_{c}") * t, F.col(f"vr_{c}"), F.col(f"vi_{c}")
             mag = vr * vr + vi * vi
             live = (p != 0) & (mag > 1e-12)
-            cur += [F.when(live, (p * vr + q * vi) / mag).otherwise(0.0).alias(f"ir_{c}"),
-                    F.when(live, (p * vi - q * vr) / mag).otherwise(0.0).alias(f"ii_{c}")]
-        branch = subtree_sums(state.select(*KEY, *cur), levels, cols)
-        drop = []
+            cur[f"ir_{c}"] = F.when(live, (p * vr + q * vi) / mag).otherwise(0.0)
+            cur[f"ii_{c}"] = F.when(live, (p * vi - q * vr) / mag).otherwise(0.0)
+        drop = {}
         for c in ph:
             # Own impedance r + jx, mutual j * mutual * x to the other two phases.
             o = [d for d in ph if d != c]
             xm = mutual * F.col("x")
-            drop += [
-                (F.col(f"ir_{c}") * F.col("r") - F.col(f"ii_{c}") * F.col("x") - xm * (F.col(f"ii_{o[0]}") + F.col(f"ii_{o[1]}"))).alias(f"dr_{c}"),
-                (F.col(f"ir_{c}") * F.col("x") + F.col(f"ii_{c}") * F.col("r") + xm * (F.col(f"ir_{o[0]}") + F.col(f"ir_{o[1]}"))).alias(f"di_{c}")]
-        drops = stage(nodes.join(branch, KEY).select(*KEY, *cols, *drop), "flow3")
-        dcols = [f"{k}_{c}" for c in ph for k in ("dr", "di")]
-        total = path_sums(drops, levels, dcols)
-        old = state.select(*KEY, *[F.col(f"v{k}_{c}").alias(f"__{k}{c}") for c in ph for k in "ri"])
-        dv = F.greatest(*[F.sqrt((F.col(f"vr_{c}") - F.col(f"__r{c}")) ** 2 + (F.col(f"vi_{c}") - F.col(f"__i{c}")) ** 2) for c in ph])
-        fresh = stage(
-            nodes.join(total, KEY).join(drops.select(*KEY, *cols), KEY).join(old, KEY)
-            .withColumns({f"vr_{c}": F.col("v0") * math.cos(a) - F.col(f"dr_{c}") for c, a in zip(ph, _ANGLE)})
-            .withColumns({f"vi_{c}": F.col("v0") * math.sin(a) - F.col(f"di_{c}") for c, a in zip(ph, _ANGLE)})
-            .withColumn("dv", dv).drop(*dcols, *[f"__{k}{c}" for c in ph for k in "ri"]), "flow3")
+            drop[f"dr_{c}"] = F.col(f"ir_{c}") * F.col("r") - F.col(f"ii_{c}") * F.col("x") - xm * (F.col(f"ii_{o[0]}") + F.col(f"ii_{o[1]}"))
+            drop[f"di_{c}"] = F.col(f"ir_{c}") * F.col("x") + F.col(f"ii_{c}") * F.col("r") + xm * (F.col(f"ir_{o[0]}") + F.col(f"ir_{o[1]}"))
+        drops = stage(subtree_totals(state.withColumns(cur), cols).withColumns(drop), "flow3")
+        new = {f"vr_{c}": F.col("v0") * math.cos(a) - F.col(f"dr_{c}") for c, a in zip(ph, _ANGLE)}
+        new |= {f"vi_{c}": F.col("v0") * math.sin(a) - F.col(f"di_{c}") for c, a in zip(ph, _ANGLE)}
+        dv = F.greatest(*[F.sqrt((new[f"vr_{c}"] - F.col(f"vr_{c}")) ** 2 + (new[f"vi_{c}"] - F.col(f"vi_{c}")) ** 2) for c in ph])
+        fresh = stage(path_totals(drops, list(drop)).withColumn("dv", dv).withColumns(new).drop(*drop), "flow3")
         left = settled.take(fresh, sweep)
         if left is None:
             break

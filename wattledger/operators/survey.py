@@ -245,20 +245,37 @@ def plan_summary(targets: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("targets"), F.count_if("data_problem").alias("data_problems"), F.sum("kwh").alias("kwh"))
 
 
+def most_suspect(ranking: DataFrame, share: float = 0.30) -> DataFrame:
+    """The best-ranked ``share`` of the customers, among whom sectors are looked for."""
+    cut = ranking.agg((F.count(F.lit(1)) * share).alias("__cut"))
+    return ranking.crossJoin(F.broadcast(cut)).where(F.col("rank") <= F.col("__cut")).drop("__cut")
+
+
+def covered_customers(targets: DataFrame, members: DataFrame) -> DataFrame:
+    """Customer targets inside a target that comes before them: by energy, then suspicion; on a tie the wider one is first.
+
+    ``members``: level, entity, account, one row per customer that a target of another level covers.
+    """
+    rank = lambda p: F.struct(F.col(f"{p}kwh"), F.col(f"{p}suspicion"))
+    wide = targets.where(F.col("level") != "CLIENTE").select("level", "entity", F.col("kwh").alias("w_kwh"), F.col("suspicion").alias("w_suspicion"))
+    inside = members.join(wide, ["level", "entity"]).select(F.col("account").cast("string").alias("entity"), "w_kwh", "w_suspicion")
+    # One row a customer: the best target that covers it.
+    best = inside.groupBy("entity").agg(F.max(F.struct("w_kwh", "w_suspicion")).alias("__best"))
+    customers = targets.where(F.col("level") == "CLIENTE").select("entity", "kwh", "suspicion")
+    return customers.join(best, "entity").where(F.col("__best") >= rank("")).select("entity", F.lit("CLIENTE").alias("level"))
+
+
 def work_orders(targets: DataFrame, members: DataFrame, top: int = 50, levels: Sequence[str] = (
         "PUESTO_TRANSFORMACION", "RUTA_COMERCIAL", "SECTOR", "CLIENTE")) -> DataFrame:
-    """Best ``top`` orders by energy per visit; a customer inside a better-ranked sector is dropped.
+    """Best ``top`` orders by energy per visit, over the levels that a crew can be sent to; customers that a target
+    before them covers are dropped, and so are targets with a data problem.
 
-    ``members``: account, sector. On equal energy and suspicion the sector comes first.
+    ``members``: level, entity, account; or account, sector.
     """
+    if "sector" in members.columns:
+        members = members.select(F.lit("SECTOR").alias("level"), F.col("sector").alias("entity"), "account")
     ok = targets.where(F.col("level").isin(*levels) & ~F.col("data_problem"))
-    rank = lambda p: F.struct(F.col(f"{p}kwh"), F.col(f"{p}suspicion"))
-    sector = ok.where(F.col("level") == "SECTOR").select(F.col("entity").alias("sector"), F.col("kwh").alias("s_kwh"), F.col("suspicion").alias("s_suspicion"))
-    covered = (
-        ok.where(F.col("level") == "CLIENTE").select("entity", "kwh", "suspicion")
-        .join(members.select(F.col("account").cast("string").alias("entity"), "sector"), "entity").join(sector, "sector")
-        .where(rank("s_") >= rank("")).select("entity").distinct().withColumn("level", F.lit("CLIENTE")))
-    best = ok.join(covered, ["level", "entity"], "left_anti").orderBy(
+    best = ok.join(covered_customers(ok, members), ["level", "entity"], "left_anti").orderBy(
         F.col("kwh").desc(), F.col("suspicion").desc(), "level", "entity").limit(top)
     # At most ``top`` rows are numbered.
     from pyspark.sql import Window

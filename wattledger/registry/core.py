@@ -16,12 +16,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 CTES: dict[str, str] = {}
+KEPT: set[str] = set()
 
 
-def cte(name: str, body: str) -> None:
+def cte(name: str, body: str, kept: bool = False) -> None:
+    """``kept`` fragments are computed once, however often they are read."""
     if name in CTES:
         raise ValueError(f"fragment {name} declared twice")
     CTES[name] = body.strip()
+    if kept:
+        KEPT.add(name)
 
 
 def compose(body: str) -> str:
@@ -34,7 +38,7 @@ def compose(body: str) -> str:
                 visit(CTES[word])
 
     visit(body)
-    parts = [f"{name} AS (\n{CTES[name]}\n)" for name in CTES if name in needed]
+    parts = [f"{name} AS {'MATERIALIZED ' if name in KEPT else ''}(\n{CTES[name]}\n)" for name in CTES if name in needed]
     body = body.strip()
     if not parts:
         return body

@@ -278,7 +278,7 @@ r AS (SELECT c.*, coalesce((SELECT min_by(key, ord) FROM k WHERE k.c = consumpti
   (SELECT min_by(key, ord) FROM k WHERE k.c = consumption_class)) AS class_key FROM classified c)
 SELECT class_key, count(*) AS customers, round(avg(CASE WHEN scaled < lo OR scaled > hi THEN 1.0 ELSE 0.0 END) * 100, 6) AS pct_outside,
   avg(CASE WHEN scaled < lo OR scaled > hi THEN 1.0 ELSE 0.0 END) * 100 > 5 AS warning
-FROM (SELECT class_key, mean_kwh * 2 AS scaled FROM r) JOIN (SELECT key, lo, CASE WHEN key = 'BT Residencial' THEN 5000 ELSE hi END AS hi FROM k) ON key = class_key GROUP BY 1
+FROM (SELECT class_key, mean_kwh * 2 AS scaled FROM r WHERE mean_kwh IS NOT NULL) JOIN (SELECT key, lo, CASE WHEN key = 'BT Residencial' THEN 5000 ELSE hi END AS hi FROM k) ON key = class_key GROUP BY 1
 """)
 def _(spark, d):
     s = customer_series(spark, d).withColumn("mean_kwh", F.col("mean_kwh") * 2)

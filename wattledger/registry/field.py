@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattledger.operators import balance, fieldwork, journal, network, rangejoin, scenarios, scoring, survey
+from wattledger.operators import balance, fieldwork, journal, network, rangejoin, scenarios, scoring, survey, transfers
 from wattledger.registry.core import cte, query
 from wattledger.registry.customers import ranking, rounded
-from wattledger.registry.energy import balances, rolled
-from wattledger.registry.grid import grid_nodes, node_customers, walk
+from wattledger.registry.energy import balances, residuals, rolled
+from wattledger.plans.scenario import evaluate_scenarios
+from wattledger.registry.grid import (
+    FACTOR, SPECS, conductor_table, edges, flow3_ctes, grid_nodes, head_meters, lamps, node_customers, sources, transformer_sites, walk)
 from wattledger.registry.inputs import code, customer_series, hierarchy, register, table
 from wattledger.staging import stage
 
+_OUT = "SELECT level, entity, round(priority, 6) AS priority, round(suspicion, 6) AS suspicion, round(kwh, 3) AS kwh, customers, data_problem FROM {}"
 PRIO = "least(1, greatest(0, (0.55 * {s} + 0.45 * {e}) * {f}))"
 
 
@@ -38,9 +41,6 @@ def feeder_t(spark, d):
     return survey.feeder_targets(b)
 
 
-_OUT = "SELECT level, entity, round(priority, 6) AS priority, round(suspicion, 6) AS suspicion, round(kwh, 3) AS kwh, customers, data_problem FROM {}"
-
-
 @query("target_feeders", _OUT.format("t_feeder"))
 def _(spark, d):
     return out(feeder_t(spark, d))
@@ -51,19 +51,26 @@ SELECT z.feeder, zone, count(*) AS customers, round(sum(kwh) * 0.04, 1) AS resid
 """)
 
 
-@query("target_zones", f"""
-SELECT 'ZONA_PROTECCION' AS level, feeder || '/' || zone AS entity, round({PRIO.format(s='signal', e=_norm('residual_kwh', 'zone_stat'), f='0.5')}, 6) AS priority, signal AS suspicion, residual_kwh AS kwh, customers, false AS data_problem FROM zone_stat
+cte("t_zone", f"""
+SELECT 'ZONA_PROTECCION' AS level, feeder || '/' || zone AS entity, feeder, {PRIO.format(s='signal', e=_norm('residual_kwh', 'zone_stat'), f='0.5')} AS priority, signal AS suspicion, residual_kwh AS kwh, customers, false AS data_problem FROM zone_stat
 """)
-def _(spark, d):
-    _, t, lv = walk(spark, d)
+
+
+def zone_t(spark, d, net=None) -> DataFrame:
+    _, t, lv = net or walk(spark, d)
     from wattledger.registry.grid import switches
 
     z = network.protection_zones(t, lv, switches(spark, d))
     g = z.join(node_customers(spark, d), ["feeder", "node"]).groupBy("feeder", "zone").agg(
         F.count(F.lit(1)).alias("customers"), F.sum("energy_kwh").alias("b")).where(F.col("b") > 0)
     # Estimated input, so the confidence is below 100.
-    return out(survey.zone_targets(g.select(
-        "feeder", "zone", "customers", F.round(F.col("b") * 0.04, 1).alias("residual_kwh"), F.lit(round(0.04 / 1.08, 6)).alias("signal"), F.lit(50.0).alias("confidence"))))
+    return survey.zone_targets(g.select(
+        "feeder", "zone", "customers", F.round(F.col("b") * 0.04, 1).alias("residual_kwh"), F.lit(round(0.04 / 1.08, 6)).alias("signal"), F.lit(50.0).alias("confidence")))
+
+
+@query("target_zones", _OUT.format("t_zone"))
+def _(spark, d):
+    return out(zone_t(spark, d))
 
 
 def node_facts(spark, d) -> DataFrame:
@@ -79,15 +86,21 @@ FROM gbranches b JOIN gload g ON g.node = b.node GROUP BY 1, 2 HAVING count(*) >
 """)
 
 
-@query("target_branches", f"""
-SELECT 'RAMAL' AS level, feeder || '/' || branch AS entity, round((0.55 * s + 0.45 * {_norm('rec', 'branch_stat')}) * CASE WHEN s > 0 THEN 1 ELSE 0.15 END, 6) AS priority, round(s, 6) AS suspicion, rec AS kwh, customers, false AS data_problem
+cte("t_branch", f"""
+SELECT 'RAMAL' AS level, feeder || '/' || branch AS entity, feeder, (0.55 * s + 0.45 * {_norm('rec', 'branch_stat')}) * CASE WHEN s > 0 THEN 1 ELSE 0.15 END AS priority, s AS suspicion, rec AS kwh, customers, false AS data_problem
 FROM (SELECT *, 0.5 * least(1, suspects / customers) + 0.5 * {_norm('suspects', 'branch_stat')} AS s FROM branch_stat)
 """)
+
+
+def branch_t(spark, d, net=None) -> DataFrame:
+    _, t, lv = net or walk(spark, d)
+    return survey.branch_targets(network.branches(t, lv).join(node_facts(spark, d), ["feeder", "node"]).groupBy("feeder", "branch").agg(
+        F.count(F.lit(1)).alias("customers"), F.count_if("suspect").alias("suspects"), F.sum("rec").alias("recoverable_kwh")))
+
+
+@query("target_branches", _OUT.format("t_branch"))
 def _(spark, d):
-    _, t, lv = walk(spark, d)
-    b = network.branches(t, lv).join(node_facts(spark, d), ["feeder", "node"]).groupBy("feeder", "branch").agg(
-        F.count(F.lit(1)).alias("customers"), F.count_if("suspect").alias("suspects"), F.sum("rec").alias("recoverable_kwh"))
-    return out(survey.branch_targets(b))
+    return out(branch_t(spark, d))
 
 
 cte("site_stat", """
@@ -96,19 +109,26 @@ FROM gtx_loss s LEFT JOIN (SELECT p.feeder, p.site, count(*) FILTER (WHERE k % 1
 """)
 
 
-@query("target_sites", f"""
-SELECT 'PUESTO_TRANSFORMACION' AS level, feeder || '/' || site AS entity, round(least(1, 0.55 * s + 0.45 * {_norm('rec', 'site_stat')}), 6) AS priority, round(s, 6) AS suspicion, rec AS kwh, greatest(customers, 1) AS customers, false AS data_problem
+cte("t_site", f"""
+SELECT 'PUESTO_TRANSFORMACION' AS level, feeder || '/' || site AS entity, feeder, least(1, 0.55 * s + 0.45 * {_norm('rec', 'site_stat')}) AS priority, s AS suspicion, rec AS kwh, greatest(customers, 1) AS customers, false AS data_problem
 FROM (SELECT *, least(1, greatest(0, 0.45 * least(1, suspects / greatest(customers, 1)) + 0.35 * {_norm('res', 'site_stat')} + 0.2 * least(1, greatest(0, (0.3 - ratio) / 0.3)))) AS s FROM site_stat)
 """)
-def _(spark, d):
-    from wattledger.registry.grid import transformer_sites, transformers
 
-    _, t, lv = walk(spark, d)
+
+def site_t(spark, d, net=None) -> DataFrame:
+    from wattledger.registry.grid import transformers
+
+    _, t, lv = net or walk(spark, d)
     place = network.assign_to_sites(t, lv, transformer_sites(spark, d))
     f = place.join(node_facts(spark, d), ["feeder", "node"]).groupBy("feeder", "site").agg(
         F.count_if("suspect").alias("suspects"), F.sum("rec").alias("recoverable_kwh"))
     tx = transformers(spark, d).select("feeder", "site", "customers", F.col("totaliser_residual_kwh").cast("double").alias("totaliser_residual_kwh"), "loading_ratio")
-    return out(survey.site_targets(tx.join(f, ["feeder", "site"], "left").fillna(0)))
+    return survey.site_targets(tx.join(f, ["feeder", "site"], "left").fillna(0))
+
+
+@query("target_sites", _OUT.format("t_site"))
+def _(spark, d):
+    return out(site_t(spark, d))
 
 
 cte("route_raw", """
@@ -140,10 +160,13 @@ def _(spark, d):
     return rounded(r, energy_kwh=3, zero_pct=4, estimated_pct=4, cv=6, ratio=6, incoherence=6)
 
 
-@query("target_routes", f"""
-SELECT 'RUTA_COMERCIAL' AS level, route AS entity, round(0.55 * s + 0.45 * {_norm('rec', 'route_stat')}, 6) AS priority, round(s, 6) AS suspicion, rec AS kwh, customers, false AS data_problem
+cte("t_route", f"""
+SELECT 'RUTA_COMERCIAL' AS level, route AS entity, NULL::VARCHAR AS feeder, 0.55 * s + 0.45 * {_norm('rec', 'route_stat')} AS priority, s AS suspicion, rec AS kwh, customers, false AS data_problem
 FROM (SELECT *, least(1, greatest(0.5 * suspects / customers + 0.5 * {_norm('suspects', 'route_stat')}, inc)) AS s FROM route_stat)
 """)
+
+
+@query("target_routes", _OUT.format("t_route"))
 def _(spark, d):
     return out(survey.route_targets(routes(spark, d)))
 
@@ -176,8 +199,7 @@ SELECT 'SECTOR' AS level, sector AS entity, feeder, least(1, 0.55 * mean_score +
 
 def sector_parts(spark, d):
     r = cust_ranking(spark, d)
-    cut = r.agg((F.count(F.lit(1)) * 0.3).alias("__cut"))
-    m = stage(survey.sector_members(r.crossJoin(F.broadcast(cut)).where(F.col("rank") <= F.col("__cut")).drop("__cut")), "members")
+    m = stage(survey.sector_members(survey.most_suspect(r)), "members")
     return r, m, stage(survey.sectors(m), "sectors")
 
 
@@ -204,18 +226,22 @@ def _(spark, d):
     return out(survey.organisation_targets(rolled(spark, d)))
 
 
-cte("survey_plan", """
-SELECT level, entity, feeder, priority, suspicion, kwh, customers, data_problem OR feeder IN ('F001', 'F010') AS data_problem, NULL::DOUBLE AS x, NULL::DOUBLE AS y FROM t_feeder
-UNION ALL SELECT level, entity, feeder, priority, suspicion, kwh, customers, coalesce(feeder IN ('F001', 'F010'), false), x, y FROM t_cust
-UNION ALL SELECT level, entity, feeder, priority, suspicion, kwh, customers, coalesce(feeder IN ('F001', 'F010'), false), x, y FROM t_sector
-""")
+_PLAN = ["level", "entity", "feeder", "priority", "suspicion", "kwh", "customers", "data_problem"]
+cte("survey_plan", "\nUNION ALL ".join(
+    f"SELECT {', '.join(_PLAN[:-1])}, coalesce(data_problem OR feeder IN (SELECT fa FROM tr_found UNION SELECT fb FROM tr_found), data_problem) AS data_problem FROM {t}" if t not in ("t_org",)
+    else f"SELECT level, entity, NULL::VARCHAR AS feeder, {', '.join(_PLAN[3:])} FROM {t}"
+    for t in ("t_feeder", "t_zone", "t_branch", "t_site", "t_route", "t_cust", "t_sector", "t_org")), kept=True)
 
 
 def the_plan(spark, d):
+    """All nine levels, targets in the feeders of a detected transfer degraded; members and sectors for the orders."""
     r, m, s = sector_parts(spark, d)
-    p = survey.plan(feeder_t(spark, d), survey.customer_targets(r), survey.sector_targets(s))
-    hit = hierarchy(spark, d).where(F.col("feeder").isin("F001", "F010"))
-    return m, s, stage(survey.degrade_transferred(p, hit), "plan")
+    net = walk(spark, d)
+    p = survey.plan(
+        feeder_t(spark, d), zone_t(spark, d, net), branch_t(spark, d, net), site_t(spark, d, net), survey.route_targets(routes(spark, d)),
+        survey.customer_targets(r), survey.sector_targets(s), survey.organisation_targets(rolled(spark, d)))
+    moved = transfers.affected_feeders(transfers.transfer_candidates(residuals(spark, d)))
+    return m, s, stage(survey.degrade_transferred(p, moved), "plan")
 
 
 @query("survey_plan_summary", "SELECT level, count(*) AS targets, count(*) FILTER (WHERE data_problem) AS data_problems, round(sum(kwh), 2) AS kwh FROM survey_plan GROUP BY 1")
@@ -223,18 +249,25 @@ def _(spark, d):
     return rounded(survey.plan_summary(the_plan(spark, d)[2]), kwh=2)
 
 
+@query("survey_plan", "SELECT level, entity, feeder, round(priority, 6) AS priority, round(suspicion, 6) AS suspicion, round(kwh, 3) AS kwh, customers, data_problem FROM survey_plan")
+def _(spark, d):
+    return rounded(the_plan(spark, d)[2].select(*_PLAN), priority=6, suspicion=6, kwh=3)
+
+
 @query("work_orders", """
-WITH e AS (SELECT * FROM survey_plan WHERE level IN ('SECTOR', 'CLIENTE') AND NOT data_problem),
+WITH e AS (
+  SELECT level, entity, round(kwh, 6) AS kwh, round(suspicion, 9) AS suspicion FROM survey_plan
+  WHERE level IN ('PUESTO_TRANSFORMACION', 'RUTA_COMERCIAL', 'SECTOR', 'CLIENTE') AND NOT data_problem),
 m AS (SELECT CAST(u.account AS VARCHAR) AS account, v.sector FROM sector_cust u JOIN sector_stat v USING (gx, gy)),
 c AS (SELECT DISTINCT c.entity FROM e c JOIN m ON m.account = c.entity JOIN e s ON s.level = 'SECTOR' AND s.entity = m.sector WHERE c.level = 'CLIENTE' AND (s.kwh > c.kwh OR (s.kwh = c.kwh AND s.suspicion >= c.suspicion))),
-o AS (SELECT *, row_number() OVER (ORDER BY kwh DESC, round(suspicion, 9) DESC, level, entity) AS n FROM e WHERE NOT (level = 'CLIENTE' AND entity IN (SELECT entity FROM c)))
-SELECT printf('OT-%04d', n) AS work_order, level, round(kwh, 3) AS kwh FROM o WHERE n <= 50
+o AS (SELECT *, row_number() OVER (ORDER BY kwh DESC, suspicion DESC, level, entity) AS n FROM e WHERE NOT (level = 'CLIENTE' AND entity IN (SELECT entity FROM c)))
+SELECT printf('OT-%04d', n) AS work_order, level, entity, round(kwh, 3) AS kwh FROM o WHERE n <= 50
 """)
 def _(spark, d):
     m, s, p = the_plan(spark, d)
-    p = p.withColumn("suspicion", F.round("suspicion", 9))
-    members = m.join(s.select("cell_x", "cell_y", "sector"), ["cell_x", "cell_y"]).select("account", "sector")
-    return rounded(survey.work_orders(p, members).select("work_order", "level", "kwh"), kwh=3)
+    p = p.withColumns({"suspicion": F.round("suspicion", 9), "kwh": F.round("kwh", 6)})
+    members = m.join(s.select("cell_x", "cell_y", "sector"), ["cell_x", "cell_y"]).select(F.lit("SECTOR").alias("level"), F.col("sector").alias("entity"), "account")
+    return rounded(survey.work_orders(p, members).select("work_order", "level", "entity", "kwh"), kwh=3)
 
 
 @query("location_registry", """
@@ -635,11 +668,53 @@ def scenario_balance(spark, d) -> DataFrame:
     return scenarios.scenario_totals(balance.feeder_balance(b, loss_rate=0.1))
 
 
+cte("sc_copies", "SELECT DISTINCT scenario, feeder AS home, scenario || '/' || feeder AS feeder FROM sc_values")
+cte("sc_load", "SELECT c.scenario, c.feeder, c.home, g.node, g.k, CAST(v.value AS DOUBLE) AS kwh FROM sc_copies c JOIN sc_values v ON v.scenario = c.scenario AND v.feeder = c.home JOIN gnodes g ON CAST(g.k AS VARCHAR) = v.element", kept=True)
+cte("sc_watts", "SELECT feeder, home, node, k, (0.0002 * greatest(kwh, 0) + 0.03 * sqrt(greatest(kwh, 0))) * 1000 AS w FROM sc_load")
+cte("sc_closure", "SELECT c.feeder, r.node, r.anc FROM rec_closure r JOIN sc_copies c ON c.home = r.feeder")
+flow3_ctes("flowsc", "sc_watts", "sc_closure")
+cte("sc_site", """
+SELECT c.feeder, z.site, z.lighting_kwh, z.kva, t.p0_kw, t.pk_kw, coalesce(b.billed, 0) AS billed FROM sc_copies c JOIN gzone_lv z ON z.feeder = c.home JOIN gtx t ON t.feeder = z.feeder AND t.site = z.site
+LEFT JOIN (SELECT l.feeder, p.site, sum(CASE WHEN k % 40 = 20 THEN 0 ELSE l.kwh END) AS billed FROM sc_load l JOIN gplaced p ON p.feeder = l.home AND p.node = l.node WHERE p.site IS NOT NULL GROUP BY 1, 2) b
+  ON b.feeder = c.feeder AND b.site = z.site
+""")
+cte("sc_eval", f"""
+SELECT scenario, feeder, i, billed, technical, i - billed * 1.001 - light - technical AS ntl, unmeasured, v FROM (
+  SELECT c.scenario, c.home AS feeder, f.v, s.light, s.billed + coalesce(o.billed, 0) AS billed, (f.phases + f.neutral) * 720 * {FACTOR} + s.loss + m.w * 720 / 1000 AS technical, h.input_kwh IS NULL AS unmeasured,
+    coalesce(h.input_kwh, (s.billed + coalesce(o.billed, 0)) * 1.001 + s.light) AS i
+  FROM sc_copies c JOIN flowsc_sum f USING (feeder)
+  JOIN (SELECT feeder, sum(billed) AS billed, sum(lighting_kwh) AS light, sum(p0_kw * 720 + pk_kw * pow((0.0002 * greatest(billed, 0) + 0.03 * sqrt(greatest(billed, 0))) / 0.92 / kva, 2) * 720 * {FACTOR} * 1.02) AS loss FROM sc_site GROUP BY 1) s USING (feeder)
+  LEFT JOIN (SELECT l.feeder, sum(l.kwh) AS billed FROM sc_load l LEFT JOIN gplaced p ON p.feeder = l.home AND p.node = l.node WHERE p.site IS NULL AND k % 40 <> 20 GROUP BY 1) o USING (feeder)
+  JOIN (SELECT feeder, sum(CASE k % 3 WHEN 0 THEN 0.8 ELSE 1.0 END) AS w FROM gnodes GROUP BY 1) m ON m.feeder = c.home
+  LEFT JOIN head_meters h ON h.feeder = c.home)
+""")
+
+
+def scenario_results(spark, d, known: DataFrame | None = None) -> DataFrame:
+    overlaid = scenarios.overlay(scenario_values(spark, d), scenario_changes(spark, d), ["cliente"])
+    tables = dict(edges=edges(spark, d), sources=sources(spark, d), sites=transformer_sites(spark, d), customers=node_customers(spark, d),
+                  lamps=lamps(spark, d), head=head_meters(spark, d))
+    return evaluate_scenarios(overlaid, tables, conductor_table(spark, d), SPECS, known)
+
+
+@query("scenario_feeders", """
+SELECT scenario, feeder, round(i, 2) AS input_kwh, billed AS billed_kwh, round(technical, 3) AS technical_kwh, round(ntl, 2) AS ntl_kwh, CASE WHEN unmeasured THEN 'INDICATIVO' ELSE 'MEDIDO' END AS balance_type, round(v, 6) AS v_min_pu FROM sc_eval
+""")
+def _(spark, d):
+    r = scenario_results(spark, d).select("scenario", "feeder", "input_kwh", "billed_kwh", "technical_kwh", "ntl_kwh", "balance_type", "v_min_pu")
+    return rounded(r, input_kwh=2, technical_kwh=3, ntl_kwh=2, v_min_pu=6)
+
+
 @query("scenario_evaluation", """
-SELECT scenario, round(input_kwh, 2) AS input_kwh, billed_kwh, round(ntl_kwh, 2) AS ntl_kwh, feeders, balance_type, round(ntl_kwh / input_kwh * 100, 4) AS ntl_pct FROM sc_total
+SELECT scenario, round(sum(i), 2) AS input_kwh, sum(billed) AS billed_kwh, round(sum(technical), 3) AS technical_kwh, round(sum(ntl), 2) AS ntl_kwh, count(*) AS feeders,
+  CASE WHEN bool_or(unmeasured) THEN 'INDICATIVO' ELSE 'MEDIDO' END AS balance_type, round(sum(ntl) / sum(i) * 100, 4) AS ntl_pct, round(min(v), 6) AS v_min_pu FROM sc_eval GROUP BY 1
 """)
 def _(spark, d):
-    return rounded(scenario_balance(spark, d).select("scenario", "input_kwh", "billed_kwh", "ntl_kwh", "feeders", "balance_type", "ntl_pct"), input_kwh=2, ntl_kwh=2, ntl_pct=4)
+    results = stage(scenario_results(spark, d), "results")
+    low = results.groupBy("scenario").agg(F.min("v_min_pu").alias("v_min_pu"))
+    t = scenarios.scenario_totals(results).join(low, "scenario")
+    return rounded(t.select("scenario", "input_kwh", "billed_kwh", "technical_kwh", "ntl_kwh", "feeders", "balance_type", "ntl_pct", "v_min_pu"),
+                   input_kwh=2, technical_kwh=3, ntl_kwh=2, ntl_pct=4, v_min_pu=6)
 
 
 def iterations(spark, d) -> DataFrame:

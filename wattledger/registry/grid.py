@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattledger.functions import electric
-from wattledger.operators import balance, losses, network, powerflow, signals
+from wattledger.operators import balance, losses, network, powerflow, signals, tours
 from wattledger.operators.rangejoin import catalogue_nearest
 from wattledger.params import TARIFF_CLASSES, Lighting
+from wattledger.plans.grid import GridPlan, analyse_grid
 from wattledger.registry.core import cte, query
 from wattledger.registry.customers import rounded
 from wattledger.registry.energy import orders_by_account
@@ -110,7 +111,7 @@ def _(spark, d):
 
 @query("network_tree", "SELECT feeder, node, parent, segment_id, round(length_km, 6) AS length_km, CAST(depth AS INTEGER) AS depth FROM gtree")
 def _(spark, d):
-    return rounded(_tree(spark, d)[1], length_km=6)
+    return rounded(_tree(spark, d)[1].drop("place", "size"), length_km=6)
 
 
 @query("network_islands", """
@@ -133,8 +134,7 @@ def _(spark, d):
 SELECT c.feeder, c.node, round(sum(t.length_km), 6) AS path_km FROM rec_closure c JOIN gtree t ON t.feeder = c.feeder AND t.node = c.anc GROUP BY 1, 2
 """)
 def _(spark, d):
-    _, t, lv = walk(spark, d)
-    return rounded(network.path_km(t, lv), path_km=6)
+    return rounded(network.path_km(_tree(spark, d)[1]), path_km=6)
 
 
 @query("trace_upstream", """
@@ -142,8 +142,8 @@ SELECT c.feeder, c.node AS start, c.anc AS node, CAST(c.steps AS INTEGER) AS ste
   SELECT feeder, max(node) AS node FROM gtree GROUP BY 1) m ON m.feeder = c.feeder AND m.node = c.node
 """)
 def _(spark, d):
-    t = _tree(spark, d)[1]
-    return network.trace_upstream(t, t.groupBy("feeder").agg(F.max("node").alias("node")))
+    _, t, lv = walk(spark, d)
+    return network.trace_upstream(t, t.groupBy("feeder").agg(F.max("node").alias("node")), lv)
 
 
 cte("account_kwh", "SELECT o_custkey AS k, floor(sum(floor(o_totalprice / 100)) / 80) AS kwh FROM orders GROUP BY 1")
@@ -162,11 +162,12 @@ def node_customers(spark, d) -> DataFrame:
 SELECT c.feeder, c.anc AS node, count(*) AS customers, sum(g.kwh) AS energy_kwh FROM rec_closure c JOIN gload g ON g.node = c.node GROUP BY 1, 2
 """)
 def _(spark, d):
-    _, t, lv = walk(spark, d)
+    t = _tree(spark, d)[1]
     c = node_customers(spark, d).groupBy("feeder", "node").agg(F.count(F.lit(1)).cast("double").alias("customers"), F.sum("energy_kwh").alias("energy_kwh"))
-    v = t.select("feeder", "node").join(c, ["feeder", "node"], "left").fillna(0.0)
-    out = network.subtree_sums(stage(v, "values"), lv, ["customers", "energy_kwh"])
-    return out.withColumn("customers", F.col("customers").cast("bigint"))
+    v = tours.in_blocks(t).join(c, ["feeder", "node"], "left").fillna(0.0)
+    out = tours.subtree_totals(v, ["customers", "energy_kwh"])
+    # Energies are whole numbers, so their prefix sums are exact.
+    return out.select("feeder", "node", F.col("customers").cast("bigint").alias("customers"), "energy_kwh")
 
 
 @query("node_relatives", """
@@ -422,9 +423,9 @@ def conductor_table(spark, d) -> DataFrame:
 
 
 def _flow_inputs(spark, d):
-    e, t, lv_ = walk(spark, d)
+    e, t = _tree(spark, d)
     z = stage(powerflow.impedances(t, e, conductor_table(spark, d)), "z")
-    return e, t, lv_, z, powerflow.base_voltages(z, e, sources(spark, d))
+    return z, stage(powerflow.base_voltages(z, e, sources(spark, d)), "base")
 
 
 def node_loads(spark, d) -> DataFrame:
@@ -451,23 +452,110 @@ SELECT c.feeder, c.node, round(13800 / sqrt(3) - sum(b.i_re * z.r - b.i_im * z.x
 FROM rec_closure c JOIN gbr b ON b.feeder = c.feeder AND b.node = c.anc JOIN gz z ON z.feeder = c.feeder AND z.node = c.anc GROUP BY 1, 2
 """)
 def _(spark, d):
-    _, _, lv_, z, base = _flow_inputs(spark, d)
-    f = powerflow.balanced_flow(z, node_loads(spark, d), base, lv_, max_sweeps=1)
+    z, base = _flow_inputs(spark, d)
+    f = powerflow.balanced_flow(z, node_loads(spark, d), base, max_sweeps=1)
     return rounded(f.select("feeder", "node", "v_re", "v_im"), v_re=5, v_im=5)
 
 
-@query("load_flow_balanced")
-def _(spark, d):
-    _, _, lv_, z, base = _flow_inputs(spark, d)
-    return powerflow.flow_summary(powerflow.balanced_flow(z, node_loads(spark, d), base, lv_))
+def flow_ctes(tag: str, loads: str, phases: list[tuple[str, str, str]], mutual: float, closure: str = "rec_closure", sweeps: int = 10) -> None:
+    """The sweeps written out as fragments, the result in ``<tag>_flow``: each a sum over the closure below and one above.
+
+    ``loads``: feeder, home (the feeder whose network it has), node, k, w (watts). ``closure``: feeder, node, anc. ``phases``:
+    name, watts, angle. A feeder's result is that of its first sweep that changes no voltage by more than a millionth.
+    """
+    names = [n for n, _, _ in phases]
+    keep = lambda name, body: cte(f"{tag}_{name}", body, kept=True)
+    keep("clo", f"SELECT feeder, node, anc FROM {closure}")
+    keep("z", f"""
+SELECT l.feeder, g.node, g.parent, g.segment_id, g.r, g.x, t.length_km, e.n_phases, 13800 / sqrt(3) AS v0, {", ".join(f"{w} AS p_{n}" for n, w, _ in phases)}
+FROM {loads} l JOIN gz g ON g.feeder = l.home AND g.node = l.node JOIN gtree t ON t.feeder = g.feeder AND t.node = g.node LEFT JOIN gedges e ON e.feeder = g.feeder AND e.segment_id = g.segment_id
+""")
+    keep("s0", f"SELECT feeder, node, {', '.join(f'v0 * cos({a}) AS vr_{n}, v0 * sin({a}) AS vi_{n}' for n, _, a in phases)} FROM {tag}_z")
+    tan = "sqrt(1 - 0.92 * 0.92) / 0.92"
+    for k in range(1, sweeps + 1):
+        i = ", ".join(
+            f"CASE WHEN p_{n} <> 0 THEN (p_{n} * vr_{n} + p_{n} * {tan} * vi_{n}) / (vr_{n} * vr_{n} + vi_{n} * vi_{n}) ELSE 0 END AS ir_{n}, "
+            f"CASE WHEN p_{n} <> 0 THEN (p_{n} * vi_{n} - p_{n} * {tan} * vr_{n}) / (vr_{n} * vr_{n} + vi_{n} * vi_{n}) ELSE 0 END AS ii_{n}" for n in names)
+        sums = ", ".join(f"sum(ir_{n}) AS ir_{n}, sum(ii_{n}) AS ii_{n}" for n in names)
+        other = {n: [o for o in names if o != n] for n in names}
+        drop = ", ".join(
+            f"ir_{n} * r - ii_{n} * x - {mutual} * x * ({' + '.join(f'ii_{o}' for o in other[n]) or '0'}) AS dr_{n}, "
+            f"ir_{n} * x + ii_{n} * r + {mutual} * x * ({' + '.join(f'ir_{o}' for o in other[n]) or '0'}) AS di_{n}" for n in names)
+        new = ", ".join(f"any_value(v0) * cos({a}) - sum(dr_{n}) AS vr_{n}, any_value(v0) * sin({a}) - sum(di_{n}) AS vi_{n}" for n, _, a in phases)
+        change = ", ".join(f"sqrt(pow(n.vr_{x} - o.vr_{x}, 2) + pow(n.vi_{x} - o.vi_{x}, 2))" for x in names)
+        keep(f"b{k}", f"SELECT c.feeder, c.anc AS node, {sums} FROM {tag}_clo c JOIN (SELECT feeder, node, {i} FROM {tag}_z JOIN {tag}_s{k - 1} USING (feeder, node)) i USING (feeder, node) GROUP BY 1, 2")
+        keep(f"d{k}", f"SELECT feeder, node, v0, {drop} FROM {tag}_b{k} JOIN {tag}_z USING (feeder, node)")
+        keep(f"s{k}", f"SELECT c.feeder, c.node, {new} FROM {tag}_clo c JOIN {tag}_d{k} d ON d.feeder = c.feeder AND d.node = c.anc GROUP BY 1, 2")
+        keep(f"w{k}", f"SELECT feeder, max(greatest({change}) / v0) AS worst FROM {tag}_s{k} n JOIN {tag}_s{k - 1} o USING (feeder, node) JOIN {tag}_z USING (feeder, node) GROUP BY 1")
+    through = " UNION ALL ".join(f"SELECT feeder, {k} AS k, worst FROM {tag}_w{k}" for k in range(1, sweeps + 1))
+    keep("stop", f"SELECT feeder, min(k) AS iterations FROM ({through}) WHERE worst < 1e-6 GROUP BY 1")
+    rows = " UNION ALL ".join(f"SELECT * FROM {tag}_b{k} JOIN {tag}_s{k} USING (feeder, node) JOIN {tag}_stop USING (feeder) WHERE iterations = {k}" for k in range(1, sweeps + 1))
+    keep("flow", f"SELECT * FROM ({rows}) JOIN {tag}_z USING (feeder, node)")
+
 
+_THIRD = "2 * pi() / 3"
+THREE_PHASES = [
+    ("a", "CASE WHEN k % 8 NOT IN (2, 3) THEN w ELSE 0 END", "0.0"), ("b", "CASE WHEN k % 8 = 2 THEN w ELSE 0 END", f"-{_THIRD}"),
+    ("c", "CASE WHEN k % 8 = 3 THEN w ELSE 0 END", _THIRD)]
 
-@query("load_flow_unbalanced")
+
+def flow3_ctes(tag: str, loads: str, closure: str = "rec_closure") -> None:
+    """The three-phase flow and, in ``<tag>_sum``, its summary per feeder."""
+    flow_ctes(tag, loads, THREE_PHASES, 0.4, closure)
+    cte(f"{tag}_mag", f"""
+SELECT *, sqrt(ir_a * ir_a + ii_a * ii_a) AS ma, sqrt(ir_b * ir_b + ii_b * ii_b) AS mb, sqrt(ir_c * ir_c + ii_c * ii_c) AS mc,
+  least(sqrt(vr_a * vr_a + vi_a * vi_a), sqrt(vr_b * vr_b + vi_b * vi_b), sqrt(vr_c * vr_c + vi_c * vi_c)) / v0 AS v FROM {tag}_flow
+""")
+    cte(f"{tag}_sum", f"""
+SELECT feeder, sum(CASE WHEN segment_id IS NOT NULL THEN (ma * ma + mb * mb + mc * mc) * r ELSE 0 END) / 1000 AS phases,
+  sum(CASE WHEN segment_id IS NOT NULL THEN (pow(ir_a + ir_b + ir_c, 2) + pow(ii_a + ii_b + ii_c, 2)) * length_km * 0.86 ELSE 0 END) / 1000 AS neutral, min(v) AS v,
+  coalesce(max(CASE WHEN mean > 0 AND mean >= 0.1 * top THEN greatest(abs(ma - mean), abs(mb - mean), abs(mc - mean)) / mean * 100 END), 0) AS imbalance, max(iterations) AS iterations
+FROM (SELECT *, max(mean) OVER (PARTITION BY feeder) AS top FROM (SELECT *, CASE WHEN segment_id IS NOT NULL AND n_phases = 3 THEN (ma + mb + mc) / 3 END AS mean FROM {tag}_mag))
+GROUP BY 1
+""")
+
+
+cte("gwatts", "SELECT feeder, feeder AS home, node, k, kwh, (0.0002 * kwh + 0.03 * sqrt(kwh)) * 1000 AS w FROM gload")
+flow_ctes("flowone", "gwatts", [("a", "w / 3", "0.0")], 0.0)
+flow3_ctes("flowthree", "gwatts")
+
+
+def balanced(spark, d) -> DataFrame:
+    z, base = _flow_inputs(spark, d)
+    return powerflow.balanced_flow(z, node_loads(spark, d), base)
+
+
+@query("load_flow_balanced", """
+SELECT feeder, round(sum(3 * (ir_a * ir_a + ii_a * ii_a) * r) / 1000, 5) AS loss_kw_peak, round(min(sqrt(vr_a * vr_a + vi_a * vi_a) / v0), 7) AS v_min_pu,
+  round(max(sqrt(ir_a * ir_a + ii_a * ii_a)) FILTER (segment_id IS NOT NULL), 5) AS i_max_a, true AS converged, CAST(max(iterations) AS INTEGER) AS iterations
+FROM flowone_flow GROUP BY 1
+""")
 def _(spark, d):
-    _, _, lv_, z, base = _flow_inputs(spark, d)
+    return rounded(powerflow.flow_summary(balanced(spark, d)), loss_kw_peak=5, v_min_pu=7, i_max_a=5)
+
+
+def unbalanced(spark, d) -> DataFrame:
+    z, base = _flow_inputs(spark, d)
     c = TARIFF_CLASSES["BT Residencial"]
     kw = electric.velander_kw(F.col("energy_kwh"), F.lit(c["a"]), F.lit(c["b"]))
-    return powerflow.unbalanced_summary(powerflow.unbalanced_flow(z, powerflow.loads_by_phase(node_customers(spark, d), kw), base, lv_))
+    return powerflow.unbalanced_flow(z, powerflow.loads_by_phase(node_customers(spark, d), kw), base)
+
+
+@query("load_flow_unbalanced", """
+SELECT feeder, round(phases, 5) AS loss_phases_kw, round(neutral, 5) AS loss_neutral_kw, round(v, 7) AS v_min_pu, round(imbalance, 5) AS imbalance_pct_max, true AS converged,
+  CAST(iterations AS INTEGER) AS iterations, round(phases + neutral, 5) AS loss_kw_peak FROM flowthree_sum
+""")
+def _(spark, d):
+    return rounded(powerflow.unbalanced_summary(unbalanced(spark, d)), loss_phases_kw=5, loss_neutral_kw=5, v_min_pu=7, imbalance_pct_max=5, loss_kw_peak=5)
+
+
+@query("load_flow_residuals", """
+SELECT feeder, count(*) FILTER (depth > 0) AS segments, true AS drops_hold, true AS currents_hold, true AS power_holds FROM gtree GROUP BY 1
+""")
+def _(spark, d):
+    return powerflow.flow_residuals(balanced(spark, d)).select(
+        "feeder", "segments", (F.col("drop_pu") < 1e-6).alias("drops_hold"), (F.col("current_pu") < 1e-5).alias("currents_hold"),
+        (F.col("power_pu") < 1e-5).alias("power_holds"))
 
 
 @query("load_by_phase", """
@@ -481,37 +569,71 @@ def _(spark, d):
 
 # --- assembly, versions, quality -------------------------------------------------
 
-def loss_components(spark, d) -> DataFrame:
-    """Conductor, transformer and meter losses per feeder, from one flow and one site table."""
-    _, _, lv_, z, base = _flow_inputs(spark, d)
-    flow = powerflow.flow_summary(powerflow.balanced_flow(z, node_loads(spark, d), base, lv_))
-    tx = transformers(spark, d).groupBy("feeder").agg(F.sum("loss_kwh").alias("transformers_kwh"), F.sum("noload_kwh").alias("noload_kwh"))
-    meters = losses.meter_loss_kwh(node_customers(spark, d), "feeder", 720.0).withColumnRenamed("meter_kwh", "meters_kwh")
-    fp = 0.25 * 0.42 + 0.75 * 0.42 ** 2
-    c = flow.select("feeder", (F.col("loss_kw_peak") * 720.0 * fp).alias("conductors_kwh"))
-    return stage(c.join(tx, "feeder", "full").join(meters, "feeder", "full").fillna(0.0), "components")
+cte("head_meters", "SELECT 'G' || lpad(CAST(o_custkey % 20 AS VARCHAR), 2, '0') AS feeder, sum(floor(l_extendedprice)) / 8000 AS input_kwh FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 20 % 7 <> 0 GROUP BY 1")
+
+
+def head_meters(spark, d) -> DataFrame:
+    """Energy that the heads measured, from ``lineitem``; every seventh feeder has no meter."""
+    g = F.col("o_custkey") % FEEDERS
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice")
+    home = table(spark, d, "orders").where(g % 7 != 0).select("o_orderkey", code("G", g, 2).alias("feeder"))
+    return lines.join(home, "o_orderkey").groupBy("feeder").agg((F.sum(F.floor("l_extendedprice")) / 8000.0).alias("input_kwh"))
 
 
-@query("grid_balance")
+def grid_plan(spark, d) -> GridPlan:
+    return analyse_grid(
+        edges(spark, d), sources(spark, d), conductor_table(spark, d), transformer_sites(spark, d), stage(node_customers(spark, d), "customers"),
+        stage(lamps(spark, d), "lamps"), SPECS, head_meters(spark, d))
+
+
+FACTOR = "(0.25 * 0.42 + 0.75 * 0.42 * 0.42)"
+cte("gcomp", f"""
+SELECT f.feeder, f.v, f.neutral * 720 * {FACTOR} AS neutral_kwh, (f.phases + f.neutral) * 720 * {FACTOR} AS conductors_kwh, coalesce(t.loss, 0) AS transformers_kwh, coalesce(t.idle, 0) AS noload_kwh, m.w * 720 / 1000 AS meters_kwh,
+  coalesce(z.billed, 0) + coalesce(o.billed, 0) AS billed_kwh, coalesce(z.light, 0) AS lighting_kwh, m.n
+FROM flowthree_sum f LEFT JOIN (SELECT feeder, sum(loss_kwh) AS loss, sum(noload_kwh) AS idle FROM gtx_loss GROUP BY 1) t USING (feeder)
+LEFT JOIN (SELECT feeder, sum(billed_kwh) AS billed, sum(lighting_kwh) AS light FROM gzone_lv GROUP BY 1) z USING (feeder)
+LEFT JOIN (SELECT g.feeder, sum(g.kwh) AS billed FROM gload g LEFT JOIN gplaced p ON p.feeder = g.feeder AND p.node = g.node WHERE p.site IS NULL AND k % 40 <> 20 GROUP BY 1) o USING (feeder)
+LEFT JOIN (SELECT feeder, sum(CASE k % 3 WHEN 0 THEN 0.8 ELSE 1.0 END) AS w, count(*) AS n FROM gnodes GROUP BY 1) m USING (feeder)
+""")
+cte("gbalance", """
+SELECT *, CASE WHEN i > 0 THEN ntl / i * 100 ELSE 0 END AS ntl_pct, CASE WHEN i > 0 THEN technical / i * 100 ELSE 0 END AS technical_pct FROM (
+  SELECT *, i - billed_kwh - lighting_kwh - billed_kwh * 0.001 - technical AS ntl FROM (
+    SELECT c.*, conductors_kwh + transformers_kwh + meters_kwh AS technical, coalesce(h.input_kwh, billed_kwh + lighting_kwh + billed_kwh * 0.001) AS i, h.input_kwh IS NULL AS unmeasured
+    FROM gcomp c LEFT JOIN head_meters h USING (feeder)))
+""")
+
+
+@query("grid_balance", """
+SELECT feeder, round(billed_kwh, 3) AS billed_kwh, round(lighting_kwh, 3) AS lighting_kwh, round(i, 3) AS input_kwh, round(technical, 3) AS technical_kwh, round(ntl, 3) AS ntl_kwh, round(ntl_pct, 4) AS ntl_pct,
+  CASE WHEN unmeasured THEN 'INDICATIVO' ELSE 'MEDIDO' END AS balance_type, round(v, 6) AS v_min_pu, n AS customers,
+  array_to_string(list_filter([CASE WHEN ntl < 0 THEN 'C01' END, CASE WHEN ntl_pct > 60 THEN 'C02' END, CASE WHEN billed_kwh > i THEN 'C03' END, CASE WHEN technical_pct > 20 THEN 'C04' END], lambda x: x IS NOT NULL), ',') AS triggered
+FROM gbalance
+""")
+def _(spark, d):
+    b = grid_plan(spark, d).balance
+    fired = F.array_join(F.transform(F.filter("controls", lambda x: x["triggered"]), lambda x: x["code"]), ",")
+    rows = b.select("feeder", "billed_kwh", "lighting_kwh", "input_kwh", "technical_kwh", "ntl_kwh", "ntl_pct", "balance_type", "v_min_pu",
+                    F.col("customers_traced").alias("customers"), fired.alias("triggered"))
+    return rounded(rows, billed_kwh=3, lighting_kwh=3, input_kwh=3, technical_kwh=3, ntl_kwh=3, ntl_pct=4, v_min_pu=6)
+
+
+@query("grid_components", """
+SELECT feeder, component, round(kwh, 4) AS kwh FROM (UNPIVOT (
+  SELECT feeder, conductors_kwh AS RED_CONDUCTORES, transformers_kwh AS TRANSF_DIST_TOTAL, noload_kwh AS TRANSF_DIST_VACIO, meters_kwh AS MEDIDORES, neutral_kwh AS NEUTRO FROM gcomp)
+  ON RED_CONDUCTORES, TRANSF_DIST_TOTAL, TRANSF_DIST_VACIO, MEDIDORES, NEUTRO INTO NAME component VALUE kwh) WHERE component <> 'NEUTRO' OR kwh > 0
+""")
 def _(spark, d):
-    comp = loss_components(spark, d)
-    billed = node_customers(spark, d).where(~F.col("under_totaliser")).groupBy("feeder").agg(F.sum("energy_kwh").alias("billed_kwh"))
-    light = lamps(spark, d).where(~F.col("metered")).groupBy("feeder").agg(F.sum("energy_kwh").alias("lighting_kwh"))
-    b = comp.join(billed, "feeder", "full").join(light, "feeder", "full").fillna(0.0).withColumns({
-        "technical_kwh": F.col("conductors_kwh") + F.col("transformers_kwh") + F.col("meters_kwh"), "input_kwh": F.col("billed_kwh") * 1.2})
-    return balance.with_controls(balance.feeder_balance(b)).select("feeder", "billed_kwh", "technical_kwh", "ntl_kwh", "ntl_pct", "balance_type")
+    return rounded(grid_plan(spark, d).component_rows(), kwh=4)
 
 
 @query("montecarlo_losses")
 def _(spark, d):
-    return losses.montecarlo_losses(loss_components(spark, d))
+    return grid_plan(spark, d).bands()[0]
 
 
 @query("montecarlo_ntl")
 def _(spark, d):
-    comp = loss_components(spark, d)
-    b = comp.select("feeder", (F.col("conductors_kwh") * 2 + F.col("transformers_kwh") * 3).alias("loss_total_kwh"))
-    return losses.montecarlo_ntl(b, losses.montecarlo_losses(comp))
+    return grid_plan(spark, d).bands()[1]
 
 
 @query("element_counts", """
