@@ -120,10 +120,10 @@ def transformer_table(zones: DataFrame, hours: float = 720.0, factor: float | No
 
 
 def _normal(keys: list[Column], factor: str, seed: int) -> Column:
-    """Standard normal from a hash of the keys (Box-Muller), the same on any partitioning."""
+    """Standard normal (Box-Muller) from counters: the same on any partitioning, and in any engine that has MD5."""
     def uniform(tag: str) -> Column:
-        h = F.xxhash64(*keys, F.lit(factor), F.lit(tag), F.lit(seed))
-        return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(2 ** 53))
+        h = F.md5(F.concat_ws("|", *keys, F.lit(factor), F.lit(tag), F.lit(str(seed))).cast("binary"))
+        return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2 ** 52))
     return F.sqrt(-2.0 * F.log(uniform("r"))) * F.cos(F.lit(2.0 * math.pi) * uniform("t"))
 
 

@@ -698,11 +698,11 @@ def scenario_results(spark, d, known: DataFrame | None = None) -> DataFrame:
 
 
 @query("scenario_feeders", """
-SELECT scenario, feeder, round(i, 2) AS input_kwh, billed AS billed_kwh, round(technical, 3) AS technical_kwh, round(ntl, 2) AS ntl_kwh, CASE WHEN unmeasured THEN 'INDICATIVO' ELSE 'MEDIDO' END AS balance_type, round(v, 6) AS v_min_pu FROM sc_eval
+SELECT scenario, feeder, round(i, 4) AS input_kwh, billed AS billed_kwh, round(technical, 4) AS technical_kwh, round(ntl, 4) AS ntl_kwh, CASE WHEN unmeasured THEN 'INDICATIVO' ELSE 'MEDIDO' END AS balance_type, round(v, 6) AS v_min_pu FROM sc_eval
 """)
 def _(spark, d):
     r = scenario_results(spark, d).select("scenario", "feeder", "input_kwh", "billed_kwh", "technical_kwh", "ntl_kwh", "balance_type", "v_min_pu")
-    return rounded(r, input_kwh=2, technical_kwh=3, ntl_kwh=2, v_min_pu=6)
+    return rounded(r, input_kwh=4, technical_kwh=4, ntl_kwh=4, v_min_pu=6)
 
 
 @query("scenario_evaluation", """

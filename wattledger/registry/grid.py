@@ -419,7 +419,7 @@ def conductor_table(spark, d) -> DataFrame:
     kind = F.col("p_partkey") % 4
     return table(spark, d, "part").select(
         F.concat(F.lit("C"), kind.cast("string")).alias("code"), (0.2 + 0.1 * kind).alias("r_ohm_km"),
-        F.lit(0.35).alias("x_ohm_km"), (60.0 + 40.0 * kind).alias("ampacity_a")).distinct()
+        F.lit(0.35).alias("x_ohm_km"), (0.6 + 0.4 * kind).alias("ampacity_a")).distinct()
 
 
 def _flow_inputs(spark, d):
@@ -626,14 +626,35 @@ def _(spark, d):
     return rounded(grid_plan(spark, d).component_rows(), kwh=4)
 
 
-@query("montecarlo_losses")
+def _normal_sql(factor: str, seed: int) -> str:
+    u = lambda tag: f"((CAST('0x' || substr(md5(feeder || '|' || draw || '|{factor}|{tag}|{seed}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496)"
+    return f"sqrt(-2 * ln({u('r')})) * cos(2 * pi() * {u('t')})"
+
+
+def _factor_sql(factor: str, pct: float) -> str:
+    return f"greatest(1 + {pct} / 100.0 * {_normal_sql(factor, 20260807)}, 0.05)"
+
+
+_BANDS_SQL = "feeder, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.9) AS p90, avg(v) AS mean, stddev_pop(v) AS std, count(*) AS samples"
+cte("gbands", f"""
+SELECT {_BANDS_SQL} FROM (
+  SELECT feeder, conductors_kwh * {_factor_sql('conductor', 10.0)} * {_factor_sql('length', 5.0)} + greatest(transformers_kwh - noload_kwh, 0) * {_factor_sql('load_p', 15.0)} * {_factor_sql('load_f', 20.0)}
+    + noload_kwh * {_factor_sql('noload_p', 15.0)} + meters_kwh AS v FROM gcomp, (SELECT unnest(range(1, 201)) AS draw)) GROUP BY 1
+""", kept=True)
+_ROUNDED_BANDS = "SELECT feeder, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("p10", "p50", "p90", "mean", "std")) + ", samples FROM "
+_BAND_DIGITS = dict(p10=4, p50=4, p90=4, mean=4, std=4)
+
+
+@query("montecarlo_losses", _ROUNDED_BANDS + "gbands")
 def _(spark, d):
-    return grid_plan(spark, d).bands()[0]
+    return rounded(grid_plan(spark, d).bands()[0], **_BAND_DIGITS)
 
 
-@query("montecarlo_ntl")
+@query("montecarlo_ntl", _ROUNDED_BANDS + f"""(SELECT {_BANDS_SQL} FROM (
+  SELECT feeder, i - billed_kwh - lighting_kwh - billed_kwh * 0.001 - greatest(mean + greatest(std, 1e-9) * {_normal_sql('ntl', 20260808)}, 0) AS v
+  FROM gbalance JOIN gbands USING (feeder), (SELECT unnest(range(1, 201)) AS draw)) GROUP BY 1)""")
 def _(spark, d):
-    return grid_plan(spark, d).bands()[1]
+    return rounded(grid_plan(spark, d).bands()[1], **_BAND_DIGITS)
 
 
 @query("element_counts", """
@@ -675,7 +696,8 @@ UNION ALL SELECT feeder, 'R22', 'CRITICA', node FROM (SELECT feeder, from_node A
 UNION ALL SELECT feeder, unnest(['R24', 'P01']), 'CRITICA', site FROM gsites WHERE len(kvas) = 0
 UNION ALL SELECT feeder, 'P09', 'ALTA', site FROM (SELECT *, CASE WHEN config = 'BANCO_3' THEN 3 * list_sum(kvas) / len(kvas) ELSE kvas[1] END AS cap FROM gsites WHERE len(kvas) > 0) WHERE abs(kva - cap) / cap > 0.1
 UNION ALL SELECT p.feeder, 'R15', 'ALTA', CAST(g.k AS VARCHAR) FROM gplaced p JOIN gnodes g ON g.node = p.node WHERE p.site IS NOT NULL AND p.site <> 'T' || lpad(CAST(g.k // 4 * 4 AS VARCHAR), 7, '0')
-UNION ALL SELECT e.feeder, 'R09', 'ALTA', e.segment_id FROM gedges e JOIN gnodes g ON g.k = CAST(substr(e.segment_id, 2) AS BIGINT) WHERE e.conductor <= 'C3' AND g.k % 300 > 60 + 40 * CAST(substr(e.conductor, 2) AS INTEGER)
+UNION ALL SELECT e.feeder, 'R09', 'ALTA', e.segment_id FROM gedges e JOIN flowone_flow f ON f.feeder = e.feeder AND f.segment_id = e.segment_id
+  WHERE e.conductor <= 'C3' AND sqrt(f.ir_a * f.ir_a + f.ii_a * f.ii_a) > 0.6 + 0.4 * CAST(substr(e.conductor, 2) AS INTEGER)
 """)
 
 
@@ -685,7 +707,9 @@ def findings(spark, d) -> DataFrame:
     sized = sites.withColumns({"capacity_kva": losses.bank_capacity("kvas", "config"), "units": F.size("kvas")})
     placed = network.assign_to_sites(t, lv_, sites).join(grid_nodes(spark, d).select("feeder", "node", F.col("k").alias("account")), ["feeder", "node"])
     declared = grid_nodes(spark, d).select(F.col("k").alias("account"), code("T", F.floor(F.col("k") / 4) * 4, 7).alias("site"))
-    currents = e.select("feeder", "segment_id", (F.substring("segment_id", 2, 20).cast("bigint") % 300).cast("double").alias("current_a"))
+    z = stage(powerflow.impedances(t, e, conductor_table(spark, d)), "z")
+    flow = powerflow.balanced_flow(z, node_loads(spark, d), stage(powerflow.base_voltages(z, e, sources(spark, d)), "base"))
+    currents = powerflow.branch_currents(flow)
     return network.quality_findings(e, conductor_table(spark, d), network.islands(e, t), sized, currents=currents, declared=declared, traced=placed)
 
 

@@ -15,7 +15,7 @@ from wattledger.registry.evidence import field_rows
 from wattledger.registry.field import changes
 from wattledger.registry.inputs import code, table
 from wattledger.sources import catalogues, readers, sinks
-from wattledger.staging import stage_root
+from wattledger.staging import stage, stage_root
 from wattledger.streaming import ingest
 
 
@@ -100,7 +100,29 @@ def _(spark, d):
     return spark.read.option("header", True).csv(f"{folder}/customer").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("run_log")
+@query("table_sink", """
+SELECT 'replaced' AS state, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer WHERE c_custkey % 3 = 1
+UNION ALL SELECT 'appended', count(*), sum(c_custkey)::BIGINT FROM customer WHERE c_custkey % 3 > 0
+""")
+def _(spark, d):
+    """A table is written, replaced and appended to, and read back after each."""
+    name = f"sink_{uuid.uuid4().hex}"
+    c = table(spark, d, "customer")
+    part = lambda k: c.where(F.col("c_custkey") % 3 == k)
+    read = lambda state: stage(spark.table(name).agg(F.lit(state).alias("state"), F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys")), state)
+    try:
+        sinks.write_table(part(0), name)
+        sinks.write_table(part(1), name)
+        replaced = read("replaced")
+        sinks.write_table(part(2), name, replace=False)
+        return replaced.unionByName(read("appended"))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+@query("run_log", """
+SELECT 'R' || i AS run_id, substr(sha256('{"window": ' || 12 * i || '}'), 1, 16) AS config_hash, '{"customers": ' || (SELECT count(*) FROM customer) || '}' AS metrics FROM (SELECT unnest([1, 2]) AS i)
+""")
 def _(spark, d):
     n = table(spark, d, "customer").agg(F.count(F.lit(1))).first()[0]
     path = scratch(spark, "runs")
