@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,12 +43,27 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> int:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return sum(bool(p.getFileSystem(conf).delete(p, True)) for p in found)
+
+
+def settle(spark: SparkSession, build: Callable[[], DataFrame], label: str = "result") -> DataFrame:
+    """Stage what ``build`` returns, and delete the stages that it wrote on the way: nothing reads them any more.
+
+    ``build`` must not hand out any of its own stages by another way than its result.
+    """
+    mark = len(_STAGES)
+    out = stage(build(), label)
+    inner = _STAGES[mark:-1]
+    del _STAGES[mark:-1]
+    _delete(spark, inner)
+    return out
+
+
 def drop_stages(spark: SparkSession) -> int:
     """Delete the stage tables this process wrote. Call when results are persisted."""
-    dropped = 0
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGES:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
-        dropped += bool(path.getFileSystem(conf).delete(path, True))
-    return dropped
+    paths = _STAGES[:]
+    _STAGES.clear()
+    return _delete(spark, paths)
