@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wattledger.llm.components import components, local_roots
 from wattledger.llm.words import chunks, hash_words, mix, shingles, signed, sorted_sets
-from wattledger.staging import stage
+from wattledger.staging import settle, stage
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -225,7 +225,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
 
     The rows that go are joined away; texts are compared again only where id and text repeat.
     """
-    result = stage(jaccard_join(docs, threshold), "jaccard")
+    result = settle(docs.sparkSession, lambda: jaccard_join(docs, threshold), "jaccard")
     key = [F.col("doc_id").cast("long").alias("__j_id"), F.xxhash64(F.col("text").cast("string")).alias("__j_hash")]
     keyed = docs.select("*", *key)
 

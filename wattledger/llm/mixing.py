@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattledger.llm.positions import positions
-from wattledger.staging import stage
+from wattledger.staging import settle, stage
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLOCK = 64
@@ -239,6 +239,6 @@ def mix_texts(docs: DataFrame, seed: int = SEED) -> DataFrame:
     taken have no row. The texts move once, to meet their pieces.
     """
     rows = stage(docs.withColumn("__m_row", F.monotonically_increasing_id()), "mixed")
-    mixed = mix_rows(_inputs(rows, F.col("__m_row")), seed).where("pieces is not null").select(
-        F.col("row").alias("__m_row"), F.col("size").alias("__m_size"), F.transform("pieces", lambda p: F.struct(p["pass"], p["from"], p["to"])).alias("__m_pieces"))
+    mixed = settle(docs.sparkSession, lambda: mix_rows(_inputs(rows, F.col("__m_row")), seed).where("pieces is not null").select(
+        F.col("row").alias("__m_row"), F.col("size").alias("__m_size"), F.transform("pieces", lambda p: F.struct(p["pass"], p["from"], p["to"])).alias("__m_pieces")), "pieces")
     return rows.join(mixed, "__m_row").drop("__m_row").mapInPandas(_slicer(docs.columns), docs.schema)
