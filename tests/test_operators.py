@@ -1,5 +1,6 @@
 """Hand-computed values, injected truth and brute-force comparisons on small fixtures."""
 
+import random
 from datetime import date
 
 import numpy as np
@@ -283,6 +284,20 @@ def test_pu_learning_with_few_positives_is_zero(spark):
     assert out.agg(F.max("pu_score")).first()[0] == 0.0
 
 
+def test_pu_learning_separates_and_corrects(spark):
+    """Half of the thieves are labelled: all thieves score alike and far above the others, the propensity is near a half."""
+    rng = random.Random(2)
+    rows = [(i, rng.uniform(0.6, 1.0) if i % 5 == 0 else rng.uniform(0.0, 0.45), rng.random()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "account int, a double, noise double")
+    out = validation.pu_learning(df, df.where("account % 10 = 0"), ["a", "noise"]).collect()
+    assert len(out) == 2000 and 0.4 < out[0].propensity < 0.6
+    high = [r.pu_score for r in out if r.account % 5 == 0]
+    low = [r.pu_score for r in out if r.account % 5]
+    assert min(high) > 0.7 and max(low) < 0.2
+    again = {r.account: r.pu_score for r in validation.pu_learning(df.repartition(7), df.where("account % 10 = 0"), ["a", "noise"]).collect()}
+    assert all(again[r.account] == pytest.approx(r.pu_score, abs=1e-9) for r in out)
+
+
 def test_registry_reload_changes_nothing(spark):
     f = spark.createDataFrame([("1", "true", "conexion_directa", "2024-01-05", "OT1", "t", "5"), ("2", "no", "SIN_NOVEDAD", "2024-01-05", "OT1", "t", "5"),
                                ("3", "1", "PREDIO_CERRADO", "2024-01-06", "OT1", "t", None)],

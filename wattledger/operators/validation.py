@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -101,35 +102,57 @@ def calibrate_signals(signals: DataFrame, confirmed: DataFrame, names: Sequence[
     )
 
 
+#: Cuts of a feature's range at which the additive model may step.
+PU_CUTS = (0.0, 0.25, 0.5, 0.75)
+
+
 def pu_learning(
     features: DataFrame, confirmed: DataFrame, columns: Sequence[str], *, seed: int = 20260807, min_positives: int = 10,
-    trees: int = 20,
+    rounds: int = 25, ridge: float = 1.0,
 ) -> DataFrame:
-    """``(account, pu_score, propensity)``: labelled-against-unlabelled boosting, corrected by propensity.
-
-    The hold-out is a hash of the account within each label, so it does not depend
-    on partitioning. With too few positives every score is zero.
+    """``(account, pu_score, propensity)``: a labelled-against-unlabelled model, corrected by propensity.
+
+    The model is additive: every feature has a level in each of five parts of its range, cut as boosted stumps would. From
+    the share of positives on, the levels are fitted by a fixed number of Newton steps; at most one level a feature is
+    active in a row, so a step of one part in (features + 1) cannot overshoot. Customers with the same steps and label are one weighted row (at most five
+    to the number of features), so a round is an aggregate over few rows, whatever the number of customers. The hold-out is
+    a hash of the account within each label, so it does not depend on partitioning. With too few positives every score is
+    zero; the propensity is the mean over held-out positives, at least a thousandth.
     """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
     hits = confirmed.select(F.col("account").cast("string").alias("__a")).distinct().withColumn("__h", F.lit(True))
-    data = features.join(hits, F.col("account").cast("string") == F.col("__a"), "left").select(
-        "account", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns],
-        F.col("__h").isNotNull().cast("double").alias("label"),
-        (F.pmod(F.xxhash64("account", F.lit(seed)), F.lit(10)) < 3).alias("held_out"))
-    data = stage(data, "pu")
-    positives = data.agg(F.count_if(F.col("label") == 1.0)).first()[0]
+    value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
+    limits = features.agg(*[f(value[c]).alias(f"__{t}{i}") for i, c in enumerate(columns) for f, t in ((F.min, "lo"), (F.max, "hi"))])
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("account").cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long")
+    steps = []
+    for i, c in enumerate(columns):
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        scaled = F.when(hi > lo, (value[c] - lo) / F.nullif(hi - lo, F.lit(0.0))).otherwise(0.0)
+        steps.append(sum((F.when(scaled > cut, 1).otherwise(0) for cut in PU_CUTS), F.lit(0)).alias(f"f{i}"))
+    levels = [f"f{i}" for i in range(len(columns))]
+    data = stage(features.join(hits, F.col("account").cast("string") == F.col("__a"), "left").crossJoin(F.broadcast(limits)).select(
+        "account", *steps, F.col("__h").isNotNull().cast("int").alias("label"), (draw % 10 < 3).alias("held_out")), "pu")
+    patterns = stage(data.groupBy(*levels, "label", "held_out").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    positives = patterns.agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0))).first()[0] or 0
     if positives < min_positives:
         return data.select("account", F.lit(0.0).alias("pu_score"), F.lit(1.0).alias("propensity"))
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(data)
-    model = GBTClassifier(maxIter=trees, maxDepth=3, seed=seed, labelCol="label", featuresCol="features").fit(
-        assembled.where(~F.col("held_out")))
-    p = model.transform(assembled).select(
-        "account", "label", "held_out", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
-    p = stage(p, "pu")
-    c = p.where(F.col("held_out") & (F.col("label") == 1.0)).agg(
-        F.least(F.greatest(F.coalesce(F.avg("p"), F.lit(1.0)), F.lit(1e-3)), F.lit(1.0)).alias("propensity"))
-    return p.crossJoin(F.broadcast(c)).select(
+    fitted = patterns.where(~F.col("held_out"))
+    units = [("bias", F.lit(1.0)), *[(f"{f}_{j}", F.when(F.col(f) == j, 1.0).otherwise(0.0)) for f in levels for j in range(1, len(PU_CUTS) + 1)]]
+    known, total = fitted.agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)), F.sum("n")).first()
+    weight = {name: 0.0 for name, _ in units} | {"bias": math.log((known + 1.0) / (total - known + 1.0))}
+
+    def chance() -> Column:
+        z = sum((F.lit(weight[name]) * x for name, x in units[1:]), F.lit(weight["bias"]))
+        return 1.0 / (1.0 + F.exp(-z))
+
+    for _ in range(rounds):
+        p, n = chance(), F.col("n")
+        # Gradient and curvature of every step: a bounded number of sums.
+        sums = fitted.withColumn("__p", p).agg(*[
+            e for name, x in units for e in (F.sum(n * (F.col("__p") - F.col("label")) * x).alias(f"g_{name}"), F.sum(n * F.col("__p") * (1 - F.col("__p")) * x).alias(f"h_{name}"))]).first()
+        weight = {name: w - (sums[f"g_{name}"] + ridge * w) / (sums[f"h_{name}"] + ridge) / (len(columns) + 1) for name, w in weight.items()}
+    scored = stage(patterns.withColumn("p", chance()), "pu")
+    held = scored.where(F.col("held_out") & (F.col("label") == 1)).agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("c"))
+    c = held.select(F.least(F.greatest(F.coalesce("c", F.lit(1.0)), F.lit(1e-3)), F.lit(1.0)).alias("propensity"))
+    by_step = scored.select(*levels, "p").distinct()
+    return data.join(by_step, levels).crossJoin(F.broadcast(c)).select(
         "account", F.least(F.greatest(F.col("p") / F.col("propensity"), F.lit(0.0)), F.lit(1.0)).alias("pu_score"), "propensity")

@@ -274,9 +274,43 @@ def _(spark, d):
     return validation.calibrate_signals(signal_table(spark, d), debtors(spark, d))
 
 
-@query("pu_scores")
+PU_SIGNALS = ["S1", "S3", "S4", "S5", "S7", "S8", "S9"]
+
+
+def _pu_ctes(rounds: int = 25) -> None:
+    """The model's rounds written out: one row of weights after each."""
+    cuts = validation.PU_CUTS
+    level = lambda c: f"CASE WHEN r.hi_{c} > r.lo_{c} THEN " + " + ".join(f"CASE WHEN ({c} - r.lo_{c}) / (r.hi_{c} - r.lo_{c}) > {k} THEN 1 ELSE 0 END" for k in cuts) + " ELSE 0 END"
+    cte("pusignals", "SELECT account, " + ", ".join(f"round({c}, 9) AS {c}" for c in PU_SIGNALS) + " FROM signals")
+    cte("pudata", f"""
+SELECT account, {", ".join(f"{level(c)} AS f{i}" for i, c in enumerate(PU_SIGNALS))}, CAST(account IN (SELECT c_custkey FROM customer WHERE c_acctbal < -500) AS INTEGER) AS label,
+  CAST('0x' || substr(md5(account || '|20260807'), 1, 8) AS BIGINT) % 10 < 3 AS held_out
+FROM pusignals, (SELECT {", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in PU_SIGNALS)} FROM pusignals) r
+""", kept=True)
+    levels = [f"f{i}" for i in range(len(PU_SIGNALS))]
+    cte("pupattern", f"SELECT {', '.join(levels)}, label, held_out, count(*) AS n FROM pudata GROUP BY ALL", kept=True)
+    units = [("bias", "1.0")] + [(f"{f}_{j}", f"CASE WHEN {f} = {j} THEN 1.0 ELSE 0.0 END") for f in levels for j in range(1, len(cuts) + 1)]
+    chance = "1 / (1 + exp(-(" + " + ".join(f"w_{name} * {x}" for name, x in units) + ")))"
+    bias = "ln((sum(n) FILTER (label = 1) + 1.0::DOUBLE) / (sum(n) FILTER (label = 0) + 1.0::DOUBLE))"
+    cte("puw_0", f"SELECT {bias} AS w_bias, " + ", ".join(f"0.0::DOUBLE AS w_{name}" for name, _ in units[1:]) + " FROM pupattern WHERE NOT held_out", kept=True)
+    for k in range(1, rounds + 1):
+        new = ", ".join(
+            f"any_value(w_{name}) - (sum(n * (p - label) * {x}) + any_value(w_{name})) / (sum(n * p * (1 - p) * {x}) + 1) / {len(PU_SIGNALS) + 1} AS w_{name}" for name, x in units)
+        cte(f"puw_{k}", f"SELECT {new} FROM (SELECT *, {chance} AS p FROM pupattern, puw_{k - 1} WHERE NOT held_out)", kept=True)
+    cte("puscore", f"SELECT *, {chance} AS p FROM pupattern, puw_{rounds}", kept=True)
+
+
+_pu_ctes()
+
+
+@query("pu_scores", """
+WITH c AS (SELECT least(greatest(coalesce(sum(n * p) / sum(n), 1), 0.001), 1) AS propensity FROM puscore WHERE held_out AND label = 1),
+q AS (SELECT sum(n) FILTER (label = 1) AS positives FROM pupattern)
+SELECT d.account, round(CASE WHEN coalesce(positives, 0) < 10 THEN 0 ELSE least(greatest(s.p / propensity, 0), 1) END, 6) AS pu_score, round(CASE WHEN coalesce(positives, 0) < 10 THEN 1 ELSE propensity END, 6) AS propensity
+FROM pudata d JOIN (SELECT DISTINCT """ + ", ".join(f"f{i}" for i in range(len(PU_SIGNALS))) + """, p FROM puscore) s USING (""" + ", ".join(f"f{i}" for i in range(len(PU_SIGNALS))) + """), c, q
+""")
 def _(spark, d):
-    return validation.pu_learning(signal_table(spark, d), debtors(spark, d), ["S1", "S3", "S4", "S5", "S7", "S8", "S9"])
+    return rounded(validation.pu_learning(signal_table(spark, d), debtors(spark, d), PU_SIGNALS), pu_score=6, propensity=6)
 
 
 # --- inspections -------------------------------------------------------------
