@@ -265,6 +265,20 @@ def test_chain_passes_over_a_long_part_that_is_too_far():
     assert near in substring_dedup.chain(sorted([(0, 0, 200)] + near))
 
 
+def test_chains_are_the_best_by_brute_force():
+    rng = np.random.default_rng(4)
+    for span in (60, 200, 900):
+        parts = sorted({(int(x), int(y), int(n)) for x, y, n in zip(rng.integers(0, span, 150), rng.integers(0, span, 150), rng.integers(5, 30, 150))})
+        score, before = substring_dedup.best_before(parts)
+        want: list[float] = []
+        for x, y, n in parts:
+            gaps = [(x - a - m, y - b - m, want[j]) for j, (a, b, m) in enumerate(parts[:len(want)])]
+            want.append(n + max([0.0] + [w - substring_dedup.GAP_COST * (gx + gy) for gx, gy, w in gaps
+                                         if -(substring_dedup.KMER // 2) <= min(gx, gy) and max(gx, gy) <= substring_dedup.MOST_GAP]))
+        assert np.allclose(score, want)
+        assert any(j >= 0 for j in before) and all(j < k for k, j in enumerate(before))
+
+
 def test_repeats_whose_parts_came_earlier_apart(spark):
     """Passages of two lines; documents before had the lines one by one, and others had one line in between."""
     texts = []
