@@ -322,8 +322,20 @@ def test_distribution_loses_no_order_and_is_balanced(spark):
     m = fieldwork.assignment_metrics(a)
     assert {r["orders"] for r in m.collect()} == {15}
     assert fieldwork.imbalance(m).first()["imbalance_pct"] < 25
-    capped = fieldwork.distribute(o, crews, cap=10)
-    assert capped.count() == 90 and capped.where("crew is null").count() == 30
+    loads = [r["weight"] for r in m.collect()]
+    assert max(loads) - min(loads) <= o.agg({"weight": "max"}).first()[0]
+    capped = fieldwork.distribute(o, crews.union(crews), cap=10)
+    assert capped.count() == 90 and capped.where("crew is null and leftover = 'CUPO'").count() == 30
+
+
+def test_orders_without_crews_are_left_over_with_a_reason(spark):
+    schema = "work_order int, unit string, weight double, x double, y double"
+    o = spark.createDataFrame([(1, "U", 3.0, 0.0, 1.0), (2, "V", 5.0, 0.0, 1.0), (3, "V", None, None, 1.0), (4, None, 2.0, 1.0, 1.0), (5, "U", None, None, None)], schema)
+    crews = spark.createDataFrame([("U", "a"), ("W", "b")], "unit string, crew string")
+    got = {r["work_order"]: (r["crew"], r["tier"], r["leftover"]) for r in fieldwork.distribute(o, crews, cap=1).collect()}
+    assert got == {1: ("a", 0, None), 5: (None, 1, "CUPO"), 2: (None, None, "SIN_CUADRILLA"), 3: (None, None, "SIN_CUADRILLA"), 4: (None, None, "SIN_CUADRILLA")}
+    assert fieldwork.distribute(o, crews.limit(0)).where("leftover = 'SIN_CUADRILLA'").count() == 5
+    assert fieldwork.distribute(o.limit(0), crews).count() == 0
 
 
 def test_scope_fails_closed(spark):

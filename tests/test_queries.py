@@ -21,7 +21,7 @@ unmatched_customers customer_linkage entities_against_peers top_k_metrics rank_q
 inspection_registry yield_per_order bank_capacities street_lighting nearest_transformer_spec network_tree network_branches
 load_flow_first_sweep version_registration route_statistics location_registry customers_in_circles nearest_vertex work_blocks
 plausible_ranges load_flow_balanced load_flow_unbalanced load_flow_residuals grid_balance montecarlo_ntl scenario_feeders work_orders
-table_sink run_log illegal_transitions journal_checks change_impact domain_violations bulk_subtype_change scenario_overlay delimited_scan stream_journal
+table_sink run_log illegal_transitions journal_checks change_impact crew_assignment crew_balance domain_violations bulk_subtype_change scenario_overlay delimited_scan stream_journal
 """.split()
 NAMES = sorted(SQL) if os.environ.get("WATTLEDGER_FULL") else QUICK
 
@@ -43,6 +43,6 @@ def test_entry_returns_top_customers(spark):
     assert len(rows) == 20 and {r["rank"] for r in rows} == set(range(1, 21))
 
 
-@pytest.mark.parametrize("name", ["crew_assignment", "unsupervised_ranking", "pu_scores"])
+@pytest.mark.parametrize("name", ["unsupervised_ranking", "pu_scores"])
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

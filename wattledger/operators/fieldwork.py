@@ -71,20 +71,27 @@ def distribute(orders: DataFrame, crews: DataFrame, cap: int | None = None) -> D
 
     Orders are ranked by weight inside a unit and taken in tiers of one order per
     crew; within a tier the crews follow the direction from the unit's centre. Each
-    crew so gets one order of every tier, and orders of one direction. Beyond
-    ``cap`` tiers an order is a leftover (crew NULL), never lost.
+    crew so gets one order of every tier, and orders of one direction. As the tiers
+    descend by weight, the loads of two crews differ by the heaviest order at most.
+
+    No order is lost: ``leftover`` says why an order has no crew, SIN_CUADRILLA where
+    its unit has none (or it has no unit), CUPO beyond ``cap`` tiers, else NULL.
     """
-    numbered = crews.select("unit", "crew", (F.row_number().over(Window.partitionBy("unit").orderBy("crew")) - 1).alias("slot"))
-    n = crews.groupBy("unit").agg(F.count_distinct("crew").alias("crews"))
+    # Crews of one unit: bounded by the staff, not by the orders.
+    numbered = crews.select("unit", "crew").distinct().withColumn(
+        "slot", F.row_number().over(Window.partitionBy("unit").orderBy("crew")) - 1)
+    n = numbered.groupBy("unit").agg(F.count("crew").alias("crews"))
     centre = orders.groupBy("unit").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     ranked = global_rank(orders, [F.col("weight").desc(), F.col("work_order")], partition=["unit"], out="__pos")
-    tiered = attach(attach(ranked, n, ["unit"]), centre, ["unit"]).withColumns({
-        "tier": F.floor((F.col("__pos") - 1) / F.col("crews")),
-        "__angle": F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))})
-    # A tier has one order per crew: the window is bounded by the crews of a unit.
+    tiered = stage(attach(attach(ranked, n, ["unit"]), centre, ["unit"]).withColumns({
+        "tier": F.floor((F.col("__pos") - 1) / F.nullif("crews", F.lit(0))),
+        "__angle": F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))}).drop("__pos", "cx", "cy"), "tiers")
+    reason = F.when(F.coalesce("crews", F.lit(0)) == 0, "SIN_CUADRILLA").when(F.col("tier") >= F.lit(cap), "CUPO")
+    marked = tiered.withColumn("leftover", reason).drop("crews")
+    # A tier has one order per crew: the window is bounded by the crews of a unit. Leftovers never enter it.
     slot = F.row_number().over(Window.partitionBy("unit", "tier").orderBy("__angle", "work_order")) - 1
-    placed = tiered.withColumn("slot", F.when(F.lit(cap is None) | (F.col("tier") < (cap or 0)), slot))
-    return placed.join(numbered, ["unit", "slot"], "left").drop("slot", "__pos", "__angle", "crews", "cx", "cy")
+    placed = marked.where("leftover is null").withColumn("slot", slot).join(numbered, ["unit", "slot"]).drop("slot")
+    return placed.unionByName(marked.where("leftover is not null").withColumn("crew", F.lit(None).cast(placed.schema["crew"].dataType))).drop("__angle")
 
 
 def assignment_metrics(assigned: DataFrame) -> DataFrame:

@@ -357,15 +357,33 @@ def _crew_orders(spark, d):
     return o, crews
 
 
-@query("crew_assignment")
+cte("crew_orders", "SELECT account AS work_order, 'U' || division AS unit, round(p_prev_kw * 100, 0) AS weight, x, y FROM register")
+cte("crew_slots", """
+SELECT unit, crew, row_number() OVER (PARTITION BY unit ORDER BY crew) - 1 AS slot FROM (SELECT DISTINCT 'U' || (s_nationkey % 5) AS unit, 'C' || (s_suppkey % 20) AS crew FROM supplier)
+""")
+cte("crew_tiers", """
+SELECT o.*, n.crews, (row_number() OVER (PARTITION BY o.unit ORDER BY weight DESC, work_order) - 1) // n.crews AS tier, atan2(y - cy, x - cx) AS angle
+FROM crew_orders o LEFT JOIN (SELECT unit, count(*) AS crews FROM crew_slots GROUP BY 1) n ON o.unit = n.unit
+LEFT JOIN (SELECT unit, avg(x) AS cx, avg(y) AS cy FROM crew_orders GROUP BY 1) c ON o.unit = c.unit
+""")
+cte("crew_placed", "SELECT t.*, row_number() OVER (PARTITION BY unit, tier ORDER BY angle, work_order) - 1 AS slot FROM crew_tiers t")
+
+
+@query("crew_assignment", """
+SELECT work_order, p.unit, CASE WHEN tier < 40 THEN crew END AS crew, tier, CASE WHEN crews IS NULL THEN 'SIN_CUADRILLA' WHEN tier >= 40 THEN 'CUPO' END AS leftover
+FROM crew_placed p LEFT JOIN crew_slots s ON p.unit = s.unit AND p.slot = s.slot AND p.crews IS NOT NULL
+""")
 def _(spark, d):
-    return fieldwork.distribute(*_crew_orders(spark, d), cap=40).select("work_order", "unit", "crew", "tier")
+    return fieldwork.distribute(*_crew_orders(spark, d), cap=40).select("work_order", "unit", "crew", "tier", "leftover")
 
 
-@query("crew_balance")
+@query("crew_balance", """
+SELECT unit, count(*) AS crews, round(coalesce((max(w) - min(w)) / nullif(avg(w), 0) * 100, 0), 6) AS imbalance_pct FROM (
+  SELECT p.unit, crew, sum(weight) AS w FROM crew_placed p JOIN crew_slots s ON p.unit = s.unit AND p.slot = s.slot GROUP BY 1, 2) GROUP BY 1
+""")
 def _(spark, d):
     a = stage(fieldwork.distribute(*_crew_orders(spark, d)), "assigned")
-    return fieldwork.imbalance(fieldwork.assignment_metrics(a))
+    return rounded(fieldwork.imbalance(fieldwork.assignment_metrics(a)), imbalance_pct=6)
 
 
 @query("assignment_metrics", """
