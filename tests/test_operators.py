@@ -310,6 +310,26 @@ def test_registry_reload_changes_nothing(spark):
     assert inspections.campaign_summary(twice).first()["precision_pct"] == 100.0
 
 
+def test_peers_over_several_axes_meet_few_candidates(spark):
+    """A first axis of three values, ties, a repeated point, and a block of three; brute force and candidates an asker."""
+    rng = np.random.default_rng(9)
+    p = np.column_stack([rng.integers(0, 3, 2000), rng.normal(size=2000), rng.normal(size=2000)]).astype(float)
+    p[100] = p[101] = p[102]
+    rows = [(f"e{i:04d}", "big" if i >= 3 else "small", i % 2 == 0 or i < 3, *map(float, v)) for i, v in enumerate(p)]
+    df = spark.createDataFrame(rows, "entity string, blk string, asks boolean, x double, y double, z double")
+    got = {}
+    for r in entities.nearest_peers(df, ["x", "y", "z"], 5, entity="entity", block="blk").collect():
+        got.setdefault(r["entity"], {})[r["position"]] = r["peer"]
+    for i in [0, 1, 2, *range(4, 2000, 2)]:
+        inside = [j for j in (range(3) if i < 3 else range(3, 2000)) if j != i]
+        d = np.sqrt(((p[inside, 0] - p[i, 0]) ** 2 + (p[inside, 1] - p[i, 1]) ** 2) + (p[inside, 2] - p[i, 2]) ** 2)
+        want = [f"e{inside[j]:04d}" for j in np.lexsort((inside, d))[:5]]
+        assert [got[f"e{i:04d}"][k] for k in sorted(got[f"e{i:04d}"])] == want
+    met = entities.peer_candidates(df, ["x", "y", "z"], 5, entity="entity", block="blk").groupBy("e").count().agg({"count": "avg"}).first()[0]
+    assert met < 40
+    assert entities.nearest_peers(df.limit(0), ["x", "y", "z"], 5, entity="entity", block="blk").count() == 0
+
+
 # --- field work, scope, scenarios, sources --------------------------------------------
 
 def test_distribution_loses_no_order_and_is_balanced(spark):

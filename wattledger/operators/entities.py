@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattledger.functions import arrays as A
-from wattledger.operators.rangejoin import interval_join, top_per_group
+from wattledger.operators.rangejoin import ball_join, top_per_group
 from wattledger.operators.ranking import attach, exact_percentiles_of, global_rank
 from wattledger.staging import stage
 
 MAD = 1.4826
+#: Axes of the grid in which peers are looked for: a ball touches 2 cells an axis.
+GRID_AXES = 3
 
 # Profile and block columns by level. None derives from the metric.
 LEVEL_PROFILES: dict[str, dict[str, list[str]]] = {
@@ -64,40 +66,58 @@ def _distance(a: str, b: str, n: int) -> Column:
     ))
 
 
+def z_order(df: DataFrame, axes: Sequence[str]) -> Column:
+    """Place on a Z-order curve over the range of ``axes``: rows with near places are mostly near on all axes."""
+    bits = min(16, 60 // len(axes))
+    span = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(axes) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    out = F.lit(0).cast("bigint")
+    for i, c in enumerate(axes):
+        lo, width = span[f"lo{i}"], (span[f"hi{i}"] or 0.0) - (span[f"lo{i}"] or 0.0)
+        if width > 0:
+            step = F.coalesce(F.least(F.floor((F.col(c) - lo) / width * 2 ** bits), F.lit(2 ** bits - 1)).cast("bigint"), F.lit(0))
+            for k in range(bits):
+                out = out + F.shiftleft(F.shiftright(step, k).bitwiseAND(1), k * len(axes) + i)
+    return out
+
+
 def nearest_peers(scaled: DataFrame, zs: Sequence[str], k: int, *, entity: str, block: str) -> DataFrame:
     """Exact k nearest peers inside a block: ``(entity, peer, distance)``.
 
     ``scaled`` has one row per (entity, block) with a boolean ``asks``. First each
-    asking row measures its k neighbours on either side along the first axis; the
-    k-th smallest distance bounds the answer. Every true neighbour lies within that
-    bound on the axis, so an interval join finds them all. No block is compared
-    pair by pair, and a large block is spread over the cells of the join.
+    asking row measures its k neighbours on either side along a Z-order curve over
+    all axes; the k-th smallest distance bounds the answer. Every true neighbour lies
+    within that bound on every axis, so a join of grid cells over the first
+    ``GRID_AXES`` axes finds them all, also where one of them has few values. No
+    block is compared pair by pair, and a large block is spread over the cells.
     """
+    candidates = peer_candidates(scaled, zs, k, entity=entity, block=block)
+    ranked = top_per_group(candidates, ["blk", "e"], [F.col("distance"), F.col("peer")], k)
+    return ranked.select(F.col("e").alias(entity), "peer", "distance", F.col("__rn").alias("position"))
+
+
+def peer_candidates(scaled: DataFrame, zs: Sequence[str], k: int, *, entity: str, block: str) -> DataFrame:
+    """``blk, e, peer, distance``: what ``nearest_peers`` ranks, the k nearest of every asking row among them."""
     n = len(zs)
-    # Positions along the first axis inside each block, in one distributed pass.
-    placed = stage(global_rank(
-        scaled.select(F.col(entity).alias("e"), F.col(block).alias("blk"), "asks",
-                      *[F.col(z).alias(f"a{i}") for i, z in enumerate(zs)]),
-        [F.col("a0"), F.col("e")], partition=["blk"], out="pos"), "axis")
-    other = placed.select("blk", "pos", F.col("e").alias("peer"), *[F.col(f"a{i}").alias(f"b{i}") for i in range(n)])
+    axes = [f"a{i}" for i in range(n)]
+    rows = stage(scaled.select(F.col(entity).alias("e"), F.col(block).alias("blk"), "asks", *[F.col(z).alias(a) for a, z in zip(axes, zs)]), "peers")
+    # Positions along the curve inside each block, in one distributed pass.
+    placed = stage(global_rank(rows.withColumn("z", z_order(rows, axes)), [F.col("z"), F.col("e")], partition=["blk"], out="pos").drop("z"), "curve")
+    other = placed.select("blk", "pos", F.col("e").alias("peer"), *[F.col(a).alias(f"b{i}") for i, a in enumerate(axes)])
     offsets = F.array(*[F.lit(o).cast("bigint") for o in range(-k, k + 1) if o])
     near = (
         placed.where("asks").withColumn("pos", F.explode(F.transform(offsets, lambda o: o + F.col("pos"))))
         .join(other, ["blk", "pos"])
-        .withColumn("d", _distance("a", "b", n))
+        .withColumn("d", _distance("a", "b", n)).where("d is not null and peer <> e")
     )
-    bounds = near.groupBy("blk", "e").agg(F.array_sort(F.collect_list("d")).alias("ds")).select(   # at most 2k each
-        "blk", "e", F.get("ds", F.lit(k - 1)).alias("bound"))
-    asking = stage(
-        placed.where("asks").drop("asks", "pos").join(bounds, ["blk", "e"], "left").withColumns({
-            # A hair wider, so that rounding cannot lose a neighbour at the bound.
-            "lo": F.col("a0") - F.col("bound") * (1 + 1e-9) - 1e-9,
-            "hi": F.col("a0") + F.col("bound") * (1 + 1e-9) + 1e-9,
-        }).drop("bound"), "asking")
-    pairs = interval_join(other.drop("pos"), asking, ["blk"], "b0", "lo", "hi").where(F.col("peer") != F.col("e"))
-    ranked = top_per_group(
-        pairs.withColumn("distance", _distance("a", "b", n)), ["blk", "e"], [F.col("distance"), F.col("peer")], k)
-    return ranked.select(F.col("e").alias(entity), "peer", "distance", F.col("__rn").alias("position"))
+    bounds = near.groupBy("blk", "e").agg(F.array_sort(F.collect_list(F.struct(F.col("d").alias("distance"), "peer"))).alias("ds"))   # at most 2k each
+    asking = stage(placed.where("asks").drop("asks", "pos").join(bounds, ["blk", "e"]).withColumns({
+        # A hair wider, so that rounding cannot lose a neighbour at the bound.
+        "radius": F.get("ds", F.lit(k - 1))["distance"] * (1 + 1e-9) + 1e-9}), "asking")
+    grid = [(f"b{i}", f"a{i}") for i in range(min(n, GRID_AXES))]
+    pairs = ball_join(other.drop("pos"), asking.where("radius is not null").drop("ds"), ["blk"], grid, "radius").where(F.col("peer") != F.col("e"))
+    # A block of fewer than k others was met whole.
+    few = asking.where("radius is null").select("blk", "e", F.inline("ds")).select("blk", "e", "peer", "distance")
+    return pairs.withColumn("distance", _distance("a", "b", n)).where(F.col("distance") <= F.col("radius")).select("blk", "e", "peer", "distance").unionAll(few)
 
 
 def _blocks(d: DataFrame, block: Sequence[str], entity: str, min_block: int) -> DataFrame:

@@ -49,6 +49,24 @@ def interval_join(
     return placed.join(wide, [*keys, "__level", "__cell"]).where(inside).drop("__level", "__cell", "__lo", "__hi")
 
 
+def ball_join(points: DataFrame, balls: DataFrame, keys: Sequence[str], axes: Sequence[tuple[str, str]], radius: str) -> DataFrame:
+    """Pairs of equal ``keys`` that no axis separates by more than ``radius``; other column names must differ.
+
+    ``axes`` pairs a column of ``points`` with one of ``balls``. A ball touches two cells an axis at most. ``balls`` is
+    read twice: pass a staged table. Rows with a null in an axis or the radius have no pairs.
+    """
+    levelled = balls.withColumn("__level", _level(2.0 * F.col(radius), 1e-6))
+    cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("__level"))).cast("bigint")
+    cells = [f"__c{i}" for i in range(len(axes))]
+    wide, inside = levelled, F.lit(True)
+    placed = points.withColumn("__level", F.explode(_levels(levelled, "__level")))
+    for c, (x, centre) in zip(cells, axes):
+        wide = wide.withColumn(c, F.explode(F.sequence(cell(F.col(centre) - F.col(radius)), cell(F.col(centre) + F.col(radius)))))
+        placed = placed.withColumn(c, cell(F.col(x)))
+        inside = inside & (F.abs(F.col(x) - F.col(centre)) <= F.col(radius))
+    return placed.join(wide, [*keys, "__level", *cells]).where(inside).drop("__level", *cells)
+
+
 def circle_join(
     points: DataFrame, circles: DataFrame, *, x: str = "x", y: str = "y", cx: str = "cx", cy: str = "cy",
     radius: str = "radius", distance: str = "distance",
