@@ -310,6 +310,18 @@ def test_seeds_meet_first_and_previous_in_any_partitioning(spark):
     assert substring_dedup._meet(seeds.limit(0)).count() == 0
 
 
+def test_a_passage_within_a_longer_one_keeps_its_partner(spark):
+    """Document 3 repeats the beginning of 1 and, inside that, a passage of 2."""
+    at = np.arange(0, 116, 3)
+    inner = at[(at >= 30) & (at < 96)]
+    found = substring_dedup.link(3, np.repeat([1, 2], [len(at), len(inner)]), np.concatenate([at, inner]), np.concatenate([at, inner + 500]))
+    assert sorted({o for o, _ in found}) == [1, 2]
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words[:120])), (2, " ".join(words[200:260] + words[30:100] + words[300:340])), (3, " ".join(words[:120] + words[360:400]))]
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(3, 1), (3, 2)} <= got
+
+
 @pytest.mark.parametrize("every, words, most", [(10, 50, 0), (10, 120, 0), (9, 50, 0), (8, 50, 0), (7, 50, 0.03), (7, 80, 0)])
 def test_seeds_find_changed_passages(every, words, most):
     """Share of passages, one word changed of ``every``, whose seeds lead to no chain."""

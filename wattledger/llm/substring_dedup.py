@@ -255,8 +255,8 @@ def _meet(seeds: DataFrame) -> DataFrame:
 def link(doc: int, other: np.ndarray, at: np.ndarray, there: np.ndarray) -> list[tuple[int, list[tuple[int, int, int]]]]:
     """(other document, chain) to be aligned, from all matches of a document.
 
-    A stretch of the document that is too short for a passage, whatever its matches are with, has no chains. A chain
-    within another that is sure to be a passage by its equal words alone is left out.
+    A stretch of the document that is too short for a passage, whatever its matches are with, has no chains. All other
+    chains are kept, also those within a longer passage: they may be another document's, and may reach beyond it.
     """
     if not len(at):
         return []
@@ -274,21 +274,7 @@ def link(doc: int, other: np.ndarray, at: np.ndarray, there: np.ndarray) -> list
     new[1:] = (o[1:] != o[:-1]) | (t[1:] != t[:-1])
     group = np.empty(len(o), np.int64)
     group[order] = np.cumsum(new) - 1
-    by_stretch: dict[int, list[tuple[int, int, list[tuple[int, int, int]]]]] = {}
-    for own, where, parts in zip(o[new].tolist(), t[new].tolist(), segments(group, at, there)):
-        by_stretch.setdefault(where, []).extend((-sum(n for _, _, n in path), own, path) for path in chain(parts))
-    out = []
-    for found in by_stretch.values():
-        sure: list[tuple[int, int]] = []
-        for words, o, path in sorted(found):
-            x, ex, y, ey = path[0][0], path[-1][0] + path[-1][2], path[0][1], path[-1][1] + path[-1][2]
-            if any(a <= x and ex <= b for a, b in sure):
-                continue
-            out.append((o, path))
-            # Parts may overlap by half a seed.
-            if o != doc and ex - x >= LEAST_WORDS and -words - KMER // 2 * (len(path) - 1) >= LEAST_IDENTITY * max(ex - x, ey - y):
-                sure.append((x, ex))
-    return out
+    return [(own, path) for own, parts in zip(o[new].tolist(), segments(group, at, there)) for path in chain(parts)]
 
 
 def lots(found: list[tuple[int, list[tuple[int, int, int]]]]) -> list[list[tuple[int, list[tuple[int, int, int]]]]]:
