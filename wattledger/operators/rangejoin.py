@@ -72,25 +72,37 @@ def circle_join(
     radius: str = "radius", distance: str = "distance",
 ) -> DataFrame:
     """Points within ``radius`` of each centre, with the distance."""
-    levelled = circles.withColumn("__level", _level(2.0 * F.col(radius), 1e-3))
-    cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("__level"))).cast("bigint")
+    d = F.sqrt((F.col(x) - F.col(cx)) * (F.col(x) - F.col(cx)) + (F.col(y) - F.col(cy)) * (F.col(y) - F.col(cy)))
+    return (
+        circle_candidates(points, circles, x=x, y=y, cx=cx, cy=cy, radius=radius)
+        .withColumn(distance, d)
+        .where(F.col(distance) <= F.col(radius))
+    )
+
+
+def circle_candidates(points: DataFrame, circles: DataFrame, *, x: str, y: str, cx: str, cy: str, radius: str) -> DataFrame:
+    """Points in the cells that a circle meets: all within it, and fewer than as many again around it.
+
+    A cell is a quarter to half a radius wide, so a circle meets some twenty to seventy, and the work follows the pairs that
+    are found. Both sides are shuffled by cell: a broadcast would leave the pairs to the few tasks that read the points.
+    """
+    levelled = circles.withColumn("__level", _level(2.0 * F.col(radius), 1e-3) - 3)
+    width = F.pow(F.lit(2.0), F.col("__level"))
+    cell = lambda v: F.floor(v / width).cast("bigint")
     r = F.col(radius)
+    # Distance of the centre from the nearest point of the cell along an axis.
+    gap = lambda i, c: F.greatest(F.col(i) * width - F.col(c), F.col(c) - (F.col(i) + 1) * width, F.lit(0.0))
     wide = (
         levelled.withColumn("__i", F.explode(F.sequence(cell(F.col(cx) - r), cell(F.col(cx) + r))))
         .withColumn("__j", F.explode(F.sequence(cell(F.col(cy) - r), cell(F.col(cy) + r))))
+        .where(F.sqrt(gap("__i", cx) * gap("__i", cx) + gap("__j", cy) * gap("__j", cy)) <= r * (1 + 1e-9) + width * 1e-6)
     )
     placed = (
         points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .withColumn("__level", F.explode(_levels(levelled, "__level")))
         .withColumns({"__i": cell(F.col(x)), "__j": cell(F.col(y))})
     )
-    d = F.sqrt((F.col(x) - F.col(cx)) * (F.col(x) - F.col(cx)) + (F.col(y) - F.col(cy)) * (F.col(y) - F.col(cy)))
-    return (
-        placed.join(wide, ["__level", "__i", "__j"])
-        .withColumn(distance, d)
-        .where(F.col(distance) <= r)
-        .drop("__level", "__i", "__j")
-    )
+    return placed.join(wide.hint("merge"), ["__level", "__i", "__j"]).drop("__level", "__i", "__j")
 
 
 def nearest_within(
