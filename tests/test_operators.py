@@ -478,3 +478,22 @@ def test_circles_look_at_few_points_outside_and_are_not_broadcast(spark):
     assert got == sorted([*map(tuple, np.argwhere(d <= c[None, :, 2]).tolist()), (5, 50)])
     assert rangejoin.circle_candidates(points, circles, x="x", y="y", cx="cx", cy="cy", radius="radius").count() < 2 * len(got)
     assert "BroadcastHashJoin" not in executed(joined)
+
+
+def test_nearest_vertex_compares_places_and_sorts_no_pairs(spark):
+    rng = np.random.default_rng(4)
+    p, v = rng.integers(0, 30, (400, 2)), rng.integers(0, 30, (300, 2))     # many equal places and equal distances
+    points = spark.createDataFrame([(i % 390, float(x), float(y)) for i, (x, y) in enumerate(p)] + [(999, None, 1.0)], "p long, x double, y double")
+    vertices = spark.createDataFrame([(int(k), float(x), float(y)) for k, (x, y) in zip(rng.permutation(300), v)], "v long, vx double, vy double")
+    near = rangejoin.nearest_within(points, vertices, point_id="p", vertex_id="v", tolerance=2.0)
+    want = {}
+    for r in points.collect():
+        for q in vertices.collect():
+            if r.x is not None and (d := ((r.x - q.vx) ** 2 + (r.y - q.vy) ** 2) ** 0.5) <= 2.0:
+                want[r.p] = min(want.get(r.p, (9.0, 0)), (d, q.v))
+    assert {r.p: (r.distance, r.v) for r in near.collect()} == want
+    assert not {"SortAggregate", "ObjectHashAggregate"} & set(executed(near).replace("(", " ").split())
+    # Of two vertices at one place the one without an id comes first, as it did.
+    pair = spark.createDataFrame([(None, 1.0, 1.0), (4, 1.0, 1.0)], "v long, vx double, vy double")
+    assert rows(rangejoin.nearest_within(points.limit(0).unionByName(spark.createDataFrame([(1, 1.0, 1.5)], "p long, x double, y double")),
+                                         pair, point_id="p", vertex_id="v"), "p", "v", "distance") == [(1, None, 0.5)]

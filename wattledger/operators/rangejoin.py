@@ -111,21 +111,30 @@ def nearest_within(
 ) -> DataFrame:
     """Closest vertex to each point within ``tolerance``; the smaller id wins a tie.
 
-    Points look at the 3x3 cells around them; ``min_by`` combines before the shuffle.
+    Places are compared, not rows: of the vertices at one place only the smallest id can win, and points at one place have
+    the same answer. Places look at the 3x3 cells around them, both sides shuffled by cell. Least ids per distance, then the
+    least distance: two aggregations of plain numbers, which combine in hash tables before the shuffle and sort nothing.
     """
     side = lambda v: F.floor(v / F.lit(tolerance)).cast("bigint")
     around = F.array(*[F.lit(v).cast("bigint") for v in (-1, 0, 1)])
     asked = (
-        points.withColumn("__di", F.explode(around)).withColumn("__dj", F.explode(around))
-        .withColumns({"__i": side(F.col("x")) + F.col("__di"), "__j": side(F.col("y")) + F.col("__dj")})
+        points.select(F.col("x").alias("__x"), F.col("y").alias("__y")).distinct()
+        .withColumn("__di", F.explode(around)).withColumn("__dj", F.explode(around))
+        .select("__x", "__y", (side(F.col("__x")) + F.col("__di")).alias("__i"), (side(F.col("__y")) + F.col("__dj")).alias("__j"))
     )
-    cells = vertices.withColumns({"__i": side(F.col(vx)), "__j": side(F.col(vy))})
-    d = F.sqrt((F.col("x") - F.col(vx)) * (F.col("x") - F.col(vx)) + (F.col("y") - F.col(vy)) * (F.col("y") - F.col(vy)))
+    # A missing id comes first.
+    least = F.when(~F.bool_or(F.col(vertex_id).isNull()), F.min(vertex_id)).alias(vertex_id)
+    cells = vertices.groupBy(vx, vy).agg(least).withColumns({"__i": side(F.col(vx)), "__j": side(F.col(vy))})
+    px, py = F.col("__x"), F.col("__y")
+    d = F.sqrt((px - F.col(vx)) * (px - F.col(vx)) + (py - F.col(vy)) * (py - F.col(vy)))
+    found = asked.join(cells.hint("merge"), ["__i", "__j"]).withColumn("distance", d).where(F.col("distance") <= tolerance)
+    best = found.groupBy("__x", "__y", "distance").agg(least).groupBy("__x", "__y").agg(
+        F.min_by(vertex_id, "distance").alias(vertex_id), F.min("distance").alias("distance"))
+    # A point id with several places takes the best of them.
     return (
-        asked.join(cells, ["__i", "__j"]).withColumn("distance", d).where(F.col("distance") <= tolerance)
-        .groupBy(point_id)
-        .agg(F.min(F.struct("distance", vertex_id)).alias("__m"))
-        .select(point_id, F.col(f"__m.{vertex_id}").alias(vertex_id), F.col("__m.distance").alias("distance"))
+        points.select(point_id, "x", "y").join(best, (F.col("x") == px) & (F.col("y") == py))
+        .groupBy(point_id, "distance").agg(least)
+        .groupBy(point_id).agg(F.min_by(vertex_id, "distance").alias(vertex_id), F.min("distance").alias("distance"))
     )
 
 
