@@ -497,3 +497,28 @@ def test_nearest_vertex_compares_places_and_sorts_no_pairs(spark):
     pair = spark.createDataFrame([(None, 1.0, 1.0), (4, 1.0, 1.0)], "v long, vx double, vy double")
     assert rows(rangejoin.nearest_within(points.limit(0).unionByName(spark.createDataFrame([(1, 1.0, 1.5)], "p long, x double, y double")),
                                          pair, point_id="p", vertex_id="v"), "p", "v", "distance") == [(1, None, 0.5)]
+
+
+def test_series_are_packed_by_one_aggregation_and_read_in_shuffled_tasks(spark):
+    last = date(2001, 3, 1)
+    long = spark.createDataFrame([(1, date(2001, 1, 1), 5.0), (1, date(2001, 1, 9), 7.0), (1, date(2001, 3, 31), None), (1, date(2001, 4, 1), 9.0),
+                                  (2, date(2000, 12, 31), 1.0), (None, date(2001, 2, 1), 3.0)], "account long, period date, kwh double")
+    packed = series.account_series(long, last, 3)
+    assert {r.account: list(r.series) for r in packed.collect()} == {1: [7.0, None, None], None: [None, 3.0, None]}
+    whole = series.with_all_accounts(spark.createDataFrame([(1,), (2,)], "account long"), packed, 3)
+    assert {r.account: list(r.series) for r in whole.collect()} == {1: [7.0, None, None], 2: [None] * 3}
+    assert "BroadcastHashJoin" not in executed(whole)
+
+
+def test_a_catalogue_key_classifies_its_text_once(spark):
+    keys = ["BT Residencial", "BT Comercial", "MT Industrial"]
+    texts = ["RESIDENCIAL BAJA TENSION", "COMERCIAL MEDIA TENSION", "MT Industrial", "otro", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", classify.catalogue_key(F.col("t"), keys).alias("k"))
+    assert {r.t: r.k for r in df.collect()} == dict(zip(texts, ["BT Residencial", "BT Comercial", "MT Industrial", None, None]))
+    assert executed(df).count("POTABLE") == 1
+
+
+def test_plausible_range_counts_known_means_of_known_classes(spark):
+    df = spark.createDataFrame([("RESIDENCIAL BAJA TENSION", 10.0), ("RESIDENCIAL BAJA TENSION", 1e9), ("RESIDENCIAL BAJA TENSION", None),
+                                ("COMERCIAL BAJA TENSION", None), ("otro", 5.0), (None, 5.0)], "tariff string, mean_kwh double")
+    assert rows(series.plausible_range(df), "class_key", "customers", "pct_outside", "warning") == [("BT Residencial", 2, 50.0, True)]

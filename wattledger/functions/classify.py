@@ -71,17 +71,22 @@ def catalogue_key(tariff: Column, keys: Sequence[str]) -> Column:
     The keys are classified with the same rules as the text, on the Spark side,
     so both stay in step.
     """
-    cls, volt = consumption_class(tariff), voltage_level(tariff)
+    text = F.struct(tariff.alias("t"), consumption_class(tariff).alias("c"), voltage_level(tariff).alias("v"))
     catalogue = F.array(*[
         F.struct(F.lit(k).alias("k"), consumption_class(F.lit(k)).alias("c"), voltage_level(F.lit(k)).alias("v"))
         for k in keys
     ])
-    known = cls != "NO_CLASIFICADO"
-    exact = F.filter(catalogue, lambda e: e["k"] == tariff)
-    both = F.filter(catalogue, lambda e: known & (e["c"] == cls) & (e["v"] == volt))
-    by_class = F.filter(catalogue, lambda e: known & (e["c"] == cls))
-    first = lambda a: F.get(a, F.lit(0))["k"]
-    return F.coalesce(first(exact), first(both), first(by_class))
+
+    def found(t: Column) -> Column:
+        known = t["c"] != "NO_CLASIFICADO"
+        exact = F.filter(catalogue, lambda e: e["k"] == t["t"])
+        both = F.filter(catalogue, lambda e: known & (e["c"] == t["c"]) & (e["v"] == t["v"]))
+        by_class = F.filter(catalogue, lambda e: known & (e["c"] == t["c"]))
+        first = lambda a: F.get(a, F.lit(0))["k"]
+        return F.coalesce(first(exact), first(both), first(by_class))
+
+    # The text is classified once and bound to a variable; inside the filters it would be classified for every key.
+    return F.get(F.transform(F.array(text), found), F.lit(0))
 
 
 def stratum_label(kwh: Column, cuts: Sequence[float]) -> Column:

@@ -93,16 +93,14 @@ def plausible_range(averages: DataFrame, tariff: str = "tariff", kwh: str = "mea
         x for k, (lo, hi) in PLAUSIBLE_KWH.items()
         for x in (F.lit(k), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))
     ])
-    keyed = averages.withColumn("class_key", catalogue_key(F.col(tariff), list(PLAUSIBLE_KWH)))
-    # NULL-safe lookup: unknown text has no range and is left out.
-    known = keyed.where(F.col("class_key").isNotNull() & F.col(kwh).isNotNull()).withColumn(
-        "__r", F.element_at(limits, F.col("class_key"))
-    )
+    keyed = averages.withColumn("class_key", catalogue_key(F.col(tariff), list(PLAUSIBLE_KWH))).withColumn(
+        "__r", F.element_at(limits, F.col("class_key")))
+    # Missing means and unknown texts are left out by the aggregates: a filter would be worked out twice, and in the scan.
     outside = (F.col(kwh) < F.col("__r.lo")) | (F.col(kwh) > F.col("__r.hi"))
-    return known.groupBy("class_key").agg(
-        F.count(F.lit(1)).alias("customers"),
+    return keyed.groupBy("class_key").agg(
+        F.count(F.when(F.col("class_key").isNotNull(), F.col(kwh))).alias("customers"),
         (F.avg(outside.cast("double")) * 100).alias("pct_outside"),
-    ).withColumn("warning", F.col("pct_outside") > 5.0)
+    ).where(F.col("customers") > 0).withColumn("warning", F.col("pct_outside") > 5.0)
 
 
 def enrich_register(register: DataFrame, aux: DataFrame) -> DataFrame:
@@ -122,29 +120,24 @@ def enrich_register(register: DataFrame, aux: DataFrame) -> DataFrame:
 def account_series(long: DataFrame, last: date, months: int) -> DataFrame:
     """``(account, series)``: kWh per month of the axis, oldest first, NULL where missing.
 
-    The first aggregation is by (account, month) with map-side combining, so the
-    array built by the second one has at most ``months`` entries whatever the
-    number of raw rows an account has.
+    Every month of the axis is a maximum of its own, so an account's readings are combined on the map side to one row of
+    at most ``months`` values whatever the number of raw rows it has.
     """
     first = month_axis(last, months)[0]
     index = (F.year("period") * 12 + F.month("period") - F.lit(first.year * 12 + first.month)).cast("int")
-    monthly = (
-        long.where(F.col("period").between(F.lit(first), F.last_day(F.lit(last))))
-        .groupBy("account", index.alias("i"))
-        .agg(F.max("kwh").alias("kwh"))
-    )
-    packed = monthly.groupBy("account").agg(
-        F.map_from_entries(F.collect_list(F.struct("i", "kwh"))).alias("m")
-    )
-    return packed.select(
-        "account", F.expr(f"transform(sequence(0, {months - 1}), i -> try_element_at(m, i))").alias("series")
-    )
+    placed = long.where(F.col("period").between(F.lit(first), F.last_day(F.lit(last)))).select("account", index.alias("i"), "kwh")
+    packed = placed.groupBy("account").agg(*[F.max(F.when(F.col("i") == i, F.col("kwh"))).alias(f"__m{i}") for i in range(months)])
+    return packed.select("account", F.array(*[F.col(f"__m{i}") for i in range(months)]).alias("series"))
 
 
 def with_all_accounts(register: DataFrame, series: DataFrame, months: int) -> DataFrame:
-    """Register rows with their ``series``; an account that was never read has an array of missing months."""
+    """Register rows with their ``series``; an account that was never read has an array of missing months.
+
+    The join is a shuffled one at any size: what is worked out of the series afterwards runs in its tasks, and a register
+    in a few compressed files would be a few tasks.
+    """
     unread = F.array_repeat(F.lit(None).cast("double"), months)
-    return register.join(series, "account", "left").withColumn("series", F.coalesce("series", unread))
+    return register.join(series.hint("merge"), "account", "left").withColumn("series", F.coalesce("series", unread))
 
 
 def series_statistics(df: DataFrame, p: Segmentation = Segmentation()) -> DataFrame:
