@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattledger.operators import network, powerflow, tours
+from wattledger.staging import stage
 
 EDGES = "feeder string, segment_id string, from_node string, to_node string, length_km double"
 
@@ -137,3 +138,28 @@ def test_flow_satisfies_its_equations(spark, monkeypatch, block):
     for r in powerflow.flow_residuals(flow).collect():
         assert r.drop_pu < 1e-9 and r.current_pu < 1e-5 and r.power_pu < 1e-5
     assert flow.where("converged").count() == tree.count()
+
+
+@pytest.mark.parametrize("block", [5])
+def test_sweeps_move_ranges_and_no_nodes(spark, monkeypatch, block):
+    """Whatever the sweeps, rows of single nodes are written on the way in and on the way out; ranges do not change the result."""
+    rng = random.Random(11)
+    # A: some 40 nodes (a multiple of 5); C: one line, whose subtrees all stop at its end; D: a node alone with its source.
+    graph = _graph(rng, "A", 39, 0, False) + [("C", f"c{k}", f"n{k:03d}", f"n{k + 1:03d}", 0.1) for k in range(23)] + [("D", "d", "n000", "n001", 0.2)]
+    edges = [(f, s, a, b, km, "C0", 3, 13800.0) for f, s, a, b, km in graph]
+    e = spark.createDataFrame(edges, EDGES + ", conductor string, n_phases int, voltage_v double")
+    sources = spark.createDataFrame([(f, "n000") for f in "ACD"], "feeder string, source string")
+    tree = network.orient(e, sources)
+    z = powerflow.impedances(tree, e, spark.createDataFrame([("C0", 0.5, 0.4)], "code string, r_ohm_km double, x_ohm_km double"))
+    loads = tree.select("feeder", "node", *[(F.col("place") % (k + 3) * 20.0).alias(f"kw_{c}") for k, c in enumerate("abc")])
+    base = powerflow.base_voltages(z, e, sources)
+    columns = ["feeder", "node", *[f"{x}_{c}" for c in "abc" for x in ("vr", "vi", "ir", "ii")], "converged", "iterations"]
+    want = {r[:2]: r[2:] for r in powerflow.unbalanced_flow(z, loads, base, tolerance=1e-9).select(*columns).collect()}
+    monkeypatch.setattr(tours, "BLOCK", block)
+    written = []
+    monkeypatch.setattr(powerflow, "stage", lambda df, label="stage": written.append(label) or stage(df, label))
+    got = {r[:2]: r[2:] for r in powerflow.unbalanced_flow(z, loads, base, tolerance=1e-9).select(*columns).collect()}
+    assert len(got) == tree.count() and got.keys() == want.keys()
+    for k, r in got.items():
+        assert r[:-2] == pytest.approx(want[k][:-2], rel=1e-9, abs=1e-9) and r[-2:] == want[k][-2:] and r[-2]
+    assert written.count("flow3") == 2

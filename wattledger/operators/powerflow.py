@@ -2,23 +2,28 @@
 
 A sweep is: node currents from the present voltages, subtree sums (branch
 currents), path sums of the drops (new voltages). Nodes are numbered in tour order,
-so both are prefix sums over ranges of places (``operators.tours``): two passes a
-sweep, whatever the depth and the number of feeders. Every feeder converges by
-itself: its rows are frozen at the sweep that settled it, and only the others are
-swept again. Complex numbers are (re, im) column pairs.
+so both are prefix sums over ranges of places (``operators.tours``): one row a range,
+two passes a sweep, whatever the depth and the number of feeders. Every feeder
+converges by itself: it is frozen at the sweep that settled it, and only the others
+are swept again. Complex numbers are (re, im) column pairs in what is returned.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattledger.operators import tours
 from wattledger.operators.losses import phase_imbalance_pct
 from wattledger.operators.network import KEY
-from wattledger.operators.tours import in_blocks, path_totals, subtree_totals
+from wattledger.operators.tours import in_blocks
 from wattledger.staging import stage
 
 _ANGLE = [0.0, -2.0 * math.pi / 3.0, 2.0 * math.pi / 3.0]
@@ -52,30 +57,220 @@ def base_voltages(tree_z: DataFrame, edges: DataFrame, sources: DataFrame) -> Da
     return s.join(v, "feeder", "left").select("feeder", (F.coalesce("v", F.lit(13800.0)) / math.sqrt(3.0)).alias("v0"))
 
 
-class _Settled:
-    """Rows of the feeders that are through, with ``converged`` and ``iterations``."""
+def _ranges(batches):
+    """Rows of Arrow batches, one at a time as they are large, each with its batch's schema."""
+    with np.errstate(all="ignore"):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield batch.schema, SimpleNamespace(**batch.slice(k, 1).to_pylist()[0])
 
-    def __init__(self, tolerance: float, max_sweeps: int):
-        self.tolerance, self.max_sweeps = tolerance, max_sweeps
-        self.done: DataFrame | None = None
 
-    def take(self, fresh: DataFrame, sweep: int) -> DataFrame | None:
-        """Freeze what sweep ``sweep`` (from 1) settled; the rows that go on, or None. The driver sees two counts.
+class _Blocks:
+    """The sweeps of all feeders over rows that each hold a range of places (``operators.tours.BLOCK``) as packed arrays.
 
-        A feeder whose voltages are no longer numbers, or that is out of sweeps, is through without having converged.
+    A row has what does not change (where subtrees stop, impedances, powers) and the voltages, so a sweep moves no node: it
+    reads the rows, and ranges of one feeder exchange their totals and, for subtrees that end in another range, one value
+    for each place where some do. A range whose feeder it is alone is swept to its end in its task. Powers, voltages
+    and currents are complex, one line of an array a phase.
+    """
+
+    STATE = "block long, n int, stop binary, z binary, power binary, v0 double, far array<struct<to: long, places: binary>>"
+    ASKED = "asked array<struct<`from`: long, places: binary>>"
+    SENT = "block long, total binary, to long, `from` long, part binary"
+
+    def __init__(self, phases: int, tolerance: float, max_sweeps: int, mutual: float = 0.0):
+        self.phases, self.mutual, self.tolerance, self.max_sweeps, self.width = phases, mutual, tolerance, max_sweeps, tours.BLOCK
+
+    # --- in one range
+
+    def source(self, v0: float) -> np.ndarray:
+        return v0 * np.array([complex(math.cos(a), math.sin(a)) for a in _ANGLE[:self.phases]])[:, None]
+
+    def complexes(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, complex).reshape(self.phases, -1)
+
+    def currents(self, r, v: np.ndarray) -> np.ndarray:
+        """conj(S / V) of every place, with the places before summed up: entry k is the sum over the places before k."""
+        power = self.complexes(r.power)
+        mag = v.real ** 2 + v.imag ** 2
+        live = (power != 0) & ~(mag <= 1e-12)
+        drawn = np.where(live, power.conj() * v / np.where(live, mag, 1.0), 0.0)
+        return np.concatenate([np.zeros((self.phases, 1), complex), np.cumsum(drawn, axis=1)], axis=1)
+
+    def drops(self, r, branch: np.ndarray) -> np.ndarray:
+        z = np.frombuffer(r.z, complex)
+        own = branch * z
+        if self.phases > 1:  # own impedance r + jx, mutual j * mutual * x to the other phases
+            own = own + 1j * self.mutual * z.imag * (branch.sum(axis=0) - branch)
+        return own
+
+    def stops(self, r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places after the subtrees, counted from the range's first; which lie in the range (or at the feeder's end in it); their ranges."""
+        stop = np.frombuffer(r.stop, np.int64)
+        to = stop // self.width + r.block
+        return stop, to == r.block, to
+
+    def branches(self, r, v: np.ndarray, totals: np.ndarray | None = None, parts: dict | None = None) -> np.ndarray:
+        """Currents into the places: the sums over their subtrees. ``parts``: by range, its sums before the places asked for."""
+        before = self.currents(r, v)
+        stop, inside, to = self.stops(r)
+        end = before[:, np.where(inside, stop, r.n)]
+        for f in r.far:
+            asked = np.frombuffer(f["places"], np.int64)
+            here = np.flatnonzero(to == f["to"])
+            # Missing: a place right behind the feeder's last range.
+            beyond = (parts or {}).get(f["to"], np.zeros((self.phases, len(asked)), complex))
+            between = 0.0 if totals is None else totals[:, r.block + 1:f["to"]].sum(axis=1)[:, None]
+            end[:, here] += between + beyond[:, np.searchsorted(asked, stop[here] % self.width)]
+        return end - before[:, :r.n]
+
+    def net(self, r, drop: np.ndarray) -> np.ndarray:
+        """What a place adds to the path sums of the places from there on: its drop, less those of the subtrees that stop there."""
+        stop, inside, _ = self.stops(r)
+        out = np.zeros((self.phases, r.n + 1), complex)
+        for k in range(self.phases):
+            off = [np.bincount(stop[inside], part[inside], r.n + 1) for part in (drop[k].real, drop[k].imag)]
+            out[k] = -(off[0] + 1j * off[1])
+        out[:, :r.n] += drop
+        return out
+
+    def pack(self, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place").drop_duplicates("place")
+        block = int(rows["block"].iloc[0])
+        stop = rows["stop"].to_numpy(np.int64) - block * self.width
+        far = stop[stop // self.width > 0]
+        asked = [{"to": int(t) + block, "places": np.unique(far[far // self.width == t] % self.width).tobytes()} for t in np.unique(far // self.width)]
+        z = rows["r"].to_numpy(float) + 1j * rows["x"].to_numpy(float)
+        power = np.stack([rows[f"p{k}"].to_numpy(float) + 1j * rows[f"q{k}"].to_numpy(float) for k in range(self.phases)])
+        return pd.DataFrame({
+            "feeder": rows["feeder"].iloc[:1].to_numpy(), "block": [block], "n": [len(rows)], "stop": [stop.tobytes()], "z": [z.tobytes()],
+            "power": [power.tobytes()], "v0": [float(rows["v0"].iloc[0])], "far": [asked]})
+
+    def voltages(self, r, drop: np.ndarray, before: np.ndarray, parts: dict) -> np.ndarray:
+        """Source voltage less the drops along the paths. ``before``: what the ranges before add; ``parts``: what subtrees
+        of other ranges take off here."""
+        net = self.net(r, drop)
+        for asker in r.asked or []:
+            if asker["from"] in parts:
+                net[:, np.frombuffer(asker["places"], np.int64)] -= parts[asker["from"]]
+        return self.source(r.v0) - before[:, None] - np.cumsum(net, axis=1)[:, :r.n]
+
+    def change(self, r, old: np.ndarray, new: np.ndarray) -> float:
+        return float(np.max(np.abs(new - old)) / r.v0) if r.v0 else math.nan
+
+    def columns(self, kind: pa.Schema, r, v: np.ndarray, i: np.ndarray, converged: bool, iterations: int) -> pa.RecordBatch:
+        out = {"feeder": pa.repeat(pa.scalar(r.feeder, kind.field("feeder").type), r.n), "place": pa.array(np.arange(r.n) + r.block * self.width)}
+        for k in range(self.phases):
+            out |= {f"{c}{k}": pa.array(np.ascontiguousarray(a)) for c, a in (("vr", v[k].real), ("vi", v[k].imag), ("ir", i[k].real), ("ii", i[k].imag))}
+        out |= {"converged": pa.repeat(pa.scalar(bool(converged)), r.n), "iterations": pa.repeat(pa.scalar(iterations, pa.int32()), r.n)}
+        return pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    def alone(self, batches):
+        """Feeders of one range, swept to the end."""
+        for kind, r in _ranges(batches):
+            v = np.repeat(self.source(r.v0), r.n, axis=1)
+            for sweep in range(1, self.max_sweeps + 1):
+                i = self.branches(r, v)
+                new = self.source(r.v0) - np.cumsum(self.net(r, self.drops(r, i)), axis=1)[:, :r.n]
+                worst, v = self.change(r, v, new), new
+                if worst < self.tolerance or math.isnan(worst):
+                    break
+            yield self.columns(kind, r, v, i, worst < self.tolerance, sweep)
+
+    # --- between ranges
+
+    def received(self, r, which: str) -> tuple[np.ndarray, dict]:
+        """Totals by range of the feeder, and the parts sent by the range that sent them."""
+        listed = getattr(r, f"totals{which}")
+        totals = np.zeros((self.phases, max(t["block"] for t in listed) + 1), complex)
+        for t in listed:
+            for raw in t["totals"]:
+                totals[:, t["block"]] += np.frombuffer(raw, complex)
+        return totals, {p["from"]: self.complexes(p["part"]) for p in getattr(r, f"parts{which}") or []}
+
+    def sent(self, kind: pa.Schema, r, rows: list[tuple]) -> pa.RecordBatch:
+        out = pa.schema([kind.field("feeder"), ("block", pa.int64()), ("total", pa.binary()), ("to", pa.int64()), ("from", pa.int64()), ("part", pa.binary())])
+        return pa.RecordBatch.from_pylist([dict(zip(out.names, (r.feeder, *row))) for row in rows], out)
+
+    def state(self, kind: pa.Schema, r, v: np.ndarray, worst: float) -> pa.RecordBatch:
+        kept = [f for f in kind if f.name in ("feeder", "block", "n", "stop", "z", "power", "v0", "far", "asked")]
+        out = pa.schema([*kept, ("v", pa.binary()), ("worst", pa.float64())])
+        return pa.RecordBatch.from_pylist([{**{f.name: getattr(r, f.name) for f in kept}, "v": np.ascontiguousarray(v).tobytes(), "worst": worst}], out)
+
+    def begin(self, batches):
+        for kind, r in _ranges(batches):
+            yield self.state(kind, r, np.repeat(self.source(r.v0), r.n, axis=1), math.nan)
+
+    def sum_up(self, batches):
+        """Sent: a range's total, and for the ranges that asked, its sums before their places."""
+        for kind, r in _ranges(batches):
+            before = self.currents(r, self.complexes(r.v))
+            yield self.sent(kind, r, [(r.block, before[:, r.n].tobytes(), None, None, None)] + [
+                (None, None, a["from"], r.block, before[:, np.frombuffer(a["places"], np.int64)].tobytes()) for a in r.asked or []])
+
+    def take_off(self, batches):
+        """Sent: a range's net drop, and what its subtrees take off at their stops in other ranges."""
+        for kind, r in _ranges(batches):
+            drop = self.drops(r, self.branches(r, self.complexes(r.v), *self.received(r, "1")))
+            rows = [(r.block, self.net(r, drop)[:, :r.n].sum(axis=1).tobytes(), None, None, None)]
+            stop, _, to = self.stops(r)
+            for f in r.far:
+                asked = np.frombuffer(f["places"], np.int64)
+                here = np.flatnonzero(to == f["to"])
+                at = np.searchsorted(asked, stop[here] % self.width)
+                part = np.stack([np.bincount(at, d[here].real, len(asked)) + 1j * np.bincount(at, d[here].imag, len(asked)) for d in drop])
+                rows.append((f["to"], (-part.sum(axis=1)).tobytes(), f["to"], r.block, part.tobytes()))
+            yield self.sent(kind, r, rows)
+
+    def settle(self, batches, emit: bool):
+        """The ranges with new voltages and their largest change, or (``emit``) their places."""
+        for kind, r in _ranges(batches):
+            v = self.complexes(r.v)
+            i = self.branches(r, v, *self.received(r, "1"))
+            totals, parts = self.received(r, "2")
+            new = self.voltages(r, self.drops(r, i), totals[:, :r.block].sum(axis=1), parts)
+            yield self.columns(kind, r, new, i, r.converged, r.iterations) if emit else self.state(kind, r, new, self.change(r, v, new))
+
+    def deliver(self, state: DataFrame, sent: DataFrame, which: str) -> DataFrame:
+        """``state`` with the totals of its feeder's ranges and the parts sent to the range."""
+        totals = sent.where("total is not null").groupBy("feeder", "block").agg(F.collect_list("total").alias("totals")).groupBy("feeder").agg(
+            F.collect_list(F.struct("block", "totals")).alias(f"totals{which}"))
+        parts = sent.where("to is not null").groupBy("feeder", F.col("to").alias("block")).agg(F.collect_list(F.struct("from", "part")).alias(f"parts{which}"))
+        return state.join(totals, "feeder").join(parts, ["feeder", "block"], "left")
+
+    def run(self, nodes: DataFrame) -> DataFrame:
+        """``feeder, place``, per phase ``vr, vi, ir, ii``, ``converged, iterations``.
+
+        ``nodes``: feeder, place, stop, block, r, x, v0, and ``p`` and ``q`` with the number of the phase (from 0).
         """
-        worst = F.max(F.col("dv") / F.col("v0"))
-        verdict = fresh.groupBy("feeder").agg(worst.alias("__worst")).select(
-            "feeder", (F.coalesce("__worst", F.lit(0.0)) < self.tolerance).alias("converged"),
-            (F.isnan("__worst") | F.lit(sweep >= self.max_sweeps)).alias("__ends")).withColumn(
-            "__through", F.col("converged") | F.coalesce("__ends", F.lit(False))).drop("__ends")
-        through, open_ = verdict.agg(F.count_if("__through"), F.count_if(~F.col("__through"))).first()
-        if through or not open_:
-            rows = fresh.join(verdict.where("__through").drop("__through"), "feeder").withColumn("iterations", F.lit(sweep))
-            self.done = rows if self.done is None else self.done.unionByName(rows)
-        if not open_:
-            return None
-        return fresh.join(verdict.where("not __through").select("feeder"), "feeder", "left_semi") if through else fresh
+        key = f"feeder {dict(nodes.dtypes)['feeder']}"
+        values = ", ".join(f"{c}{k} double" for k in range(self.phases) for c in ("vr", "vi", "ir", "ii"))
+        places, sent = f"{key}, place long, {values}, converged boolean, iterations int", f"{key}, {self.SENT}"
+        state = f"{key}, {self.STATE}, {self.ASKED}, v binary, worst double"
+        packed = stage(nodes.groupBy("feeder", "block").applyInPandas(lambda rows: self.pack(rows), f"{key}, {self.STATE}"), "ranges")
+        many = packed.groupBy("feeder").agg(F.max("block").alias("__last")).where("__last > 0").select("feeder")
+        done = packed.join(many, "feeder", "left_anti").mapInArrow(self.alone, places)
+        if many.isEmpty():
+            return done
+        asked = packed.select("feeder", F.col("block").alias("from"), F.inline("far")).groupBy("feeder", F.col("to").alias("block")).agg(
+            F.collect_list(F.struct("from", "places")).alias("asked"))
+        now = stage(packed.join(many, "feeder", "left_semi").join(asked, ["feeder", "block"], "left").mapInArrow(self.begin, state), "ranges")
+        for sweep in range(1, self.max_sweeps + 1):
+            summed = self.deliver(now.drop("worst"), stage(now.mapInArrow(self.sum_up, sent), "sent"), "1")
+            both = self.deliver(summed, stage(summed.mapInArrow(self.take_off, sent), "sent"), "2")
+            now = stage(both.mapInArrow(lambda batches: self.settle(batches, False), state), "ranges")
+            ended = (F.col("worst") < self.tolerance) | F.isnan("worst") | F.lit(sweep >= self.max_sweeps)
+            verdict = stage(now.groupBy("feeder").agg(F.max("worst").alias("worst")).select(
+                "feeder", (F.col("worst") < self.tolerance).alias("converged"), F.lit(sweep).alias("iterations"), ended.alias("through")), "verdict")
+            through, open_ = verdict.agg(F.count_if("through"), F.count_if(~F.col("through"))).first()
+            if through:
+                rows = both.join(verdict.where("through").drop("through"), "feeder")
+                done = done.unionByName(rows.mapInArrow(lambda batches: self.settle(batches, True), places))
+            if not open_:
+                break
+            if through:
+                now = now.join(verdict.where("not through").select("feeder"), "feeder", "left_semi")
+        return done
 
 
 _PLACE = ["place", "stop", "block"]
@@ -90,29 +285,10 @@ def balanced_flow(tree_z: DataFrame, loads: DataFrame, base: DataFrame, levels:
     are not needed.
     """
     p = F.coalesce("kw", F.lit(0.0)) * 1000.0 / 3.0
-    state = in_blocks(tree_z).join(loads, KEY, "left").join(base, "feeder").select(
-        *KEY, "parent", "segment_id", *_PLACE, "r", "x", "v0", p.alias("p"), (p * _tan(F.col("pf"))).alias("q"),
-        F.col("v0").alias("v_re"), F.lit(0.0).alias("v_im"))
-    state = stage(state, "flow")
-    settled = _Settled(tolerance, max_sweeps)
-    for sweep in range(1, max_sweeps + 1):
-        mag = F.col("v_re") * F.col("v_re") + F.col("v_im") * F.col("v_im")
-        # conj(S / V) = (P - jQ) / conj(V)
-        i_re = (F.col("p") * F.col("v_re") + F.col("q") * F.col("v_im")) / mag
-        i_im = (F.col("p") * F.col("v_im") - F.col("q") * F.col("v_re")) / mag
-        live = mag > 1e-12
-        currents = state.withColumns({"i_re": F.when(live, i_re).otherwise(0.0), "i_im": F.when(live, i_im).otherwise(0.0)})
-        drops = stage(subtree_totals(currents, ["i_re", "i_im"]).withColumns({
-            "d_re": F.col("i_re") * F.col("r") - F.col("i_im") * F.col("x"),
-            "d_im": F.col("i_re") * F.col("x") + F.col("i_im") * F.col("r")}), "flow")
-        v_re, v_im = F.col("v0") - F.col("d_re"), -F.col("d_im")
-        fresh = stage(path_totals(drops, ["d_re", "d_im"]).withColumn(
-            "dv", F.sqrt((v_re - F.col("v_re")) ** 2 + (v_im - F.col("v_im")) ** 2)).withColumns({"v_re": v_re, "v_im": v_im}).drop("d_re", "d_im"), "flow")
-        left = settled.take(fresh, sweep)
-        if left is None:
-            break
-        state = left.drop("dv", "i_re", "i_im")
-    return settled.done
+    nodes = stage(in_blocks(tree_z).join(loads, KEY, "left").join(base, "feeder").select(
+        *KEY, "parent", "segment_id", *_PLACE, "r", "x", "v0", p.alias("p"), (p * _tan(F.col("pf"))).alias("q")), "flow")
+    done = _Blocks(1, tolerance, max_sweeps).run(nodes.select("feeder", *_PLACE, "r", "x", "v0", F.col("p").alias("p0"), F.col("q").alias("q0")))
+    return stage(nodes.join(done.withColumnsRenamed({"vr0": "v_re", "vi0": "v_im", "ir0": "i_re", "ii0": "i_im"}), ["feeder", "place"]), "flow")
 
 
 def flow_summary(flow: DataFrame) -> DataFrame:
@@ -170,38 +346,13 @@ def unbalanced_flow(tree_z: DataFrame, loads: DataFrame, base: DataFrame, levels
     """Three-phase flow with mutual reactance ``mutual * x``; columns suffixed _a, _b, _c. ``levels`` are not needed."""
     t = float(math.sqrt(1 - min(max(pf, 0.1), 1.0) ** 2) / min(max(pf, 0.1), 1.0))
     ph = "abc"
-    state = stage(in_blocks(tree_z).join(loads, KEY, "left").join(base, "feeder").select(
+    nodes = stage(in_blocks(tree_z).join(loads, KEY, "left").join(base, "feeder").select(
         *KEY, "parent", "segment_id", *_PLACE, "length_km", "n_phases", "r", "x", "v0",
-        *[(F.coalesce(f"kw_{c}", F.lit(0.0)) * 1000.0).alias(f"p_{c}") for c in ph],
-        *[(F.col("v0") * math.cos(a)).alias(f"vr_{c}") for c, a in zip(ph, _ANGLE)],
-        *[(F.col("v0") * math.sin(a)).alias(f"vi_{c}") for c, a in zip(ph, _ANGLE)]), "flow3")
-    cols = [f"{k}_{c}" for c in ph for k in ("ir", "ii")]
-    settled = _Settled(tolerance, max_sweeps)
-    for sweep in range(1, max_sweeps + 1):
-        cur = {}
-        for c in ph:
-            p, q, vr, vi = F.col(f"p_{c}"), F.col(f"p_{c}") * t, F.col(f"vr_{c}"), F.col(f"vi_{c}")
-            mag = vr * vr + vi * vi
-            live = (p != 0) & (mag > 1e-12)
-            cur[f"ir_{c}"] = F.when(live, (p * vr + q * vi) / mag).otherwise(0.0)
-            cur[f"ii_{c}"] = F.when(live, (p * vi - q * vr) / mag).otherwise(0.0)
-        drop = {}
-        for c in ph:
-            # Own impedance r + jx, mutual j * mutual * x to the other two phases.
-            o = [d for d in ph if d != c]
-            xm = mutual * F.col("x")
-            drop[f"dr_{c}"] = F.col(f"ir_{c}") * F.col("r") - F.col(f"ii_{c}") * F.col("x") - xm * (F.col(f"ii_{o[0]}") + F.col(f"ii_{o[1]}"))
-            drop[f"di_{c}"] = F.col(f"ir_{c}") * F.col("x") + F.col(f"ii_{c}") * F.col("r") + xm * (F.col(f"ir_{o[0]}") + F.col(f"ir_{o[1]}"))
-        drops = stage(subtree_totals(state.withColumns(cur), cols).withColumns(drop), "flow3")
-        new = {f"vr_{c}": F.col("v0") * math.cos(a) - F.col(f"dr_{c}") for c, a in zip(ph, _ANGLE)}
-        new |= {f"vi_{c}": F.col("v0") * math.sin(a) - F.col(f"di_{c}") for c, a in zip(ph, _ANGLE)}
-        dv = F.greatest(*[F.sqrt((new[f"vr_{c}"] - F.col(f"vr_{c}")) ** 2 + (new[f"vi_{c}"] - F.col(f"vi_{c}")) ** 2) for c in ph])
-        fresh = stage(path_totals(drops, list(drop)).withColumn("dv", dv).withColumns(new).drop(*drop), "flow3")
-        left = settled.take(fresh, sweep)
-        if left is None:
-            break
-        state = left.drop("dv", *cols)
-    return settled.done
+        *[(F.coalesce(f"kw_{c}", F.lit(0.0)) * 1000.0).alias(f"p_{c}") for c in ph]), "flow3")
+    powers = [x for k, c in enumerate(ph) for x in (F.col(f"p_{c}").alias(f"p{k}"), (F.col(f"p_{c}") * t).alias(f"q{k}"))]
+    done = _Blocks(3, tolerance, max_sweeps, mutual).run(nodes.select("feeder", *_PLACE, "r", "x", "v0", *powers))
+    named = {f"{x}{k}": f"{x}_{c}" for k, c in enumerate(ph) for x in ("vr", "vi", "ir", "ii")}
+    return stage(nodes.join(done.withColumnsRenamed(named), ["feeder", "place"]), "flow3")
 
 
 def unbalanced_summary(flow: DataFrame, *, r_neutral_km: float = 0.86, min_share: float = 0.10) -> DataFrame:
