@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -385,3 +386,20 @@ def test_pipeline_stages(spark):
     assert before.count() > 0
     last = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert last.count() == before.count() == last.select("shard", "slot").distinct().count()
+
+
+def test_runs_of_chains_are_compared_at_once():
+    """Equal words of all runs by chain, over lots smaller than the runs; lent stretches are read from Arrow without copies a stretch."""
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 3, 500, dtype=np.uint32), rng.integers(0, 3, 400, dtype=np.uint32)
+    some = np.array([(k // 3, rng.integers(0, 400), rng.integers(0, 300), rng.integers(1, 100)) for k in range(60)], np.int64)
+    want = np.zeros(21, np.int64)
+    for k, x, y, n in some:
+        want[k] += (a[x:x + n] == b[y:y + n]).sum()
+    for words in (1, 70, 1 << 20):
+        assert substring_dedup.equal_words(a, b, some, 21, words).tolist() == want.tolist()
+    assert substring_dedup.equal_words(a, b, some[:0], 2).tolist() == [0, 0]
+    lent = pa.array([b"abcdef", b"", b"xyz"], pa.binary())
+    words, at = substring_dedup.unpack(lent.slice(1))
+    assert at.tolist() == [0, 0, 1] and words.tolist() == [int.from_bytes(b"xyz", "little")]
+    assert substring_dedup.unpack(lent.slice(3))[1].tolist() == [0]

@@ -109,12 +109,15 @@ class Ends:
 
     def put(self, end: int, other_end: int, value: float, part: int) -> None:
         block, slot = divmod(other_end, self.WIDTH)
+        entry = (value, end, part)
         for side, i in ((0, slot + 1), (1, self.WIDTH - slot)):
             while i <= self.WIDTH:
-                node = self.nodes.setdefault((block, side, i), deque())
+                node = self.nodes.get((block, side, i))
+                if node is None:
+                    node = self.nodes[block, side, i] = deque()
                 while node and node[-1][0] < value:
                     node.pop()
-                node.append((value, end, part))
+                node.append(entry)
                 i += i & -i
 
     def best(self, least_end: int, least_other: int) -> tuple[float, int]:
@@ -142,12 +145,13 @@ def best_before(parts: list[tuple[int, int, int]]) -> tuple[list[float], list[in
     """
     score: list[float] = []
     before: list[int] = []
-    waiting = sorted(range(len(parts)), key=lambda k: parts[k][0] + parts[k][2])
+    stop = [x + n for x, _, n in parts]
+    waiting = sorted(range(len(parts)), key=stop.__getitem__)
     ends = Ends()
     done = 0
     for x, y, n in parts:
-        while done < len(waiting) and sum(parts[j := waiting[done]][::2]) <= x + KMER // 2:
-            ex, ey = parts[j][0] + parts[j][2], parts[j][1] + parts[j][2]
+        while done < len(waiting) and stop[j := waiting[done]] <= x + KMER // 2:
+            ex, ey = stop[j], parts[j][1] + parts[j][2]
             ends.put(ex, ey, score[j] + GAP_COST * (ex + ey), j)
             done += 1
         value, j = ends.best(x - MOST_GAP, y - MOST_GAP)
@@ -349,21 +353,40 @@ def extend(a: np.ndarray, b: np.ndarray, at: np.ndarray, there: np.ndarray, room
     return words, (same & (away < words[:, None])).sum(axis=1)
 
 
+def equal_words(a: np.ndarray, b: np.ndarray, runs_: np.ndarray, n: int, words: int = 1 << 20) -> np.ndarray:
+    """Words that the runs (chain, start in ``a``, start in ``b``, length) have in common, by chain; some ``words`` at a time."""
+    out = np.zeros(n, np.int64)
+    lot = np.cumsum(runs_[:, 3]) // words
+    for some in np.split(runs_, np.flatnonzero(np.diff(lot)) + 1):
+        if len(some):
+            chain_, at, there, size = some.T
+            first = np.cumsum(size) - size
+            inside = np.arange(int(size.sum()))
+            same = a[inside + np.repeat(at - first, size)] == b[inside + np.repeat(there - first, size)]
+            np.add.at(out, chain_, np.add.reduceat(same, first, dtype=np.int64))
+    return out
+
+
 def align(a: np.ndarray, b: np.ndarray, chains: list[tuple[int, int, int, int, list[tuple[int, int, int]]]]) -> list[tuple[int, int, int, int, int]]:
     """(begin, end, other begin, other end, matched words) of chains, aligned on stretches of two arrays of words.
 
     A chain is (begin and end of its stretch of ``a``, begin and end of that of ``b``, its parts in places of the arrays).
     """
-    spans = []
-    for _, _, _, _, parts in chains:
+    spans, whole = [], []
+    for k, (_, _, _, _, parts) in enumerate(chains):
         (px, py, _), matched = parts[0], 0
         for x, y, n in parts:
-            x, y, n = (x + d, y + d, n - d) if (d := max(px - x, py - y, 0)) else (x, y, n)
+            if px > x or py > y:
+                d = max(px - x, py - y)
+                x, y, n = x + d, y + d, n - d
             if n > 0:
-                matched += align_gap(a[px:x], b[py:y]) + int((a[x:x + n] == b[y:y + n]).sum())
+                if px < x and py < y:
+                    matched += align_gap(a[px:x], b[py:y])
+                whole.append((k, x, y, n))
                 px, py = x + n, y + n
         spans.append((*parts[0][:2], px, py, matched))
     x, y, ex, ey, matched = np.array(spans, np.int64).reshape(-1, 5).T
+    matched = matched + equal_words(a, b, np.array(whole, np.int64).reshape(-1, 4), len(spans))
     lo, hi, other_lo, other_hi = np.array([c[:4] for c in chains], np.int64).reshape(-1, 4).T
     back, some = extend(a, b, x - 1, y - 1, np.minimum(x - lo, y - other_lo), -1)
     more, others = extend(a, b, ex, ey, np.minimum(hi - ex, other_hi - ey), 1)
@@ -377,38 +400,46 @@ def _slices(batches):
             words = hash_words(texts)
             short = (words.hashes >> np.uint64(32)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :WORD_BYTES]
             out = []
-            for k in range(len(texts)):
+            asked = zip(*(batch[c].iloc[first:first + len(texts)] for c in ("asker", "lot", "place", "from", "to")))
+            for k, lists in enumerate(asked):
                 own = short[words.offsets[k]:words.offsets[k + 1]]
-                for asker, lot, at, begin, end in zip(*(batch[c].iloc[first + k] for c in ("asker", "lot", "place", "from", "to"))):
+                for asker, lot, at, begin, end in zip(*(v.tolist() for v in lists)):
                     lo = max(0, begin - MARGIN)
                     out.append((asker, lot, at, lo, own[lo:end + MARGIN].tobytes()))
             yield pd.DataFrame(out, columns=["asker", "lot", "place", "lo", "words"])
 
 
-def unpack(slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Words of lent stretches in one array, and the offsets of the stretches."""
-    raw = np.frombuffer(b"".join(slices), np.uint8).reshape(-1, WORD_BYTES)
+def unpack(slices: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of lent stretches (binary) in one array, and the offsets of the stretches."""
+    wide = slices.cast(pa.large_binary())
+    at = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset:wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
+    raw = np.frombuffer(wide.buffers()[2], np.uint8)[at[0]:at[-1]].reshape(-1, WORD_BYTES) if at[-1] > at[0] else np.zeros((0, WORD_BYTES), np.uint8)
     words = np.zeros((len(raw), 4), np.uint8)
     words[:, :WORD_BYTES] = raw
-    return words.reshape(-1).view("<u4"), np.cumsum([0] + [len(s) // WORD_BYTES for s in slices])
+    return words.reshape(-1).view("<u4"), (at - at[0]) // WORD_BYTES
 
 
 def _aligner(batches):
     for batch in batches:
-        r = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-        words, at = unpack([w for ws in r["words"] for w in ws])
+        r = {c: batch.column(c).to_pylist() for c in batch.schema.names if c not in ("words", "parts")}
+        words, at = unpack(batch.column("words").flatten())
+        at = at.tolist()
+        lists = batch.column("parts").flatten()  # one list of numbers a chain
+        numbers, cuts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).tolist()
+        first = np.concatenate([[0], np.cumsum(batch.column("parts").value_lengths().to_numpy())]).tolist()
         chains, whose = [], []
         i = 0
         for k, places in enumerate(r["place"]):
-            lent = [(place, int(at[i + j]), int(at[i + j + 1]), lo) for j, (place, lo) in enumerate(zip(places, r["lo"][k]))]
+            lent = [(place, at[i + j], at[i + j + 1], lo) for j, (place, lo) in enumerate(zip(places, r["lo"][k]))]
             i += len(places)
+            owns = [own[1:] for own in lent if own[0] < 0]
             for place, other_begin, other_end, other_lo in lent:
                 if place < 0:
                     continue
-                flat = r["parts"][k][place]
-                for begin, end, lo in (own[1:] for own in lent if own[0] < 0):
+                flat = numbers[cuts[first[k] + place]:cuts[first[k] + place + 1]].tolist()
+                for begin, end, lo in owns:
                     dx, dy = begin - lo, other_begin - other_lo
-                    parts = [(flat[p] + dx, flat[p + 1] + dy, flat[p + 2]) for p in range(0, len(flat), 3)]
+                    parts = [(x + dx, y + dy, n) for x, y, n in zip(flat[::3], flat[1::3], flat[2::3])]
                     if parts[-1][0] + parts[-1][2] <= end and parts[-1][1] + parts[-1][2] <= other_end:  # else a variant of the document that ends before
                         chains.append((begin, end, other_begin, other_end, parts))
                         whose.append((k, place, dx, dy))
@@ -419,7 +450,7 @@ def _aligner(batches):
                 best[k, place] = max(best.get((k, place), (-1, 0, 0, 0, 0)), (matched, x, ex, y, ey))
         rows = [(r["doc_id"][k], r["other_id"][k][place], x, ex, y, ey, matched, matched / max(ex - x, ey - y)) for (k, place), (matched, x, ex, y, ey) in best.items()
                 if matched >= LEAST_IDENTITY * max(ex - x, ey - y) and ex - x >= LEAST_WORDS]
-        yield pa.RecordBatch.from_pylist([dict(zip(FOUND.names, row)) for row in rows], FOUND)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(FOUND), FOUND)], schema=FOUND)
 
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("other_id", pa.int64()), *((c, pa.int32()) for c in ("from_word", "to_word", "other_from", "other_to", "matched")), ("identity", pa.float64())])
