@@ -9,10 +9,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from wattledger import staging
 from wattledger.functions import classify, electric, parse
 from wattledger.operators import (
     entities, fieldwork, inspections, losses, network, outliers, powerflow, rangejoin, ranking, scenarios, series, signals,
-    survey, transfers, validation,
+    survey, tours, transfers, validation,
 )
 from wattledger.params import Averaging
 from wattledger.sources import readers, sinks
@@ -175,6 +176,35 @@ def test_transformers_in_series_do_not_count_twice(spark):
     assert rows(z, "site", "customers", "billed_kwh", "totaliser_residual_kwh", "lighting_kwh") == [("T1", 2, 100.0, 40.0, 0.0), ("T2", 1, 30.0, 0.0, 5.0)]
 
 
+@pytest.mark.parametrize("block", [4, 1 << 15])
+def test_nearest_ancestor_equals_walks_up_in_two_stages(spark, monkeypatch, block):
+    """Chains and random trees over many ranges of places; a flagged node that comes twice gives its rows twice."""
+    monkeypatch.setattr(tours, "BLOCK", block)
+    monkeypatch.setattr(network, "BLOCK", block)
+    rnd = random.Random(7)
+    up = {("C", f"{i:03d}"): f"{i - 1:03d}" for i in range(1, 120)}
+    up |= {("T", f"{i:03d}"): f"{rnd.randrange(max(0, i - 6), i):03d}" for i in range(1, 120)}
+    t = network.orient(_edges(spark, [(f, p, n) for (f, n), p in up.items()]),
+                       spark.createDataFrame([("C", "000"), ("T", "000")], "feeder string, source string"))
+    flags = [("C", f"{i:03d}", f"c{i}") for i in (3, 40, 41, 90)] + [("T", f"{i:03d}", f"t{i}") for i in range(2, 120, 7)] + [("C", "040", "again"), ("C", "060", None)]
+    labels = {}
+    for f, n, x in flags:
+        if x is not None:
+            labels.setdefault((f, n), []).append(x)
+    want = []
+    for f in "CT":
+        for i in range(120):
+            n = f"{i:03d}"
+            while n is not None and (f, n) not in labels:
+                n = up.get((f, n))
+            want += [(f, f"{i:03d}", x) for x in labels.get((f, n), [None])]
+    before = len(staging._STAGES)
+    got = network.nearest_ancestor(t, None, spark.createDataFrame(flags, "feeder string, node string, mark string"), "mark", "found")
+    assert len(staging._STAGES) - before == 2
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted([tuple(r) for r in got.select("feeder", "node", "found").collect()], key=key) == sorted(want, key=key)
+
+
 def test_hash_does_not_depend_on_row_order(spark):
     e = _edges(spark, [("F", "r", "a"), ("F", "a", "b")])
     s = spark.createDataFrame([("F", "a", "T", 1.0, "X", 3)], "feeder string, node string, site string, kva double, config string, phases int")

@@ -1,19 +1,20 @@
 """Radial networks of every feeder at once, as DataFrames keyed by (feeder, node).
 
 ``operators.tours`` roots the trees and numbers their nodes in tour order, so that
-sums over subtrees and paths are prefix sums. Nearest-ancestor questions take
-pointer doubling: ``jump_levels`` keeps, per level k, each node's 2^k-th ancestor,
-and log2(depth) joins over n rows answer them.
+sums over subtrees and paths are prefix sums, and nearest-ancestor questions one
+sweep over ranges of places. Traces take pointer doubling: ``jump_levels`` keeps, per
+level k, each node's 2^k-th ancestor.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattledger.operators.tours import in_blocks, jump_levels, orient_tours, path_totals
+from wattledger.operators.tours import BLOCK, in_blocks, jump_levels, orient_tours, path_totals
 from wattledger.staging import stage
 
 KEY = ["feeder", "node"]
@@ -30,16 +31,43 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select("feeder", F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
 
 
-def nearest_ancestor(tree: DataFrame, levels: Sequence[DataFrame], flagged: DataFrame, label: str, out: str) -> DataFrame:
-    """``(feeder, node, out)``: ``label`` of the first flagged node upstream, the node itself included."""
-    acc = tree.select(*KEY).join(flagged.select(*KEY, F.col(label).alias(out)), KEY, "left")
-    for level in levels:
-        # Only nodes still without an answer ask further up.
-        open_ = level.join(acc.where(F.col(out).isNull()).select(*KEY), KEY, "left_semi")
-        above = acc.where(F.col(out).isNotNull()).select("feeder", F.col("node").alias("jump"), F.col(out).alias("__v"))
-        got = open_.join(above, ["feeder", "jump"]).select(*KEY, "__v")
-        acc = stage(acc.join(got, KEY, "left").select(*KEY, F.coalesce(out, "__v").alias(out)), "nearest")
-    return acc
+def _innermost(rows: pd.DataFrame) -> pd.DataFrame:
+    """Place of the innermost range open at each node, -1 where none is. Ranges nest, so the last one opened is it."""
+    rows = rows.sort_values(["place", "is_node"], kind="stable")
+    places, stops, above = [], [], []
+    for place, stop, is_node in zip(rows["place"].tolist(), rows["stop"].tolist(), rows["is_node"].tolist()):
+        while stops and stops[-1] <= place:
+            places.pop()
+            stops.pop()
+        if is_node:
+            above.append(places[-1] if places else -1)
+        else:
+            places.append(place)
+            stops.append(stop)
+    return rows.loc[rows["is_node"], ["feeder", "node"]].assign(above=above)
+
+
+def nearest_ancestor(tree: DataFrame, levels: Sequence[DataFrame] | None, flagged: DataFrame, label: str, out: str) -> DataFrame:
+    """``(feeder, node, out)``: ``label`` of the first flagged node upstream, the node itself included.
+
+    A subtree is a range of places, so the answer is the innermost flagged range around a node's place. Ranges of places
+    are swept by themselves; what is still open where one begins is carried to it: of the flagged subtrees that reach over
+    it or end at the same place, the innermost. ``levels`` are not needed.
+    """
+    rows = in_blocks(tree.select(*KEY, "place", "size")).drop("size")
+    marked = stage(rows.join(flagged.where(F.col(label).isNotNull()).select(*KEY, F.col(label).alias(out)), KEY).select(
+        "feeder", "place", "stop", "block", F.expr(f"(stop - 1) div {BLOCK}").alias("last"), out), "marked")
+    open_ = marked.where("last > block").groupBy("feeder", "block", "last", "stop").agg(F.max("place").alias("place"))
+    ending = open_.groupBy("feeder", F.col("last").alias("block"), "stop").agg(F.max("place").alias("place"))
+    over = open_.where("last > block + 1").groupBy("feeder", "block", "last").agg(F.max("place").alias("place")).select(
+        "feeder", F.explode(F.expr("sequence(block + 1, last - 1)")).alias("block"), "place").groupBy("feeder", "block").agg(
+        F.max("place").alias("place")).withColumn("stop", (F.col("block") + 1) * BLOCK)
+    ranges = marked.select("feeder", "block", "place", "stop").distinct().unionByName(ending).unionByName(over)
+    every = rows.withColumn("is_node", F.lit(True)).unionByName(ranges.withColumn("is_node", F.lit(False)), allowMissingColumns=True)
+    kind = {f.name: f.dataType.simpleString() for f in tree.schema}
+    placed = every.groupBy("feeder", "block").applyInPandas(_innermost, f"feeder {kind['feeder']}, node {kind['node']}, above long")
+    found = marked.select("feeder", F.col("place").alias("above"), out)
+    return stage(placed.join(found, ["feeder", "above"], "left").select(*KEY, out), "nearest")
 
 
 def orient(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -94,7 +122,7 @@ def relatives(tree: DataFrame) -> DataFrame:
     return tree.join(kids, KEY, "left").select(*KEY, "parent", F.coalesce("children", F.lit(0)).alias("children"), "depth")
 
 
-def branches(tree: DataFrame, levels: Sequence[DataFrame], min_nodes: int = 2) -> DataFrame:
+def branches(tree: DataFrame, levels: Sequence[DataFrame] | None, min_nodes: int = 2) -> DataFrame:
     """``(feeder, node, branch)``: the branch that hangs from a network fork.
 
     A node forks only with two or more children that go on; a service drop does
@@ -116,7 +144,7 @@ def branches(tree: DataFrame, levels: Sequence[DataFrame], min_nodes: int = 2) -
     return placed.join(kept, ["feeder", "branch"], "left_semi").select("feeder", "node", "branch")
 
 
-def protection_zones(tree: DataFrame, levels: Sequence[DataFrame], switches: DataFrame) -> DataFrame:
+def protection_zones(tree: DataFrame, levels: Sequence[DataFrame] | None, switches: DataFrame) -> DataFrame:
     """``(feeder, node, zone)``: nearest switch (or the source) upstream, itself included."""
     bounds = switches.select(*KEY).unionByName(tree.where(F.col("parent").isNull()).select(*KEY)).distinct()
     bounds = bounds.withColumn("z", F.col("node"))
@@ -128,7 +156,7 @@ def network_km(tree: DataFrame, groups: DataFrame, by: str) -> DataFrame:
     return tree.join(groups, KEY).groupBy("feeder", by).agg(F.sum("length_km").alias("network_km"))
 
 
-def assign_to_sites(tree: DataFrame, levels: Sequence[DataFrame], sites: DataFrame) -> DataFrame:
+def assign_to_sites(tree: DataFrame, levels: Sequence[DataFrame] | None, sites: DataFrame) -> DataFrame:
     """``(feeder, node, site)``: first transformer site upstream of every node."""
     return nearest_ancestor(tree, levels, sites, "site", "site")
 

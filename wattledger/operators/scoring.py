@@ -11,6 +11,7 @@ from wattledger.operators.outliers import outlier_scores
 from wattledger.operators.peers import recoverable, with_expected
 from wattledger.operators.ranking import attach, exact_percentiles, global_rank
 from wattledger.params import REASONS, SIGNALS, Signals
+from wattledger.staging import stage
 
 _DEFICIT = ["S4", "S5", "S8", "S9"]
 
@@ -75,7 +76,7 @@ def reasons(df: DataFrame, names: Sequence[str] = SIGNALS) -> DataFrame:
     records = F.array(*[
         F.struct(F.col(s).alias("v"), F.lit(i).alias("i"), F.lit(REASONS[s]).alias("t")) for i, s in enumerate(names)
     ])
-    active = F.filter(F.reverse(F.array_sort(records)), lambda r: r["v"] > 0)
+    active = F.filter(F.sort_array(records, asc=False), lambda r: r["v"] > 0)
     top = F.slice(F.transform(active, lambda r: r["t"]), 1, 3)
     if "unsupervised" in df.columns:
         extra = F.when(F.col("unsupervised") > 0.8, F.array(F.lit(REASONS["UNSUP"]))).otherwise(
@@ -86,10 +87,11 @@ def reasons(df: DataFrame, names: Sequence[str] = SIGNALS) -> DataFrame:
 
 
 def score_customers(df: DataFrame, p: Signals = Signals(), *, unsupervised: bool = True,
-                    segmented: bool = True, names: Sequence[str] = SIGNALS) -> DataFrame:
+                    segmented: bool = True, names: Sequence[str] = SIGNALS, columns: Sequence[str] | None = None) -> DataFrame:
     """Full ranking: score, rank, recoverable energy, reasons.
 
-    ``df`` should be a staged table: it is read once per aggregate below.
+    ``df`` should be a staged table: it is read once per aggregate below. With ``columns`` only those and the rank are kept:
+    they are staged first, as ranges are found by a pass of its own, and the arrays of the customers are not sorted along.
     """
     scored = df.join(consensus(df, names), "account")
     if unsupervised:
@@ -104,6 +106,8 @@ def score_customers(df: DataFrame, p: Signals = Signals(), *, unsupervised: bool
     # Nine decimals: customers with the same evidence tie, whatever the order of the sums.
     scored = scored.withColumn("score", F.round("score", 9))
     scored = reasons(recoverable_energy(scored, segmented=segmented), names)
+    if columns is not None:
+        scored = stage(scored.select(*dict.fromkeys(["account", "score", *columns])), "scored")
     return global_rank(scored, [F.col("score").desc(), F.col("account")])
 
 

@@ -145,7 +145,7 @@ def series_statistics(df: DataFrame, p: Segmentation = Segmentation()) -> DataFr
     return (
         df.withColumn("finite", F.expr("filter(series, x -> x is not null and not isnan(x))"))
         .withColumn("mean_kwh", F.expr(A.mean("finite")))
-        .withColumn("__s", F.array_sort("finite"))
+        .withColumn("__s", F.sort_array("finite"))
         .withColumn("base_kwh", F.expr(A.quantile_sorted("__s", p.base_percentile)))
         .drop("__s")
     )
@@ -192,7 +192,7 @@ def representative_average(
         out = out.withColumn("__months", F.expr(f"transform({by_month}, a -> {A.mean('a')})"))
         rep = A.mean("__months")
     else:
-        out = out.withColumn("__o", F.array_sort("__v"))
+        out = out.withColumn("__o", F.sort_array("__v"))
         if p.method == "median":
             rep = A.median_sorted("__o")
         else:

@@ -19,13 +19,13 @@ def drop_and_recovery(df: DataFrame, p: Signals = Signals()) -> DataFrame:
     low = f"s1_base * {1 - p.s1_drop_pct / 100.0!r}D"
     back = f"s1_base * {1 - p.s1_recovery_pct / 100.0!r}D"
     run = (
-        "aggregate(finite, named_struct('i', 0, 'run', 0, 'best', 0, 'at', -1), (a, x) -> named_struct("
-        "'i', a.i + 1, "
-        f"'run', if(x < {low}, a.run + 1, 0), "
-        f"'best', if(x < {low} and a.run + 1 > a.best, a.run + 1, a.best), "
-        f"'at', if(x < {low} and a.run + 1 > a.best, a.i, a.at)))"
+        "aggregate(finite, named_struct('i', 0, 'run', 0, 'best', 0, 'at', -1), (a, x) -> "
+        f"if(x < {low}, if(a.run + 1 > a.best, "
+        "named_struct('i', a.i + 1, 'run', a.run + 1, 'best', a.run + 1, 'at', a.i), "
+        "named_struct('i', a.i + 1, 'run', a.run + 1, 'best', a.best, 'at', a.at)), "
+        "named_struct('i', a.i + 1, 'run', 0, 'best', a.best, 'at', a.at)))"
     )
-    head = "array_sort(slice(finite, 1, greatest(3, cast(size(finite) div 4 as int))))"
+    head = "sort_array(slice(finite, 1, greatest(3, cast(size(finite) div 4 as int))))"
     hit = (
         f"size(finite) >= {p.s1_min_months * 2 + 2} and s1_base > 0 and __run.best >= {p.s1_min_months} "
         f"and exists(slice(finite, __run.at + 2, greatest(size(finite), 1)), x -> x >= {back})"
@@ -49,12 +49,12 @@ def level_break(df: DataFrame, p: Signals = Signals()) -> DataFrame:
     m1, m2 = "(a.s / a.i)", "((__t - a.s) / (__n - a.i))"
     delta = f"(abs({m2} - {m1}) / greatest({m1}, 1e-6D))"
     inside = "a.i >= 3 and a.i < __n - 3"
-    better = f"if({inside}, {delta} > a.d, false)"
+    # The change is worked out once a month, the rest of the split only where it is the best so far.
+    better = f"if({inside}, {delta} > a.b.d, false)"
+    split = f"named_struct('d', {delta}, 'at', a.i, 'm1', {m1}, 'm2', {m2})"
     step = (
-        "aggregate(finite, named_struct('i', 0, 's', 0D, 'd', 0D, 'at', -1, 'm1', 0D, 'm2', 0D), (a, x) -> "
-        "named_struct('i', a.i + 1, 's', a.s + x, "
-        f"'d', if({better}, {delta}, a.d), 'at', if({better}, a.i, a.at), "
-        f"'m1', if({better}, {m1}, a.m1), 'm2', if({better}, {m2}, a.m2)))"
+        "aggregate(finite, named_struct('i', 0, 's', 0D, 'b', named_struct('d', 0D, 'at', -1, 'm1', 0D, 'm2', 0D)), "
+        f"(a, x) -> named_struct('i', a.i + 1, 's', a.s + x, 'b', if({better}, {split}, a.b)), a -> a.b)"
     )
     hit = f"__n >= 8 and __b.d * 100 >= {p.s3_change_pct!r}D and __b.m2 < __b.m1"
     return (

@@ -62,7 +62,7 @@ def analyse_grid(
     c0 = next(iter(TARIFF_CLASSES.values()))
     factor = p.k_default * c0["load_factor"] + (1 - p.k_default) * c0["load_factor"] ** 2
     tree = network.orient(edges, sources)
-    place = stage(network.assign_to_sites(tree, network.jump_levels(tree), sites), "placement")
+    place = stage(network.assign_to_sites(tree, None, sites), "placement")
     z = stage(powerflow.impedances(tree, edges, conductors, t_op=p.t_operation, alpha=p.alpha_al, t_ref=p.t_reference), "z")
     kw = electric.velander_kw(F.col("energy_kwh"), F.lit(c0["a"]), F.lit(c0["b"]))
     flow = stage(powerflow.unbalanced_summary(powerflow.unbalanced_flow(

@@ -493,11 +493,15 @@ def _(spark, d):
     return peers.peer_level_summary(peer_customers(spark, d))
 
 
-def profiled(spark, d) -> DataFrame:
-    """Customers with peer group and representative average over a staged table."""
+def averaged(spark, d) -> DataFrame:
+    """Staged customers with series, segment and representative average."""
     s = segmented(spark, d).withColumn("suspended", ~F.col("active"))
-    base = stage(series.representative_average(s).drop("suspended"), "customers")
-    return peers.assign_peer_group(base)
+    return stage(series.representative_average(s).drop("suspended"), "customers")
+
+
+def profiled(spark, d, base: DataFrame | None = None) -> DataFrame:
+    """Customers with peer group and representative average over a staged table."""
+    return peers.assign_peer_group(base or averaged(spark, d))
 
 
 cte("expected", """
@@ -630,8 +634,8 @@ def _(spark, d):
     return rounded(signals.below_own_base(customer_series(spark, d)).select("account", "S9"), S9=6)
 
 
-def signal_table(spark, d) -> DataFrame:
-    return stage(canonical(signals.signal_matrix(profiled(spark, d))), "signals")
+def signal_table(spark, d, base: DataFrame | None = None) -> DataFrame:
+    return stage(canonical(signals.signal_matrix(profiled(spark, d, base))), "signals")
 
 
 @query("signal_matrix", _signal_sql("S1", "S3", "S4", "S5", "S7", "S8", "S9"))
@@ -684,8 +688,8 @@ def canonical(df: DataFrame) -> DataFrame:
 
 def ranking(spark, d, **kw) -> DataFrame:
     """Staged ranking of all customers by consensus."""
-    table_ = signal_table(spark, d)
-    scored = scoring.score_customers(table_, unsupervised=kw.get("unsupervised", False))
+    table_ = signal_table(spark, d, kw.get("base"))
+    scored = scoring.score_customers(table_, unsupervised=kw.get("unsupervised", False), columns=kw.get("columns"))
     return scored
 
 

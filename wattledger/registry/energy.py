@@ -145,9 +145,9 @@ GROUP BY GROUPING SETS ((unit, substation), (unit))
 """)
 
 
-def rolled(spark, d) -> DataFrame:
+def rolled(spark, d, b: DataFrame | None = None) -> DataFrame:
     h = hierarchy(spark, d).where(F.col("feeder") != "F004")
-    return balance.roll_up(balances(spark, d), h)
+    return balance.roll_up(b or balances(spark, d), h)
 
 
 @query("organisation_rollup", """

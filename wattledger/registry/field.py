@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wattledger.operators import balance, fieldwork, journal, network, rangejoin, scenarios, scoring, survey, transfers
 from wattledger.registry.core import cte, query
-from wattledger.registry.customers import ranking, rounded
+from wattledger.registry.customers import averaged, ranking, rounded
 from wattledger.registry.energy import balances, residuals, rolled
 from wattledger.plans.scenario import evaluate_scenarios
 from wattledger.registry.grid import (
@@ -36,8 +36,8 @@ FROM (SELECT *, {_norm('ntl_pct', 'feeder_balance')} AS s, {_norm('ntl_kwh', 'fe
 """)
 
 
-def feeder_t(spark, d):
-    b = balances(spark, d).withColumn("confidence", (F.substring("feeder", 2, 9).cast("int") * 5).cast("double"))
+def feeder_t(spark, d, b=None):
+    b = (b or balances(spark, d)).withColumn("confidence", (F.substring("feeder", 2, 9).cast("int") * 5).cast("double"))
     return survey.feeder_targets(b)
 
 
@@ -56,12 +56,12 @@ SELECT 'ZONA_PROTECCION' AS level, feeder || '/' || zone AS entity, feeder, {PRI
 """)
 
 
-def zone_t(spark, d, net=None) -> DataFrame:
+def zone_t(spark, d, net=None, c=None) -> DataFrame:
     _, t, lv = net or walk(spark, d)
     from wattledger.registry.grid import switches
 
     z = network.protection_zones(t, lv, switches(spark, d))
-    g = z.join(node_customers(spark, d), ["feeder", "node"]).groupBy("feeder", "zone").agg(
+    g = z.join(c or node_customers(spark, d), ["feeder", "node"]).groupBy("feeder", "zone").agg(
         F.count(F.lit(1)).alias("customers"), F.sum("energy_kwh").alias("b")).where(F.col("b") > 0)
     # Estimated input, so the confidence is below 100.
     return survey.zone_targets(g.select(
@@ -73,9 +73,9 @@ def _(spark, d):
     return out(zone_t(spark, d))
 
 
-def node_facts(spark, d) -> DataFrame:
+def node_facts(spark, d, c=None) -> DataFrame:
     """Customers on nodes with a suspicion flag and recoverable energy."""
-    return node_customers(spark, d).select(
+    return (c or node_customers(spark, d)).select(
         "feeder", "node", "account", "energy_kwh", ((F.col("account") % 13 == 0) & (F.col("energy_kwh") > 10)).alias("suspect"),
         F.when(F.col("account") % 13 == 0, F.col("energy_kwh") * 0.5).otherwise(0.0).alias("rec"))
 
@@ -92,9 +92,9 @@ FROM (SELECT *, 0.5 * least(1, suspects / customers) + 0.5 * {_norm('suspects',
 """)
 
 
-def branch_t(spark, d, net=None) -> DataFrame:
+def branch_t(spark, d, net=None, c=None) -> DataFrame:
     _, t, lv = net or walk(spark, d)
-    return survey.branch_targets(network.branches(t, lv).join(node_facts(spark, d), ["feeder", "node"]).groupBy("feeder", "branch").agg(
+    return survey.branch_targets(network.branches(t, lv).join(node_facts(spark, d, c), ["feeder", "node"]).groupBy("feeder", "branch").agg(
         F.count(F.lit(1)).alias("customers"), F.count_if("suspect").alias("suspects"), F.sum("rec").alias("recoverable_kwh")))
 
 
@@ -115,14 +115,14 @@ FROM (SELECT *, least(1, greatest(0, 0.45 * least(1, suspects / greatest(custome
 """)
 
 
-def site_t(spark, d, net=None) -> DataFrame:
+def site_t(spark, d, net=None, c=None) -> DataFrame:
     from wattledger.registry.grid import transformers
 
     _, t, lv = net or walk(spark, d)
     place = network.assign_to_sites(t, lv, transformer_sites(spark, d))
-    f = place.join(node_facts(spark, d), ["feeder", "node"]).groupBy("feeder", "site").agg(
+    f = place.join(node_facts(spark, d, c), ["feeder", "node"]).groupBy("feeder", "site").agg(
         F.count_if("suspect").alias("suspects"), F.sum("rec").alias("recoverable_kwh"))
-    tx = transformers(spark, d).select("feeder", "site", "customers", F.col("totaliser_residual_kwh").cast("double").alias("totaliser_residual_kwh"), "loading_ratio")
+    tx = transformers(spark, d, place, c).select("feeder", "site", "customers", F.col("totaliser_residual_kwh").cast("double").alias("totaliser_residual_kwh"), "loading_ratio")
     return survey.site_targets(tx.join(f, ["feeder", "site"], "left").fillna(0))
 
 
@@ -143,8 +143,8 @@ SELECT *, sd / m AS cv, m / med AS ratio, coalesce(list_avg(list_filter([CASE WH
 """)
 
 
-def routes(spark, d) -> DataFrame:
-    s = customer_series(spark, d)
+def routes(spark, d, s=None) -> DataFrame:
+    s = s or customer_series(spark, d)
     zero = F.expr("size(filter(series, x -> coalesce(x, -1D) = 0)) / cast(size(series) as double)")
     low = F.col("mean_kwh") < F.col("base_kwh") * 0.7
     return survey.route_statistics(s.select(
@@ -177,8 +177,9 @@ SELECT 'CLIENTE' AS level, CAST(account AS VARCHAR) AS entity, feeder, least(1,
 """)
 
 
-def cust_ranking(spark, d) -> DataFrame:
-    return stage(ranking(spark, d).select("account", "feeder", "rank", "score", "recoverable_kwh", "reasons", "x", "y"), "ranking")
+def cust_ranking(spark, d, base=None) -> DataFrame:
+    columns = ["account", "feeder", "score", "recoverable_kwh", "reasons", "x", "y"]
+    return stage(ranking(spark, d, base=base, columns=columns).select("account", "feeder", "rank", *columns[2:]), "ranking")
 
 
 @query("target_customers", _OUT.format("t_cust"))
@@ -197,8 +198,8 @@ SELECT 'SECTOR' AS level, sector AS entity, feeder, least(1, 0.55 * mean_score +
 """)
 
 
-def sector_parts(spark, d):
-    r = cust_ranking(spark, d)
+def sector_parts(spark, d, base=None):
+    r = cust_ranking(spark, d, base)
     m = stage(survey.sector_members(survey.most_suspect(r)), "members")
     return r, m, stage(survey.sectors(m), "sectors")
 
@@ -235,11 +236,14 @@ cte("survey_plan", "\nUNION ALL ".join(
 
 def the_plan(spark, d):
     """All nine levels, targets in the feeders of a detected transfer degraded; members and sectors for the orders."""
-    r, m, s = sector_parts(spark, d)
-    net = walk(spark, d)
+    # Staged once for all levels that read them: customers with their series, customers on nodes, balances, the tree.
+    base = averaged(spark, d)
+    r, m, s = sector_parts(spark, d, base)
+    net, c, b = walk(spark, d), stage(node_customers(spark, d), "nodes"), stage(balances(spark, d), "balances")
     p = survey.plan(
-        feeder_t(spark, d), zone_t(spark, d, net), branch_t(spark, d, net), site_t(spark, d, net), survey.route_targets(routes(spark, d)),
-        survey.customer_targets(r), survey.sector_targets(s), survey.organisation_targets(rolled(spark, d)))
+        feeder_t(spark, d, b), zone_t(spark, d, net, c), branch_t(spark, d, net, c), site_t(spark, d, net, c),
+        survey.route_targets(routes(spark, d, base)), survey.customer_targets(r), survey.sector_targets(s),
+        survey.organisation_targets(stage(rolled(spark, d, b), "rolled")))
     moved = transfers.affected_feeders(transfers.transfer_candidates(residuals(spark, d)))
     return m, s, stage(survey.degrade_transferred(p, moved), "plan")
 

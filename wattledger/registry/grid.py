@@ -98,8 +98,8 @@ def _tree(spark, d):
 
 
 def walk(spark, d):
-    e, t = _tree(spark, d)
-    return e, t, network.jump_levels(t)
+    """Edges and tree; the jump levels are left to those that trace."""
+    return *_tree(spark, d), None
 
 
 @query("feeder_sources", """
@@ -290,11 +290,13 @@ LEFT JOIN (SELECT p.feeder, p.site, sum(CASE WHEN traffic OR NOT metered THEN en
 """)
 
 
-def lv(spark, d) -> DataFrame:
-    _, t, lv_ = walk(spark, d)
+def lv(spark, d, place: DataFrame | None = None, customers: DataFrame | None = None) -> DataFrame:
+    """Low-voltage zones; ``place`` and ``customers`` if they are staged already."""
     sites = transformer_sites(spark, d)
-    p = network.assign_to_sites(t, lv_, sites)
-    return network.lv_zones(sites, node_customers(spark, d), lamps(spark, d), p)
+    if place is None:
+        _, t, lv_ = walk(spark, d)
+        place = network.assign_to_sites(t, lv_, sites)
+    return network.lv_zones(sites, customers or node_customers(spark, d), lamps(spark, d), place)
 
 
 @query("lv_zones", """
@@ -346,8 +348,8 @@ SELECT *, p0_kw * 720 + pk_kw * pow(s_max_kva / kva, 2) * 720 * (0.25 * 0.42 + 0
 """)
 
 
-def transformers(spark, d) -> DataFrame:
-    z = lv(spark, d).join(transformer_sites(spark, d).select("site", "kvas", "config", "phases", "voltage_class"), "site")
+def transformers(spark, d, place: DataFrame | None = None, customers: DataFrame | None = None) -> DataFrame:
+    z = lv(spark, d, place, customers).join(transformer_sites(spark, d).select("site", "kvas", "config", "phases", "voltage_class"), "site")
     return losses.transformer_table(catalogue_nearest(z, SPECS))
 
 
